@@ -104,3 +104,97 @@ SELECT t.target_id,
        CAST(COALESCE((SELECT max(h.version) FROM history h
                       WHERE h.target_id = t.target_id AND h.success), 0) AS INTEGER) AS latest_version
 FROM targets t"""
+
+SQL["failing"] = _with(*MAIN) + """
+SELECT target_id, version, description, md5_checksum FROM history WHERE NOT success"""
+
+
+def _check_ctes(h: str, s: str, t: str, p: str = "") -> str:
+    """Gap / drift / problem CTEs over history ``h``, UP scripts ``s`` and
+    targets ``t`` (all names of earlier CTEs); ``p`` prefixes the CTE names."""
+    return f""",
+{p}checked AS (
+  SELECT hh.*, tt.project FROM {h} hh JOIN {t} tt ON tt.target_id = hh.target_id
+  WHERE tt.project IN (SELECT project FROM {s})),
+{p}breaks AS (
+  SELECT target_id, version, expected FROM (
+    SELECT target_id, version,
+           COALESCE(lag(version) OVER (PARTITION BY target_id ORDER BY version) + 1, 1) AS expected
+    FROM {p}checked) x
+  WHERE version <> expected),
+{p}drift AS (
+  SELECT c.target_id, c.project, c.version, c.description, c.md5_checksum FROM {p}checked c
+  WHERE c.success AND NOT EXISTS (
+    SELECT 1 FROM {s} ss WHERE ss.project = c.project AND ss.version = c.version
+      AND ss.description = c.description AND ss.md5_checksum = c.md5_checksum)),
+{p}lgaps AS (
+  SELECT project, CAST(expected AS INTEGER) AS expected, version AS got FROM (
+    SELECT project, version,
+           COALESCE(lag(version) OVER (PARTITION BY project ORDER BY version) + 1, 1) AS expected
+    FROM {s}) x
+  WHERE version <> expected),
+{p}problems AS (
+  SELECT target_id, 1 AS stage, 'failing' AS kind, version,
+         printf('found an unsucceeded migration: %d', version) AS message
+  FROM {h} WHERE NOT success AND target_id IN (SELECT target_id FROM {t})
+  UNION ALL
+  SELECT tt.target_id, 2, 'local_gap', g.got, printf('expected version %d got %d', g.expected, g.got)
+  FROM {p}lgaps g JOIN {t} tt ON tt.project = g.project
+  UNION ALL
+  SELECT target_id, 3, 'history_gap', CAST(expected AS INTEGER), printf('missing version %d', expected)
+  FROM {p}breaks
+  UNION ALL
+  SELECT target_id, 3, 'drift', version,
+         printf('invalid migration found: version: %d, description: %s, md5_checksum: %s.'
+                || ' Please check your local migration and changes', version, description, md5_checksum)
+  FROM {p}drift)
+"""
+
+
+_MAIN_CHECKS = _with(*MAIN) [:-1] + _check_ctes("history", "scripts", "targets")
+
+SQL["history_gaps"] = _MAIN_CHECKS + """
+SELECT target_id, CAST(expected AS INTEGER) AS missing_version, printf('missing version %d', expected) AS message
+FROM breaks"""
+
+SQL["history_gap_ranges"] = _MAIN_CHECKS + """
+SELECT target_id, CAST(expected AS INTEGER) AS gap_from, CAST(version - 1 AS INTEGER) AS gap_to FROM breaks"""
+
+SQL["drift"] = _MAIN_CHECKS + """
+SELECT target_id, version, description, md5_checksum FROM drift"""
+
+SQL["drift_detail"] = _MAIN_CHECKS + """
+SELECT d.target_id, d.version, d.description, d.md5_checksum,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM scripts s WHERE s.project = d.project AND s.version = d.version)
+              THEN 'missing'
+            WHEN NOT EXISTS (SELECT 1 FROM scripts s WHERE s.project = d.project AND s.version = d.version
+                             AND s.description = d.description) THEN 'description'
+            ELSE 'checksum' END AS reason,
+       printf('invalid migration found: version: %d, description: %s, md5_checksum: %s.'
+              || ' Please check your local migration and changes', d.version, d.description, d.md5_checksum)
+         AS message
+FROM drift d"""
+
+SQL["status"] = _MAIN_CHECKS + """
+SELECT t.target_id,
+       CAST(COALESCE((SELECT max(version) FROM history h WHERE h.target_id = t.target_id AND h.success), 0)
+            AS INTEGER) AS latest_version,
+       CAST((SELECT count(*) FROM breaks b WHERE b.target_id = t.target_id)
+            + (SELECT count(*) FROM drift d WHERE d.target_id = t.target_id) AS BIGINT) AS mismatches,
+       CAST((SELECT count(*) FROM history h WHERE h.target_id = t.target_id AND NOT h.success) AS BIGINT)
+         AS failing
+FROM targets t"""
+
+_MINI_CHECKS = _with(_MINI)[:-1] + _check_ctes("mini_history", "mini_scripts", "mini_targets")
+
+SQL["gate"] = _MINI_CHECKS + """
+, firsts AS (SELECT target_id, min(stage) AS stage FROM problems GROUP BY target_id)
+SELECT t.target_id, t.project, CAST(COALESCE(f.stage, 0) AS INTEGER) AS stage,
+       CAST((SELECT count(*) FROM problems p WHERE p.target_id = t.target_id AND p.stage = f.stage) AS BIGINT)
+         AS problems
+FROM mini_targets t LEFT JOIN firsts f ON f.target_id = t.target_id"""
+
+SQL["gate_problems"] = _MINI_CHECKS + """
+SELECT p.target_id, CAST(p.stage AS INTEGER) AS stage, p.kind, CAST(p.version AS INTEGER) AS version, p.message
+FROM problems p
+WHERE p.stage = (SELECT min(q.stage) FROM problems q WHERE q.target_id = p.target_id)"""

@@ -33,3 +33,54 @@ def q_fold_history(spark, sf):
 @register("latest_version")
 def q_latest_version(spark, sf):
     return hist.latest_version(fx.history(spark, sf), fx.targets(spark, sf))
+
+
+from evolve.operators import checks  # noqa: E402
+
+
+def _main(spark, sf):
+    return fx.history(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf)
+
+
+def _mini(spark, sf):
+    return fx.mini_history(spark, sf), fx.mini_scripts(spark, sf), fx.mini_targets(spark, sf)
+
+
+@register("failing")
+def q_failing(spark, sf):
+    return hist.failing(fx.history(spark, sf))
+
+
+@register("history_gaps")
+def q_history_gaps(spark, sf):
+    return checks.history_gaps(*_main(spark, sf))
+
+
+@register("history_gap_ranges")
+def q_history_gap_ranges(spark, sf):
+    return checks.history_gap_ranges(*_main(spark, sf))
+
+
+@register("drift")
+def q_drift(spark, sf):
+    return checks.drift(*_main(spark, sf))
+
+
+@register("drift_detail")
+def q_drift_detail(spark, sf):
+    return checks.drift_detail(*_main(spark, sf))
+
+
+@register("status")
+def q_status(spark, sf):
+    return checks.status(*_main(spark, sf))
+
+
+@register("gate")
+def q_gate(spark, sf):
+    return checks.gate(*_mini(spark, sf))
+
+
+@register("gate_problems")
+def q_gate_problems(spark, sf):
+    return checks.gate_problems(*_mini(spark, sf))

@@ -148,20 +148,31 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rank_by_id(d, ["source"], "doc_id", "rn")
     v = F.format_string("%03d", F.col("rn"))
     o = F.format_string("%03d", F.col("rn") * 7)
-    lang = F.col("lang")
-    m = F.col("doc_id") % 16
-    name = (F.when(m == 1, F.concat(F.lit("R"), o, F.lit("_"), lang, F.lit(".sql")))
-            .when(m == 2, F.concat(F.lit("R"), o, F.lit("_"), lang, F.lit(".down.sql")))
-            .when(m == 3, F.concat(F.lit("B"), o, F.lit("_"), lang, F.lit(".sql")))
-            .when(m == 4, F.concat(F.lit("BE"), o, F.lit("_"), lang, F.lit(".sql")))
-            .when(m == 5, F.concat(F.lit("BV"), o, F.lit("_"), v, F.lit("_"), lang, F.lit(".sql")))
-            .when(m == 6, F.concat(F.lit("A"), o, F.lit("_"), lang, F.lit(".sql")))
-            .when(m == 7, F.concat(F.lit("AE"), o, F.lit("_"), lang, F.lit(".sql")))
-            .when(m == 8, F.concat(F.lit("AV"), o, F.lit("_"), v, F.lit("_"), lang, F.lit(".sql")))
-            .when(m == 9, F.lit("notes.md"))
-            .when(m == 10, F.concat(lang, F.lit(".template.sql")))
-            .when(m == 11, F.concat(F.lit("V70000_"), lang, F.lit(".sql")))
-            .when(m == 12, F.concat(F.lit("V"), v, F.lit("_"), lang, F.lit(".down.sql")))
-            .otherwise(F.concat(F.lit("V"), v, F.lit("_"), lang, F.lit(".sql"))))
-    return d.select(F.col("source").alias("project"), "doc_id", "rn", name.alias("file_name"),
-                    F.col("text").alias("content"))
+    m = (F.col("doc_id") % 16).cast("int")
+    # name = prefix, number, [_version], "_", lang, suffix -- picked by doc_id % 16
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), m + 1)
+    prefix = pick(["V", "R", "R", "B", "BE", "BV", "A", "AE", "AV", "", "", "V", "V", "V", "V", "V"])
+    suffix = pick([".sql", ".sql", ".down.sql", ".sql", ".sql", ".sql", ".sql", ".sql", ".sql", ".md",
+                   ".template.sql", ".sql", ".down.sql", ".sql", ".sql", ".sql"])
+    number = (F.when(m.between(1, 8), o).when(m == 11, F.lit("70000"))
+              .when(m.isin(9, 10), F.lit("")).otherwise(v))
+    second = F.when(m.isin(5, 8), F.concat(F.lit("_"), v)).otherwise(F.lit(""))
+    sep = F.when(m.isin(9, 10), F.lit("")).otherwise(F.lit("_"))
+    body = F.when(m == 9, F.lit("notes")).otherwise(F.col("lang"))
+    name = F.concat(prefix, number, second, sep, body, suffix)
+    path = F.concat(F.col("source"), F.lit("/d"), F.lpad(F.col("doc_id").cast("string"), 8, "0"),
+                    F.lit("/"), name)
+    return d.select(F.col("source").alias("project"), "doc_id", "rn", "lang", name.alias("file_name"),
+                    path.alias("path"), F.col("text").alias("content"))
+
+
+def template_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a script of its source, with three template uses
+    appended; each source has one template ``sig`` = ``<$1/$2>``."""
+    d = table(spark, sf_dir, "documents")
+    scripts = d.select(F.col("source").alias("project"), "doc_id",
+                       F.concat(F.col("text"), F.lit(" {{sig, "), F.col("source"),
+                                F.lit(" , x}} {{ sig,z,y}} {{nope}}")).alias("content"))
+    templates = d.select(F.col("source").alias("project")).distinct().select(
+        "project", F.lit("sig").alias("name"), F.lit("<$1/$2>").alias("body"))
+    return scripts, templates

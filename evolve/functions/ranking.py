@@ -29,3 +29,23 @@ def rank_by_id(df: DataFrame, by: list[str], id_col: str, name: str,
     return (keyed.join(offsets, [*by, "_bucket"])
             .withColumn(name, (F.row_number().over(inner) + F.col("_off")).cast("int"))
             .drop("_bucket", "_off"))
+
+
+def rank_in_domain(df: DataFrame, by: list[str], key: str, ties: list[str], name: str,
+                   descending: bool = False) -> DataFrame:
+    """``row_number() over (partition by <by> order by <key> [desc], <ties>)``
+    where ``key`` has a small domain (versions: at most 65536 values, hook
+    orders: 256).
+
+    Rows are counted per (by, key) with a hash aggregate; the running sum over
+    the *distinct* keys of a group (bounded by the domain) gives each key's
+    offset; only rows sharing one key value are ordered together by ``ties``.
+    """
+    counts = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n"))
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*by, key).orderBy(*ties)
+    return (df.join(offsets, [*by, key])
+            .withColumn(name, (F.row_number().over(inner) + F.col("_off")).cast("int"))
+            .drop("_off"))

@@ -67,7 +67,10 @@ mini_history AS (
 
 _FILES = """
 files AS (
-  SELECT source AS project, doc_id, rn, text AS content,
+  SELECT project, doc_id, rn, lang, file_name, content,
+         project || '/d' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '/' || file_name AS path
+  FROM (
+  SELECT source AS project, doc_id, rn, lang, text AS content,
     CASE doc_id % 16
       WHEN 1 THEN 'R' || printf('%03d', rn * 7) || '_' || lang || '.sql'
       WHEN 2 THEN 'R' || printf('%03d', rn * 7) || '_' || lang || '.down.sql'
@@ -83,7 +86,7 @@ files AS (
       WHEN 12 THEN 'V' || printf('%03d', rn) || '_' || lang || '.down.sql'
       ELSE 'V' || printf('%03d', rn) || '_' || lang || '.sql' END AS file_name
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS rn
-        FROM documents) d)"""
+        FROM documents) d) f)"""
 
 
 def _with(*ctes: str) -> str:
@@ -198,3 +201,129 @@ SQL["gate_problems"] = _MINI_CHECKS + """
 SELECT p.target_id, CAST(p.stage AS INTEGER) AS stage, p.kind, CAST(p.version AS INTEGER) AS version, p.message
 FROM problems p
 WHERE p.stage = (SELECT min(q.stage) FROM problems q WHERE q.target_id = p.target_id)"""
+
+# --- script folders ------------------------------------------------------------
+
+_PAT = {
+    "UP": r"^V(\d+)_([^.]+)\.sql$",
+    "DOWN": r"^V(\d+)_([^.]+)\.down\.sql$",
+    "REPEATABLE": r"^R(\d+)_([^.]+)\.sql$",
+    "REPEATABLE_DOWN": r"^R(\d+)_([^.]+)\.down\.sql$",
+    "BEFORE": r"^B(\d+)_([^.]+)\.sql$",
+    "BEFORE_EACH": r"^BE(\d+)_([^.]+)\.sql$",
+    "BEFORE_VERSION": r"^BV(\d+)_(\d+)_([^.]+)\.sql$",
+    "AFTER": r"^A(\d+)_([^.]+)\.sql$",
+    "AFTER_EACH": r"^AE(\d+)_([^.]+)\.sql$",
+    "AFTER_VERSION": r"^AV(\d+)_(\d+)_([^.]+)\.sql$",
+    "TEMPLATE": r"^([^.]+)\.template\.sql$",
+}
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(file_name, '{p}') THEN '{k}'" for k, p in _PAT.items()) + " END"
+
+
+def _grp(idx_by_kind):
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN regexp_extract(file_name, '{_PAT[k]}', {i})"
+                                   for k, i in idx_by_kind.items()) + " END"
+
+
+_FIRST = _grp({k: 1 for k in _PAT if k != "TEMPLATE"})
+_SECOND = _grp({"BEFORE_VERSION": 2, "AFTER_VERSION": 2})
+_DESC = _grp({**{k: 2 for k in _PAT if k not in ("BEFORE_VERSION", "AFTER_VERSION", "TEMPLATE")},
+              "BEFORE_VERSION": 3, "AFTER_VERSION": 3, "TEMPLATE": 1})
+
+_CLASSIFIED = _FILES + """,
+kinds AS (SELECT *, """ + _KIND + """ AS kind FROM files),
+parsed AS (
+  SELECT *, """ + _FIRST + """ AS number_text, """ + _SECOND + """ AS version_text, """ + _DESC + """ AS description
+  FROM kinds WHERE kind IS NOT NULL),
+checked AS (
+  SELECT *,
+    CASE WHEN kind IN ('UP', 'DOWN') THEN 'migration' WHEN kind = 'TEMPLATE' THEN 'template' ELSE 'hook' END
+      AS category,
+    TRY_CAST(number_text AS BIGINT) <= CASE WHEN kind IN ('UP', 'DOWN') THEN 65535 ELSE 255 END AS num_ok,
+    version_text IS NULL OR TRY_CAST(version_text AS BIGINT) <= 65535 AS ver_ok
+  FROM parsed),
+classified AS (
+  SELECT project, doc_id, file_name, path, content, kind, category, description,
+    CAST(CASE WHEN category = 'migration' AND num_ok THEN TRY_CAST(number_text AS BIGINT)
+              WHEN kind IN ('BEFORE_VERSION', 'AFTER_VERSION') AND ver_ok THEN TRY_CAST(version_text AS BIGINT)
+         END AS INTEGER) AS version,
+    CAST(CASE WHEN category = 'hook' AND num_ok THEN TRY_CAST(number_text AS BIGINT) END AS INTEGER) AS hook_order,
+    number_text, version_text,
+    kind = 'TEMPLATE' OR (COALESCE(num_ok, false) AND COALESCE(ver_ok, false)) AS valid
+  FROM checked),
+migs AS (
+  SELECT project, kind AS direction, version, description, file_name, path, content
+  FROM classified WHERE category = 'migration' AND valid),
+hks AS (
+  SELECT project, kind AS hook_type, hook_order, version AS hook_version, file_name, path
+  FROM classified WHERE category = 'hook' AND valid)"""
+
+SQL["classify_files"] = "WITH " + _CLASSIFIED + """
+SELECT project, file_name, path, kind, category, version, hook_order, description, valid FROM classified"""
+
+SQL["invalid_files"] = "WITH " + _CLASSIFIED + """
+SELECT project, file_name, kind,
+  CASE WHEN COALESCE(TRY_CAST(number_text AS BIGINT) <= CASE WHEN kind IN ('UP','DOWN') THEN 65535 ELSE 255 END,
+                     false) THEN 'version'
+       WHEN kind IN ('UP', 'DOWN') THEN 'version' ELSE 'order' END AS field,
+  CASE WHEN COALESCE(TRY_CAST(number_text AS BIGINT) <= CASE WHEN kind IN ('UP','DOWN') THEN 65535 ELSE 255 END,
+                     false) THEN version_text ELSE number_text END AS value_text,
+  printf('strconv.ParseUint: parsing "%s": value out of range',
+    CASE WHEN COALESCE(TRY_CAST(number_text AS BIGINT) <= CASE WHEN kind IN ('UP','DOWN') THEN 65535 ELSE 255 END,
+                       false) THEN version_text ELSE number_text END) AS message
+FROM classified WHERE NOT valid"""
+
+SQL["select_scripts"] = "WITH " + _CLASSIFIED + """
+SELECT project, direction, version, description, path FROM migs WHERE direction = 'UP'"""
+
+SQL["select_hooks_up"] = "WITH " + _CLASSIFIED + """
+SELECT project, hook_type, hook_order, hook_version, path FROM hks WHERE hook_type <> 'REPEATABLE_DOWN'"""
+
+SQL["select_hooks_down"] = "WITH " + _CLASSIFIED + """
+SELECT project, hook_type, hook_order, hook_version, path FROM hks WHERE hook_type = 'REPEATABLE_DOWN'"""
+
+SQL["ordered_scripts"] = "WITH " + _CLASSIFIED + """
+SELECT project, direction, version, path,
+  CAST(row_number() OVER (PARTITION BY project, direction
+       ORDER BY CASE WHEN direction = 'UP' THEN version ELSE -version END, path) AS INTEGER) AS position
+FROM migs"""
+
+SQL["ordered_hooks"] = "WITH " + _CLASSIFIED + """
+SELECT project, hook_type, hook_order, path,
+  CAST(row_number() OVER (PARTITION BY project, hook_type ORDER BY hook_order, path) AS INTEGER) AS position
+FROM hks"""
+
+SQL["local_gaps"] = "WITH " + _CLASSIFIED + """
+SELECT project, CAST(expected AS INTEGER) AS expected, version AS got,
+       printf('expected version %d got %d', expected, version) AS message
+FROM (SELECT project, version,
+             COALESCE(lag(version) OVER (PARTITION BY project ORDER BY version, path) + 1, 1) AS expected
+      FROM migs WHERE direction = 'UP') x
+WHERE version <> expected"""
+
+SQL["next_version"] = "WITH " + _CLASSIFIED + """
+SELECT project, CAST(latest AS INTEGER) AS latest_local, CAST(latest + 1 AS INTEGER) AS next_version,
+       printf('V%03d_%s.sql', latest + 1, 'next_change') AS new_file_name, has_invalid
+FROM (SELECT project, COALESCE(max(CASE WHEN kind = 'UP' AND valid THEN version END), 0) AS latest,
+             bool_or(kind = 'UP' AND NOT valid) AS has_invalid
+      FROM classified GROUP BY project) x"""
+
+SQL["expand_templates"] = """
+SELECT source AS project, doc_id,
+  regexp_replace(text || ' {{sig, ' || source || ' , x}} {{ sig,z,y}} {{nope}}',
+                 '\\{\\{\\s*sig\\s*,\\s*([^,}]*?)\\s*,\\s*([^,}]*?)\\s*\\}\\}', '<\\1/\\2>', 'g') AS content
+FROM documents"""
+
+SQL["checksum"] = "WITH " + _CLASSIFIED + """,
+tpl AS (
+  SELECT project, description AS name, arg_min(content, path) AS body
+  FROM classified WHERE kind = 'TEMPLATE' GROUP BY project, description),
+used AS (
+  SELECT m.*, m.content || ' {{' || f.lang || ', ' || m.project || '}}' AS used_content,
+         '{{' || f.lang || ', ' || m.project || '}}' AS raw, f.lang
+  FROM migs m JOIN files f ON f.path = m.path
+  WHERE m.direction = 'UP')
+SELECT u.project, u.path, u.version,
+  md5(CASE WHEN t.body IS NULL THEN u.used_content
+           ELSE replace(u.used_content, u.raw, replace(t.body, '$1', u.project)) END) AS md5_checksum
+FROM used u LEFT JOIN tpl t ON t.project = u.project AND t.name = u.lang"""

@@ -84,3 +84,82 @@ def q_gate(spark, sf):
 @register("gate_problems")
 def q_gate_problems(spark, sf):
     return checks.gate_problems(*_mini(spark, sf))
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from evolve.functions import classify as cls  # noqa: E402
+from evolve.functions.templates import expand_templates  # noqa: E402
+from evolve.operators import scripts as scr  # noqa: E402
+
+
+def _classified(spark, sf):
+    return cls.classify_files(fx.files(spark, sf))
+
+
+@register("classify_files")
+def q_classify_files(spark, sf):
+    return _classified(spark, sf).select("project", "file_name", "path", "kind", "category", "version",
+                                         "hook_order", "description", "valid")
+
+
+@register("invalid_files")
+def q_invalid_files(spark, sf):
+    return cls.invalid_files(_classified(spark, sf))
+
+
+@register("select_scripts")
+def q_select_scripts(spark, sf):
+    m = scr.migrations_of(_classified(spark, sf))
+    return scr.select_scripts(m, down=False).select("project", "direction", "version", "description", "path")
+
+
+@register("select_hooks_up")
+def q_select_hooks_up(spark, sf):
+    h = scr.hooks_of(_classified(spark, sf))
+    return scr.select_hooks(h, down=False).select("project", "hook_type", "hook_order", "hook_version", "path")
+
+
+@register("select_hooks_down")
+def q_select_hooks_down(spark, sf):
+    h = scr.hooks_of(_classified(spark, sf))
+    return scr.select_hooks(h, down=True).select("project", "hook_type", "hook_order", "hook_version", "path")
+
+
+@register("ordered_scripts")
+def q_ordered_scripts(spark, sf):
+    m = scr.migrations_of(_classified(spark, sf))
+    return scr.ordered_scripts(m).select("project", "direction", "version", "path", "position")
+
+
+@register("ordered_hooks")
+def q_ordered_hooks(spark, sf):
+    h = scr.hooks_of(_classified(spark, sf))
+    return scr.ordered_hooks(h).select("project", "hook_type", "hook_order", "path", "position")
+
+
+@register("local_gaps")
+def q_local_gaps(spark, sf):
+    return checks.local_gaps(scr.migrations_of(_classified(spark, sf)))
+
+
+@register("next_version")
+def q_next_version(spark, sf):
+    return scr.next_version(_classified(spark, sf), "next_change")
+
+
+@register("expand_templates")
+def q_expand_templates(spark, sf):
+    scripts, templates = fx.template_uses(spark, sf)
+    return expand_templates(scripts, templates, ["doc_id"]).select("project", "doc_id", "content")
+
+
+@register("checksum")
+def q_checksum(spark, sf):
+    c = _classified(spark, sf)
+    up = c.where((F.col("kind") == "UP") & F.col("valid"))
+    used = up.select("project", "path", "version",
+                     F.concat("content", F.lit(" {{"), "lang", F.lit(", "), "project", F.lit("}}"))
+                     .alias("content"))
+    expanded = expand_templates(used, scr.templates_of(c), ["path"])
+    return expanded.select("project", "path", "version", F.md5("content").alias("md5_checksum"))

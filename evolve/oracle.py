@@ -327,3 +327,110 @@ SELECT u.project, u.path, u.version,
   md5(CASE WHEN t.body IS NULL THEN u.used_content
            ELSE replace(u.used_content, u.raw, replace(t.body, '$1', u.project)) END) AS md5_checksum
 FROM used u LEFT JOIN tpl t ON t.project = u.project AND t.name = u.lang"""
+
+# --- planning ------------------------------------------------------------------
+
+
+def _plan_ctes(skip_tens: bool) -> str:
+    skip = "WHERE version % 10 <> 0" if skip_tens else ""
+    return _with(*MAIN, _HOOKS)[:-1] + f""",
+down_scripts AS (
+  SELECT project, 'DOWN' AS direction, version, description,
+         printf('V%03d_%s.down.sql', version, description) AS file_name
+  FROM scripts {skip}),
+all_scripts AS (
+  SELECT project, direction, version, description, file_name FROM scripts
+  UNION ALL SELECT * FROM down_scripts),
+stats AS (
+  SELECT project, count(*) FILTER (WHERE direction = 'UP') AS n_up,
+         count(*) FILTER (WHERE direction = 'DOWN') AS n_down,
+         max(version) FILTER (WHERE direction = 'UP') AS max_up
+  FROM all_scripts GROUP BY project),
+lat AS (
+  SELECT t.target_id, CAST(COALESCE(max(h.version) FILTER (WHERE h.success), 0) AS INTEGER) AS latest_version
+  FROM targets t LEFT JOIN history h ON h.target_id = t.target_id GROUP BY t.target_id),
+resolved AS (
+  SELECT t.target_id, t.project, t.down, l.latest_version,
+         CAST(CASE WHEN t.down THEN COALESCE(t.destination, 0) ELSE COALESCE(t.destination, s.max_up) END
+              AS INTEGER) AS destination,
+         CASE WHEN t.down THEN COALESCE(s.n_down, 0) < 1 ELSE COALESCE(s.n_up, 0) < 1 END AS no_scripts
+  FROM targets t JOIN lat l ON l.target_id = t.target_id LEFT JOIN stats s ON s.project = t.project),
+acts AS (
+  SELECT target_id, project, down, latest_version, destination,
+    CASE WHEN no_scripts THEN 'no_scripts'
+         WHEN latest_version = destination THEN 'up_to_date'
+         WHEN NOT down AND destination < latest_version THEN 'up_below_current'
+         WHEN down AND destination > latest_version THEN 'down_above_current'
+         ELSE 'run' END AS action
+  FROM resolved),
+pend_up AS (
+  SELECT a.target_id, a.project, s.version, s.file_name FROM acts a
+  JOIN all_scripts s ON s.project = a.project AND s.direction = 'UP'
+   AND s.version > a.latest_version AND s.version <= a.destination
+  WHERE a.action = 'run' AND NOT a.down),
+pend_down AS (
+  SELECT a.target_id, a.project, a.destination, s.version, s.file_name FROM acts a
+  JOIN all_scripts s ON s.project = a.project AND s.direction = 'DOWN'
+   AND s.version > a.destination AND s.version <= a.latest_version
+  WHERE a.action = 'run' AND a.down)
+"""
+
+
+SQL["run_action"] = _plan_ctes(False) + """
+SELECT target_id, down, latest_version, destination, action FROM acts"""
+
+SQL["pending_up"] = _plan_ctes(False) + "SELECT target_id, version FROM pend_up"
+
+SQL["pending_down"] = _plan_ctes(False) + """
+SELECT p.target_id, p.version,
+       EXISTS (SELECT 1 FROM history h WHERE h.target_id = p.target_id AND h.version = p.version) AS applied
+FROM pend_down p"""
+
+SQL["missing_down"] = _plan_ctes(True) + """
+SELECT h.target_id, h.version FROM history h JOIN acts a ON a.target_id = h.target_id
+WHERE a.action = 'run' AND a.down AND h.version > a.destination AND h.version <= a.latest_version
+  AND NOT EXISTS (SELECT 1 FROM down_scripts d WHERE d.project = a.project AND d.version = h.version)"""
+
+SQL["plan_up"] = _plan_ctes(False) + """,
+steps AS (
+  SELECT a.target_id, 0 AS blk, CAST(NULL AS INTEGER) AS version, CAST(NULL AS VARCHAR) AS sk, 0 AS phase,
+         h.hook_order AS ord, 'BEFORE' AS kind, h.file_name AS name
+  FROM acts a JOIN hooks h ON h.hook_type = 'BEFORE' WHERE a.action = 'run' AND NOT a.down
+  UNION ALL
+  SELECT p.target_id, 1, p.version, p.file_name, 1, h.hook_order, 'REPEATABLE', h.file_name
+  FROM pend_up p JOIN hooks h ON h.hook_type = 'REPEATABLE' WHERE p.version > 1
+  UNION ALL
+  SELECT p.target_id, 1, p.version, p.file_name, 2, h.hook_order, 'BEFORE_EACH', h.file_name
+  FROM pend_up p JOIN hooks h ON h.hook_type = 'BEFORE_EACH'
+  UNION ALL
+  SELECT p.target_id, 1, p.version, p.file_name, 3, h.hook_order, 'BEFORE_VERSION', h.file_name
+  FROM pend_up p JOIN hooks h ON h.hook_type = 'BEFORE_VERSION' AND h.hook_version = p.version
+  UNION ALL
+  SELECT p.target_id, 1, p.version, p.file_name, 4, 0, 'UP', p.file_name FROM pend_up p
+  UNION ALL
+  SELECT p.target_id, 1, p.version, p.file_name, 5, h.hook_order, 'AFTER_VERSION', h.file_name
+  FROM pend_up p JOIN hooks h ON h.hook_type = 'AFTER_VERSION' AND h.hook_version = p.version
+  UNION ALL
+  SELECT p.target_id, 1, p.version, p.file_name, 6, h.hook_order, 'AFTER_EACH', h.file_name
+  FROM pend_up p JOIN hooks h ON h.hook_type = 'AFTER_EACH'
+  UNION ALL
+  SELECT a.target_id, 2, NULL, NULL, 0, h.hook_order, 'AFTER', h.file_name
+  FROM acts a JOIN hooks h ON h.hook_type = 'AFTER' WHERE a.action = 'run' AND NOT a.down)
+SELECT target_id,
+       CAST(row_number() OVER (PARTITION BY target_id
+            ORDER BY blk, version NULLS FIRST, sk NULLS FIRST, phase, ord, name) AS INTEGER) AS step,
+       kind, CAST(version AS INTEGER) AS version, name
+FROM steps"""
+
+SQL["plan_down"] = _plan_ctes(True) + """,
+steps AS (
+  SELECT target_id, version, file_name AS sk, 0 AS phase, 0 AS ord, 'DOWN' AS kind, file_name AS name
+  FROM pend_down
+  UNION ALL
+  SELECT target_id, version, file_name, 1, 1, 'REPEATABLE_DOWN', 'rd1'
+  FROM pend_down WHERE version > destination + 1)
+SELECT target_id,
+       CAST(row_number() OVER (PARTITION BY target_id ORDER BY version DESC, sk, phase, ord, name) AS INTEGER)
+         AS step,
+       kind, CAST(version AS INTEGER) AS version, name
+FROM steps"""

@@ -163,3 +163,47 @@ def q_checksum(spark, sf):
                      .alias("content"))
     expanded = expand_templates(used, scr.templates_of(c), ["path"])
     return expanded.select("project", "path", "version", F.md5("content").alias("md5_checksum"))
+
+
+from evolve.plans import planning as pl  # noqa: E402
+
+
+def _fleet_scripts(spark, sf, skip_tens=False):
+    cols = ["project", "direction", "version", "description", "file_name"]
+    return fx.scripts(spark, sf).select(*cols).unionByName(
+        fx.down_scripts(spark, sf, skip_tens).select(*cols))
+
+
+def _actions(spark, sf, skip_tens=False):
+    return pl.run_action(fx.targets(spark, sf), fx.history(spark, sf), _fleet_scripts(spark, sf, skip_tens))
+
+
+@register("run_action")
+def q_run_action(spark, sf):
+    return _actions(spark, sf).select("target_id", "down", "latest_version", "destination", "action")
+
+
+@register("pending_up")
+def q_pending_up(spark, sf):
+    return pl.pending_up(_actions(spark, sf), _fleet_scripts(spark, sf)).select("target_id", "version")
+
+
+@register("pending_down")
+def q_pending_down(spark, sf):
+    return pl.pending_down(_actions(spark, sf), _fleet_scripts(spark, sf), fx.history(spark, sf)) \
+        .select("target_id", "version", "applied")
+
+
+@register("missing_down")
+def q_missing_down(spark, sf):
+    return pl.missing_down(_actions(spark, sf, True), _fleet_scripts(spark, sf, True), fx.history(spark, sf))
+
+
+@register("plan_up")
+def q_plan_up(spark, sf):
+    return pl.plan_up(_actions(spark, sf), _fleet_scripts(spark, sf), fx.hooks(spark))
+
+
+@register("plan_down")
+def q_plan_down(spark, sf):
+    return pl.plan_down(_actions(spark, sf, True), _fleet_scripts(spark, sf, True), fx.down_hooks(spark))

@@ -434,3 +434,70 @@ SELECT target_id,
          AS step,
        kind, CAST(version AS INTEGER) AS version, name
 FROM steps"""
+
+# --- history mutations and effective steps ------------------------------------------
+
+_HALVES = """,
+first_half AS (SELECT * FROM log WHERE executed_at < TIMESTAMP '2024-01-16 00:00:00'),
+second_half AS (SELECT * FROM log WHERE executed_at >= TIMESTAMP '2024-01-16 00:00:00'),
+base AS (
+  SELECT target_id, version, description, md5_checksum, success, executed_at, CAST(NULL AS TIMESTAMP) AS repaired_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY target_id, version ORDER BY executed_at DESC, event_id DESC) rn
+        FROM first_half WHERE NOT (direction = 'DOWN' AND NOT success)) x
+  WHERE rn = 1 AND direction = 'UP')
+"""
+
+SQL["apply_ups"] = _with(*MAIN)[:-1] + _HALVES + """,
+ups AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, version
+                                              ORDER BY executed_at DESC, event_id DESC) AS rn
+                 FROM second_half WHERE direction = 'UP') x WHERE rn = 1)
+SELECT u.target_id, u.version, u.description, u.md5_checksum, u.success, u.executed_at, b.repaired_at
+FROM ups u LEFT JOIN base b ON b.target_id = u.target_id AND b.version = u.version
+UNION ALL
+SELECT b.* FROM base b
+WHERE NOT EXISTS (SELECT 1 FROM ups u WHERE u.target_id = b.target_id AND u.version = b.version)"""
+
+SQL["apply_rollbacks"] = _with(*MAIN)[:-1] + _HALVES + """
+SELECT b.* FROM base b
+WHERE NOT EXISTS (SELECT 1 FROM second_half d WHERE d.direction = 'DOWN' AND d.success
+                  AND d.target_id = b.target_id AND d.version = b.version)"""
+
+SQL["fold_incremental"] = _with(*MAIN) + "SELECT * FROM history"
+
+
+def _repair(reset: bool) -> str:
+    existing = "true" if reset else "h.success"
+    return _with(*MAIN)[:-1] + f""",
+wanted AS (SELECT t.target_id, s.version, s.description, s.md5_checksum
+           FROM targets t JOIN scripts s ON s.project = t.project)
+SELECT COALESCE(h.target_id, w.target_id) AS target_id, COALESCE(h.version, w.version) AS version,
+  COALESCE(w.description, h.description) AS description,
+  COALESCE(w.md5_checksum, h.md5_checksum) AS md5_checksum,
+  CASE WHEN w.version IS NULL THEN h.success WHEN h.version IS NULL THEN true ELSE {existing} END AS success,
+  COALESCE(h.executed_at, TIMESTAMP '2024-02-01 00:00:00') AS executed_at,
+  CASE WHEN w.version IS NULL THEN h.repaired_at
+       WHEN h.version IS NULL THEN TIMESTAMP '2024-02-01 00:00:00'
+       WHEN w.description <> h.description OR w.md5_checksum <> h.md5_checksum
+         THEN TIMESTAMP '2024-02-01 00:00:00'
+       ELSE h.repaired_at END AS repaired_at
+FROM history h FULL OUTER JOIN wanted w ON w.target_id = h.target_id AND w.version = h.version"""
+
+
+SQL["repair_reset"] = _repair(True)
+SQL["repair_keep"] = _repair(False)
+
+SQL["effective_failfast"] = _with(*MAIN) + """
+SELECT event_id, target_id, version, direction, success, executed_at FROM (
+  SELECT *, COALESCE(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (
+              PARTITION BY target_id, CAST(executed_at AS DATE) ORDER BY executed_at, event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fails_before
+  FROM log) x
+WHERE fails_before = 0"""
+
+SQL["effective_atomic"] = _with(*MAIN) + """
+SELECT event_id, target_id, version, direction, success, executed_at FROM (
+  SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (
+              PARTITION BY target_id, CAST(executed_at AS DATE)) AS fails
+  FROM log) x
+WHERE fails = 0"""

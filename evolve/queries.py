@@ -207,3 +207,55 @@ def q_plan_up(spark, sf):
 @register("plan_down")
 def q_plan_down(spark, sf):
     return pl.plan_down(_actions(spark, sf, True), _fleet_scripts(spark, sf, True), fx.down_hooks(spark))
+
+
+import datetime as _dt  # noqa: E402
+
+from evolve.plans.effects import effective_steps  # noqa: E402
+
+SPLIT = _dt.datetime(2024, 1, 16)     # the log is applied in two batches: before / from this time
+REPAIR_AT = _dt.datetime(2024, 2, 1)  # "now" of the repair runs
+LOG_COLS = ["event_id", "target_id", "version", "direction", "success", "executed_at"]
+
+
+def _halves(spark, sf):
+    lg = fx.log(spark, sf)
+    return lg.where(F.col("executed_at") < F.lit(SPLIT)), lg.where(F.col("executed_at") >= F.lit(SPLIT))
+
+
+@register("apply_ups")
+def q_apply_ups(spark, sf):
+    first, second = _halves(spark, sf)
+    return hist.apply_ups(hist.fold_history(first), second)
+
+
+@register("apply_rollbacks")
+def q_apply_rollbacks(spark, sf):
+    first, second = _halves(spark, sf)
+    return hist.apply_rollbacks(hist.fold_history(first), second)
+
+
+@register("fold_incremental")
+def q_fold_incremental(spark, sf):
+    first, second = _halves(spark, sf)
+    return hist.fold_history(second, hist.fold_history(first))
+
+
+@register("repair_reset")
+def q_repair_reset(spark, sf):
+    return hist.repair(fx.history(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf), REPAIR_AT, True)
+
+
+@register("repair_keep")
+def q_repair_keep(spark, sf):
+    return hist.repair(fx.history(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf), REPAIR_AT, False)
+
+
+@register("effective_failfast")
+def q_effective_failfast(spark, sf):
+    return effective_steps(fx.log(spark, sf)).select(*LOG_COLS)
+
+
+@register("effective_atomic")
+def q_effective_atomic(spark, sf):
+    return effective_steps(fx.log(spark, sf), in_transaction=True).select(*LOG_COLS)

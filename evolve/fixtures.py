@@ -176,3 +176,30 @@ def template_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = d.select(F.col("source").alias("project")).distinct().select(
         "project", F.lit("sig").alias("name"), F.lit("<$1/$2>").alias("body"))
     return scripts, templates
+
+
+# --- versioned changes of user tables -----------------------------------------------
+
+def orders_changes():
+    from evolve.plans.migrate import Change
+    return [
+        Change(1, "SELECT *, CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice >= 100000 "
+                  "THEN 'mid' ELSE 'low' END AS band FROM {t}",
+               "SELECT * EXCEPT (band) FROM {t}", "add_band"),
+        Change(2, "SELECT * EXCEPT (o_orderpriority), o_orderpriority AS priority FROM {t}",
+               "SELECT * EXCEPT (priority), priority AS o_orderpriority FROM {t}", "rename_priority"),
+        Change(3, "SELECT * FROM {t} WHERE o_orderstatus <> 'P'", "SELECT * FROM {t}", "drop_pending"),
+    ]
+
+
+def lineitem_changes():
+    from evolve.plans.migrate import Change, Hook
+    changes = [
+        Change(1, "SELECT *, l_extendedprice * (1 - l_discount) AS net FROM {t}",
+               "SELECT * EXCEPT (net) FROM {t}", "add_net"),
+        Change(2, "SELECT *, net * (1 + l_tax) AS charge FROM {t}",
+               "SELECT * EXCEPT (charge) FROM {t}", "add_charge"),
+        Change(3, "SELECT * EXCEPT (l_tax) FROM {t} WHERE l_returnflag <> 'R'", None, "drop_returns"),
+    ]
+    hooks = [Hook("BEFORE", 1, "SELECT * FROM {t} WHERE l_quantity > 0", name="positive_quantity")]
+    return changes, hooks

@@ -501,3 +501,23 @@ SELECT event_id, target_id, version, direction, success, executed_at FROM (
               PARTITION BY target_id, CAST(executed_at AS DATE)) AS fails
   FROM log) x
 WHERE fails = 0"""
+
+# --- table changes -----------------------------------------------------------------
+
+SQL["migrate_orders_up"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+       CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS band,
+       o_orderpriority AS priority
+FROM orders WHERE o_orderstatus <> 'P'"""
+
+SQL["migrate_orders_down"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+       CASE WHEN o_totalprice >= 200000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS band
+FROM orders WHERE o_orderstatus <> 'P'"""
+
+SQL["migrate_lineitem_up"] = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+       l_returnflag, l_linestatus, l_shipdate,
+       l_extendedprice * (1 - l_discount) AS net,
+       l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
+FROM lineitem WHERE l_quantity > 0 AND l_returnflag <> 'R'"""

@@ -259,3 +259,23 @@ def q_effective_failfast(spark, sf):
 @register("effective_atomic")
 def q_effective_atomic(spark, sf):
     return effective_steps(fx.log(spark, sf), in_transaction=True).select(*LOG_COLS)
+
+
+from evolve.plans.migrate import migrate_table  # noqa: E402
+
+
+@register("migrate_orders_up")
+def q_migrate_orders_up(spark, sf):
+    return migrate_table(spark, fx.table(spark, sf, "orders"), fx.orders_changes(), 0, 3).table
+
+
+@register("migrate_orders_down")
+def q_migrate_orders_down(spark, sf):
+    up = migrate_table(spark, fx.table(spark, sf, "orders"), fx.orders_changes(), 0, 3).table
+    return migrate_table(spark, up, fx.orders_changes(), 3, 1).table
+
+
+@register("migrate_lineitem_up")
+def q_migrate_lineitem_up(spark, sf):
+    changes, hooks = fx.lineitem_changes()
+    return migrate_table(spark, fx.table(spark, sf, "lineitem"), changes, 0, 3, hooks=hooks).table

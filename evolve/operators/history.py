@@ -34,7 +34,7 @@ def _as_history(df: DataFrame) -> DataFrame:
     return df.select(*HISTORY_COLS)
 
 
-def _last_outcomes(log: DataFrame) -> DataFrame:
+def last_outcomes(log: DataFrame) -> DataFrame:
     """Last attempt per (target_id, version), ordered by (executed_at, event_id).
 
     Failed DOWN attempts are dropped first: they leave the stored row as it is.
@@ -61,7 +61,12 @@ def fold_history(log: DataFrame, history: DataFrame | None = None) -> DataFrame:
     * for each key only the last attempt counts, so the result equals applying
       the log one event at a time in (executed_at, event_id) order.
     """
-    last = _last_outcomes(log)
+    return merge_outcomes(last_outcomes(log), history)
+
+
+def merge_outcomes(last: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Apply per-key outcomes (``target_id, version, last, cleared`` as built by
+    the fold or by the streaming aggregation) to a stored history."""
     if history is None:
         return (last.where(F.col("last.direction") == "UP")
                 .select(*KEY, "last.description", "last.md5_checksum", "last.success",

@@ -1,0 +1,54 @@
+"""Keep histories current from a stream of execution-log rows.
+
+The fold of the log (``evolve.operators.history.fold_history``) is a keyed
+reduction, so it runs as a Structured Streaming aggregation keyed by
+(target_id, version): the state store holds exactly one row per key -- the
+history itself -- and each micro-batch emits only the keys it changed
+(output mode ``update``).  ``foreachBatch`` appends those changes, tagged with
+the batch id, to a changes folder; a replayed batch appends identical rows
+again, which the read side tolerates, so the sink is idempotent.
+
+``current_history`` folds the changes (latest batch per key wins) onto a base
+snapshot, and ``compact`` writes that as the new snapshot.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from evolve.operators.history import KEY, last_outcomes, merge_outcomes
+from evolve.session import checkpoint_dir
+
+
+def outcome_updates(log_stream: DataFrame) -> DataFrame:
+    """Streaming per-key outcome of all log rows seen so far."""
+    return last_outcomes(log_stream)
+
+
+def start_history_stream(log_stream: DataFrame, changes_path: str,
+                         checkpoint_location: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Start the stream; returns the running query."""
+    spark = log_stream.sparkSession
+    location = checkpoint_location or os.path.join(checkpoint_dir(spark), "history-stream")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("append").parquet(changes_path))
+
+    writer = (outcome_updates(log_stream).writeStream.outputMode("update")
+              .foreachBatch(sink).option("checkpointLocation", location))
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.start()
+
+
+def current_history(spark: SparkSession, changes_path: str, base: DataFrame | None = None) -> DataFrame:
+    """History = base snapshot + latest change per key."""
+    ch = spark.read.parquet(changes_path)
+    latest = ch.groupBy(*KEY).agg(
+        F.max_by(F.struct("last", "cleared"), F.col("batch_id")).alias("s"))
+    return merge_outcomes(latest.select(*KEY, "s.last", "s.cleared"), base)

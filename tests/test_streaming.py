@@ -1,0 +1,28 @@
+"""The streaming fold equals the batch fold of the same log."""
+
+import os
+
+from evolve import fixtures as fx
+from evolve.operators.history import fold_history
+from evolve.streaming.history_stream import current_history, start_history_stream
+from conftest import SF_SMALL
+
+
+def _digest(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_stream_fold_equals_batch_fold(spark, tmpdir_path):
+    log = fx.log(spark, SF_SMALL)
+    src = os.path.join(tmpdir_path, "log")
+    # three arrivals, split by event time
+    for i, (lo, hi) in enumerate([("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"),
+                                  ("2024-01-21", "2024-03-01")]):
+        log.where(f"executed_at >= '{lo}' AND executed_at < '{hi}'").write.parquet(f"{src}/part{i}")
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    changes = os.path.join(tmpdir_path, "changes")
+    q = start_history_stream(stream, changes, os.path.join(tmpdir_path, "ckpt"))
+    q.processAllAvailable()
+    q.stop()
+    assert _digest(current_history(spark, changes)) == _digest(fold_history(log))

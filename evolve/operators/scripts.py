@@ -63,6 +63,12 @@ def load_scripts(classified: DataFrame, down: bool = False) -> DataFrame:
     return with_checksum(m)
 
 
+def load_hooks(classified: DataFrame, down: bool = False, **flags) -> DataFrame:
+    """Hooks as a run loads them: selected by the flags, templates expanded."""
+    h = select_hooks(loadable(hooks_of(classified), classified), down, **flags)
+    return expand_templates(h, templates_of(classified), ["path"])
+
+
 def select_scripts(scripts: DataFrame, down: bool = False) -> DataFrame:
     """UP scripts always, DOWN scripts only for a down run."""
     return scripts if down else scripts.where(F.col("direction") == "UP")

@@ -21,11 +21,29 @@ from evolve.operators.history import fold_history
 
 APP = "app"  # the one project of the main fleet
 
+_MEMO: dict = {}
 
+
+def memo(fn):
+    """Build each fixture DataFrame once per session and arguments.  Only the
+    plan object is reused (it is immutable); every query still runs its whole
+    plan.  Shared subtrees also let Spark reuse their exchanges."""
+    def wrapper(spark, *args, **kwargs):
+        key = (fn.__name__, spark.sparkContext.applicationId, args, tuple(sorted(kwargs.items())))
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, *args, **kwargs)
+        return _MEMO[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@memo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@memo
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UP scripts: version = doc_id for documents 1..100."""
     d = table(spark, sf_dir, "documents").where(F.col("doc_id").between(1, 100))
@@ -40,6 +58,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def down_scripts(spark: SparkSession, sf_dir: str, skip_tens: bool = False) -> DataFrame:
     """DOWN scripts for the same versions; ``skip_tens`` leaves out version % 10 = 0."""
     s = scripts(spark, sf_dir).withColumn("direction", F.lit("DOWN")) \
@@ -48,6 +67,7 @@ def down_scripts(spark: SparkSession, sf_dir: str, skip_tens: bool = False) -> D
     return s.where(F.col("version") % 10 != 0) if skip_tens else s
 
 
+@memo
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Execution log: one attempt per event.
 
@@ -60,7 +80,9 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "version", "description", "md5_checksum",
         F.md5(F.concat("content", F.lit("#old"))).alias("old_md5"))
     k = F.get_json_object("props", "$.k").cast("int") + 1
-    j = e.join(s, k == s["version"])
+    # One project's scripts: at most 65536 rows of keys and checksums, so the
+    # broadcast is bounded; the events stream through in parallel.
+    j = e.join(F.broadcast(s), k == s["version"])
     return j.select(
         F.col("event_id"),
         F.col("user_id").alias("target_id"),
@@ -73,10 +95,12 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memo
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_history(log(spark, sf_dir))
 
 
+@memo
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run configuration per user: down for user_id % 6 >= 3, destinations by user_id % 6."""
     u = table(spark, sf_dir, "events").select(F.col("user_id").alias("target_id")).distinct()
@@ -87,6 +111,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     dest.alias("destination"))
 
 
+@memo
 def hooks(spark: SparkSession) -> DataFrame:
     """The hook set of project ``app`` (a configuration, not data)."""
     rows = [("BEFORE", 1, None, "b1"), ("BEFORE", 2, None, "b2"), ("BEFORE_EACH", 1, None, "be1"),
@@ -96,6 +121,7 @@ def hooks(spark: SparkSession) -> DataFrame:
     return df.select(F.lit(APP).alias("project"), "*", F.lit("").alias("content"))
 
 
+@memo
 def down_hooks(spark: SparkSession) -> DataFrame:
     rows = [("REPEATABLE_DOWN", 1, None, "rd1")]
     df = spark.createDataFrame(rows, "hook_type string, hook_order int, hook_version int, file_name string")
@@ -104,6 +130,7 @@ def down_hooks(spark: SparkSession) -> DataFrame:
 
 # --- mini fleet -----------------------------------------------------------
 
+@memo
 def mini_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents 1..8 as the scripts of project 'full'; the same without 4 for 'gappy'."""
     d = table(spark, sf_dir, "documents").where(F.col("doc_id").between(1, 8))
@@ -114,12 +141,14 @@ def mini_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(gappy)
 
 
+@memo
 def mini_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("target_id")).distinct()
     return c.select("target_id",
                     F.when(F.col("target_id") % 4 == 0, "gappy").otherwise("full").alias("project"))
 
 
+@memo
 def mini_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -138,6 +167,7 @@ def mini_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- script folders -----------------------------------------------------------
 
+@memo
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Script folders: one project per document source.
 
@@ -166,6 +196,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     path.alias("path"), F.col("text").alias("content"))
 
 
+@memo
 def template_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a script of its source, with three template uses
     appended; each source has one template ``sig`` = ``<$1/$2>``."""

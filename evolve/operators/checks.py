@@ -161,16 +161,34 @@ def gate_problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) ->
 
 def status(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: latest applied version, number of history mismatches (gaps
-    and drift) and number of failing rows (A3).  Local gaps are not counted."""
-    per_target = history.groupBy("target_id").agg(
+    and drift) and number of failing rows (A3).  Local gaps are not counted.
+
+    One pass over the history: the target's project is attached, gaps are
+    flagged by one window per target, drift by a join with the distinct local
+    (project, version, description, checksum) tuples, and a single aggregate
+    per target counts everything.  The window, the aggregate and a history
+    stored bucketed by target_id all share one partitioning.
+    """
+    up = _up(scripts)
+    with_scripts = up.select("project").distinct().withColumn("_checked", F.lit(True))
+    tp = targets.select("target_id", "project").join(with_scripts, "project", "left")
+    tuples = (up.select("project", "version", "description", "md5_checksum").distinct()
+              .withColumn("_local", F.lit(True)))
+    w = Window.partitionBy("target_id").orderBy("version")
+    h = (history.select("target_id", "version", "description", "md5_checksum", "success")
+         .withColumn("_gap", F.col("version") != F.coalesce(F.lag("version").over(w) + 1, F.lit(1)))
+         .join(tp, "target_id")
+         .join(tuples, ["project", "version", "description", "md5_checksum"], "left"))
+    checked = F.coalesce(F.col("_checked"), F.lit(False))
+    drifted = F.col("success") & F.col("_local").isNull()
+    per_target = h.groupBy("target_id").agg(
         F.max(F.when(F.col("success"), F.col("version"))).alias("latest"),
-        F.count_if(~F.col("success")).alias("n_failing"))
-    mism = (history_gaps(history, scripts, targets).select("target_id")
-            .unionByName(drift(history, scripts, targets).select("target_id"))
-            .groupBy("target_id").agg(F.count(F.lit(1)).alias("n_mismatch")))
+        F.count_if(~F.col("success")).alias("n_failing"),
+        F.count_if(checked & (F.col("_gap") | drifted)).alias("n_mismatch_rows"),
+        F.count_if(checked & F.col("_gap") & drifted).alias("n_both"))
     return (targets.select("target_id").join(per_target, "target_id", "left")
-            .join(mism, "target_id", "left")
             .select("target_id",
                     F.coalesce("latest", F.lit(0)).cast("int").alias("latest_version"),
-                    F.coalesce("n_mismatch", F.lit(0)).cast("long").alias("mismatches"),
+                    (F.coalesce("n_mismatch_rows", F.lit(0)) + F.coalesce("n_both", F.lit(0)))
+                    .cast("long").alias("mismatches"),
                     F.coalesce("n_failing", F.lit(0)).cast("long").alias("failing")))

@@ -23,6 +23,10 @@ from evolve.operators.scripts import select_hooks
 
 VERSION_BLOCK = 256
 
+# position of each step type inside one version of an up run
+PHASE = {"REPEATABLE": 1, "BEFORE_EACH": 2, "BEFORE_VERSION": 3, "UP": 4, "AFTER_VERSION": 5, "AFTER_EACH": 6,
+         "BEFORE": 0, "AFTER": 0}
+
 ACTIONS = ("no_scripts", "blocked", "up_to_date", "up_below_current", "down_above_current", "run")
 
 
@@ -130,38 +134,34 @@ def plan_up(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, **flags) -
                                               F.col("file_name").alias("_script"))
     h = select_hooks(hooks, down=False, **flags).select("project", "hook_type", "hook_order", "hook_version",
                                                         "file_name")
-
-    def of(kind):
-        return h.where(F.col("hook_type") == kind)
-
-    def step(df, block, phase, kind, name, version, order, script):
-        return df.select("target_id", F.lit(block).alias("_block"), version.cast("int").alias("version"),
-                         script.alias("_script_key"), F.lit(phase).alias("_phase"),
-                         order.cast("int").alias("_order"), F.lit(kind).alias("kind"), name.alias("name"))
-
-    none_int, none_str = F.lit(None), F.lit(None).cast("string")
-    parts = [
-        step(runs.join(of("BEFORE"), "project"), 0, 0, "BEFORE", F.col("file_name"), none_int,
-             F.col("hook_order"), none_str),
-        step(pend.where(F.col("version") > 1).join(of("REPEATABLE"), "project"), 1, 1, "REPEATABLE",
-             F.col("file_name"), F.col("version"), F.col("hook_order"), F.col("_script")),
-        step(pend.join(of("BEFORE_EACH"), "project"), 1, 2, "BEFORE_EACH", F.col("file_name"),
-             F.col("version"), F.col("hook_order"), F.col("_script")),
-        step(pend.join(of("BEFORE_VERSION").withColumnRenamed("hook_version", "version"), ["project", "version"]),
-             1, 3, "BEFORE_VERSION", F.col("file_name"), F.col("version"), F.col("hook_order"), F.col("_script")),
-        step(pend, 1, 4, "UP", F.col("_script"), F.col("version"), F.lit(0), F.col("_script")),
-        step(pend.join(of("AFTER_VERSION").withColumnRenamed("hook_version", "version"), ["project", "version"]),
-             1, 5, "AFTER_VERSION", F.col("file_name"), F.col("version"), F.col("hook_order"), F.col("_script")),
-        step(pend.join(of("AFTER_EACH"), "project"), 1, 6, "AFTER_EACH", F.col("file_name"),
-             F.col("version"), F.col("hook_order"), F.col("_script")),
-        step(runs.join(of("AFTER"), "project"), 2, 0, "AFTER", F.col("file_name"), none_int,
-             F.col("hook_order"), none_str),
-    ]
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+    # phase of each hook type inside a version; BEFORE / AFTER wrap the run
+    phase = F.element_at(F.create_map(*[F.lit(x) for kv in PHASE.items() for x in kv]), F.col("hook_type"))
+    h = h.withColumn("_phase", phase)
+    per_version = h.where(F.col("_phase") > 0)
+    around = h.where(F.col("hook_type").isin("BEFORE", "AFTER"))
+
+    # every per-version hook in one join: versioned hooks match their version,
+    # REPEATABLE is skipped before version 1
+    hv = per_version.select(F.col("project").alias("_h_project"), F.col("hook_type").alias("kind"),
+                            F.col("hook_order").alias("_order"), F.col("hook_version").alias("_h_version"),
+                            F.col("file_name").alias("name"), "_phase")
+    vh = (pend.join(hv, (F.col("project") == F.col("_h_project"))
+                    & (F.col("_h_version").isNull() | (F.col("_h_version") == F.col("version")))
+                    & ((F.col("kind") != "REPEATABLE") | (F.col("version") > 1)))
+          .select("target_id", F.lit(1).alias("_block"), "version", F.col("_script").alias("_script_key"),
+                  "_phase", "_order", "kind", "name"))
+    sv = pend.select("target_id", F.lit(1).alias("_block"), "version", F.col("_script").alias("_script_key"),
+                     F.lit(PHASE["UP"]).alias("_phase"), F.lit(0).alias("_order"), F.lit("UP").alias("kind"),
+                     F.col("_script").alias("name"))
+    ba = (runs.join(around, "project")
+          .select("target_id", F.when(F.col("hook_type") == "BEFORE", 0).otherwise(2).alias("_block"),
+                  F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("_script_key"),
+                  F.lit(0).alias("_phase"), F.col("hook_order").alias("_order"),
+                  F.col("hook_type").alias("kind"), F.col("file_name").alias("name")))
+    allp = ba.unionByName(vh).unionByName(sv)
     w = Window.partitionBy("target_id").orderBy("_block", "version", "_script_key", "_phase", "_order", "name")
-    return allp.select("target_id", F.row_number().over(w).cast("int").alias("step"), "kind", "version", "name")
+    return allp.select("target_id", F.row_number().over(w).cast("int").alias("step"), "kind",
+                       F.col("version").cast("int").alias("version"), "name")
 
 
 def plan_down(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, use_repeatable: bool = True) -> DataFrame:

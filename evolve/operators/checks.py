@@ -135,39 +135,15 @@ def problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> Data
     return f.unionByName(lg).unionByName(hg).unionByName(dr)
 
 
-def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """First failing validation stage per target (D2); 0 = passes.
-
-    Stage 1: failed rows in the history; 2: gaps in the local UP scripts;
-    3: history gaps and drift.  A target stops at its first failing stage.
-    """
-    p = problems(history, scripts, targets)
-    first = p.groupBy("target_id").agg(F.min("stage").alias("first_stage"))
-    counted = p.join(first, "target_id").where(F.col("stage") == F.col("first_stage")) \
-        .groupBy("target_id").agg(F.count(F.lit(1)).alias("problems"))
-    return (targets.select("target_id", "project").join(first, "target_id", "left")
-            .join(counted, "target_id", "left")
-            .select("target_id", "project",
-                    F.coalesce("first_stage", F.lit(0)).cast("int").alias("stage"),
-                    F.coalesce("problems", F.lit(0)).cast("long").alias("problems")))
-
-
-def gate_problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """The problems of each target's first failing stage (what a run reports)."""
-    p = problems(history, scripts, targets)
-    first = p.groupBy("target_id").agg(F.min("stage").alias("stage"))
-    return p.join(first, ["target_id", "stage"], "left_semi")
-
-
-def status(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target: latest applied version, number of history mismatches (gaps
-    and drift) and number of failing rows (A3).  Local gaps are not counted.
-
-    One pass over the history: the target's project is attached, gaps are
-    flagged by one window per target, drift by a join with the distinct local
-    (project, version, description, checksum) tuples, and a single aggregate
-    per target counts everything.  The window, the aggregate and a history
-    stored bucketed by target_id all share one partitioning.
+def _history_summary(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """One pass over the history: per target latest version, failing rows and
+    history mismatches (gaps + drift, a row that is both counts twice).
+
+    The target's project is attached, gaps are flagged by one window per
+    target, drift by a join with the distinct local (project, version,
+    description, checksum) tuples, and a single aggregate per target counts
+    everything.  The window, the aggregate and a history stored bucketed by
+    target_id share one partitioning.
     """
     up = _up(scripts)
     with_scripts = up.select("project").distinct().withColumn("_checked", F.lit(True))
@@ -181,14 +157,44 @@ def status(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFr
          .join(tuples, ["project", "version", "description", "md5_checksum"], "left"))
     checked = F.coalesce(F.col("_checked"), F.lit(False))
     drifted = F.col("success") & F.col("_local").isNull()
-    per_target = h.groupBy("target_id").agg(
+    return h.groupBy("target_id").agg(
         F.max(F.when(F.col("success"), F.col("version"))).alias("latest"),
         F.count_if(~F.col("success")).alias("n_failing"),
-        F.count_if(checked & (F.col("_gap") | drifted)).alias("n_mismatch_rows"),
-        F.count_if(checked & F.col("_gap") & drifted).alias("n_both"))
-    return (targets.select("target_id").join(per_target, "target_id", "left")
+        (F.count_if(checked & F.col("_gap")) + F.count_if(checked & drifted)).alias("n_mismatch"))
+
+
+def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """First failing validation stage per target (D2); 0 = passes, with the
+    number of problems that stage reports.
+
+    Stage 1: failed rows in the history; 2: gaps in the local UP scripts;
+    3: history gaps and drift.  A target stops at its first failing stage.
+    Only counts are needed, so stage 2 is counted per project (one row each)
+    and stages 1 and 3 come from the one-pass history summary.
+    """
+    summary = _history_summary(history, scripts, targets)
+    lg = local_gaps(scripts).groupBy("project").agg(F.count(F.lit(1)).alias("n_local"))
+    t = (targets.select("target_id", "project").join(summary, "target_id", "left")
+         .join(lg, "project", "left"))
+    n1, n2, n3 = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_failing", "n_local", "n_mismatch"))
+    stage = F.when(n1 > 0, STAGE_FAILING).when(n2 > 0, STAGE_LOCAL).when(n3 > 0, STAGE_HISTORY).otherwise(0)
+    count = F.when(n1 > 0, n1).when(n2 > 0, n2).when(n3 > 0, n3).otherwise(0)
+    return t.select("target_id", "project", stage.cast("int").alias("stage"), count.cast("long").alias("problems"))
+
+
+def gate_problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The problems of each target's first failing stage (what a run reports)."""
+    first = gate(history, scripts, targets).where(F.col("stage") > 0).select("target_id", "stage")
+    return problems(history, scripts, targets).join(first, ["target_id", "stage"], "left_semi")
+
+
+def status(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target: latest applied version, number of history mismatches (gaps
+    and drift) and number of failing rows (A3).  Local gaps are not counted.
+    One pass over the history (see :func:`_history_summary`)."""
+    summary = _history_summary(history, scripts, targets)
+    return (targets.select("target_id").join(summary, "target_id", "left")
             .select("target_id",
                     F.coalesce("latest", F.lit(0)).cast("int").alias("latest_version"),
-                    (F.coalesce("n_mismatch_rows", F.lit(0)) + F.coalesce("n_both", F.lit(0)))
-                    .cast("long").alias("mismatches"),
+                    F.coalesce("n_mismatch", F.lit(0)).cast("long").alias("mismatches"),
                     F.coalesce("n_failing", F.lit(0)).cast("long").alias("failing")))

@@ -21,6 +21,14 @@ from evolve.operators.history import fold_history
 
 APP = "app"  # the one project of the main fleet
 
+
+def _project_of(key: str):
+    """The project by a rule over the data (ids >= 0 belong to 'app'), so it is
+    a column value as a stored project column would be.  A bare literal on
+    both sides of a join on project lets the optimizer fold the key away into
+    a cross join, which no real fleet table would do."""
+    return F.when(F.col(key) >= 0, F.lit(APP))
+
 _MEMO: dict = {}
 
 
@@ -48,7 +56,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UP scripts: version = doc_id for documents 1..100."""
     d = table(spark, sf_dir, "documents").where(F.col("doc_id").between(1, 100))
     return d.select(
-        F.lit(APP).alias("project"),
+        _project_of("doc_id").alias("project"),
         F.lit("UP").alias("direction"),
         F.col("doc_id").cast("int").alias("version"),
         F.col("source").alias("description"),
@@ -107,25 +115,36 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("target_id") % 6
     dest = (F.when(m == 1, 90).when(m == 2, 120).when(m == 3, 40).when(m == 5, 95)
             .cast("int"))
-    return u.select("target_id", F.lit(APP).alias("project"), (m >= 3).alias("down"),
+    return u.select("target_id", _project_of("target_id").alias("project"), (m >= 3).alias("down"),
                     dest.alias("destination"))
 
 
+def _config_rows(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
+    """A small configuration table with project 'app' as a column value (see
+    ``_project_of``); built over ``spark.range`` so the optimizer treats it as
+    data, like a stored table, not as foldable literals."""
+    idx = F.col("id").cast("int") + 1
+    cols = [F.element_at(F.array(*[F.lit(r[i]).cast(t) for r in rows]), idx).alias(n)
+            for i, (n, t) in enumerate(zip(names, types))]
+    return spark.range(len(rows)).select(_project_of("id").alias("project"), *cols)
+
+
+HOOK_COLS = (["hook_type", "hook_order", "hook_version", "file_name", "content"],
+             ["string", "int", "int", "string", "string"])
+
+
 @memo
 def hooks(spark: SparkSession) -> DataFrame:
     """The hook set of project ``app`` (a configuration, not data)."""
-    rows = [("BEFORE", 1, None, "b1"), ("BEFORE", 2, None, "b2"), ("BEFORE_EACH", 1, None, "be1"),
-            ("BEFORE_VERSION", 1, 95, "bv1"), ("AFTER_VERSION", 1, 95, "av1"),
-            ("AFTER_EACH", 1, None, "ae1"), ("AFTER", 1, None, "a1"), ("REPEATABLE", 1, None, "r1")]
-    df = spark.createDataFrame(rows, "hook_type string, hook_order int, hook_version int, file_name string")
-    return df.select(F.lit(APP).alias("project"), "*", F.lit("").alias("content"))
+    rows = [("BEFORE", 1, None, "b1", ""), ("BEFORE", 2, None, "b2", ""), ("BEFORE_EACH", 1, None, "be1", ""),
+            ("BEFORE_VERSION", 1, 95, "bv1", ""), ("AFTER_VERSION", 1, 95, "av1", ""),
+            ("AFTER_EACH", 1, None, "ae1", ""), ("AFTER", 1, None, "a1", ""), ("REPEATABLE", 1, None, "r1", "")]
+    return _config_rows(spark, rows, *HOOK_COLS)
 
 
 @memo
 def down_hooks(spark: SparkSession) -> DataFrame:
-    rows = [("REPEATABLE_DOWN", 1, None, "rd1")]
-    df = spark.createDataFrame(rows, "hook_type string, hook_order int, hook_version int, file_name string")
-    return df.select(F.lit(APP).alias("project"), "*", F.lit("").alias("content"))
+    return _config_rows(spark, [("REPEATABLE_DOWN", 1, None, "rd1", "")], *HOOK_COLS)
 
 
 # --- mini fleet -----------------------------------------------------------

@@ -184,8 +184,11 @@ def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFram
 
 def gate_problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
     """The problems of each target's first failing stage (what a run reports)."""
-    first = gate(history, scripts, targets).where(F.col("stage") > 0).select("target_id", "stage")
-    return problems(history, scripts, targets).join(first, ["target_id", "stage"], "left_semi")
+    # a target's problems are bounded by its versions (failing rows, gaps and
+    # drift each at most one per version), so one window per target is safe
+    p = problems(history, scripts, targets)
+    first = F.min("stage").over(Window.partitionBy("target_id"))
+    return p.withColumn("_first", first).where(F.col("stage") == F.col("_first")).drop("_first")
 
 
 def status(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 _SCRIPTS = """
 scripts AS (
-  SELECT 'app' AS project, 'UP' AS direction, CAST(doc_id AS INTEGER) AS version,
+  SELECT CASE WHEN doc_id >= 0 THEN 'app' END AS project, 'UP' AS direction, CAST(doc_id AS INTEGER) AS version,
          source AS description, printf('V%03d_%s.sql', CAST(doc_id AS INTEGER), source) AS file_name,
          text AS content, md5(text) AS md5_checksum
   FROM documents WHERE doc_id BETWEEN 1 AND 100)"""
@@ -37,7 +37,7 @@ history AS (
 
 _TARGETS = """
 targets AS (
-  SELECT DISTINCT user_id AS target_id, 'app' AS project, user_id % 6 >= 3 AS down,
+  SELECT DISTINCT user_id AS target_id, CASE WHEN user_id >= 0 THEN 'app' END AS project, user_id % 6 >= 3 AS down,
          CAST(CASE user_id % 6 WHEN 1 THEN 90 WHEN 2 THEN 120 WHEN 3 THEN 40 WHEN 5 THEN 95 END AS INTEGER)
            AS destination
   FROM events)"""

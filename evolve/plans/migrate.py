@@ -78,9 +78,9 @@ def steps_up(changes: list[Change], hooks: list[Hook], start: int, stop: int) ->
         if c.version > 1:
             out += run("REPEATABLE")
         out += run("BEFORE_EACH")
-        out += [s for s in run("BEFORE_VERSION", c.version)]
+        out += run("BEFORE_VERSION", c.version)
         out.append(("UP", c.version, c.description, c.up))
-        out += [s for s in run("AFTER_VERSION", c.version)]
+        out += run("AFTER_VERSION", c.version)
         out += run("AFTER_EACH")
     return out + run("AFTER")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evolve.session import checkpoint_dir
+
 DEFAULT_BUCKET = 1 << 20
 
 
@@ -31,21 +33,34 @@ def rank_by_id(df: DataFrame, by: list[str], id_col: str, name: str,
             .drop("_bucket", "_off"))
 
 
-def rank_in_domain(df: DataFrame, by: list[str], key: str, ties: list[str], name: str,
-                   descending: bool = False) -> DataFrame:
-    """``row_number() over (partition by <by> order by <key> [desc], <ties>)``
-    where ``key`` has a small domain (versions: at most 65536 values, hook
-    orders: 256).
+def rank_by_sort(df: DataFrame, by: list[str], order: list, name: str,
+                 partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by <by> order by <order>)`` for any sort
+    key, with no group in one task: a range shuffle on (by, order) cuts even a
+    single huge group into contiguous pieces of about equal size; rows are
+    numbered inside their piece, and each piece's offset inside its group is a
+    running sum over the piece sizes (at most ``partitions`` rows per group).
+
+    ``order`` must be unique inside a group (e.g. it ends with a path).
 
-    Rows are counted per (by, key) with a hash aggregate; the running sum over
-    the *distinct* keys of a group (bounded by the domain) gives each key's
-    offset; only rows sharing one key value are ordered together by ``ties``.
+    The range bounds come from sampling, and two exchanges sample
+    differently, so the rows with their piece ids are written once with
+    ``DataFrame.checkpoint()`` into the shared checkpoint folder and both the
+    numbering and the piece sizes read that copy (this runs one job when
+    called).
     """
-    counts = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n"))
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(*by, key).orderBy(*ties)
-    return (df.join(offsets, [*by, key])
-            .withColumn(name, (F.row_number().over(inner) + F.col("_off")).cast("int"))
-            .drop("_off"))
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    pieces = (df.repartitionByRange(n, *[F.col(b) for b in by], *cols)
+              .withColumn("_piece", F.spark_partition_id())
+              .checkpoint(eager=True))
+    local = Window.partitionBy("_piece", *by).orderBy(*cols)
+    numbered = pieces.withColumn("_local", F.row_number().over(local))
+    sizes = numbered.groupBy(*by, "_piece").agg(F.max("_local").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (numbered.join(offsets, [*by, "_piece"])
+            .withColumn(name, (F.col("_local") + F.col("_off")).cast("int"))
+            .drop("_piece", "_local", "_off"))

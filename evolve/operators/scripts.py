@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evolve.functions.classify import invalid_files
-from evolve.functions.ranking import rank_in_domain
+from evolve.functions.ranking import rank_by_sort
 from evolve.functions.templates import expand_templates
 
 HOOK_FLAGS = {
@@ -92,17 +92,19 @@ def select_hooks(hooks: DataFrame, down: bool = False, use_repeatable: bool = Tr
 
 def ordered_scripts(scripts: DataFrame) -> DataFrame:
     """Position of each script in its run order (O1): UP ascending, DOWN
-    descending by version; copies of a version ordered by path."""
-    up = rank_in_domain(scripts.where(F.col("direction") == "UP"), ["project", "direction"],
-                        "version", ["path"], "position")
-    down = rank_in_domain(scripts.where(F.col("direction") == "DOWN"), ["project", "direction"],
-                          "version", ["path"], "position", descending=True)
+    descending by version; copies of a version ordered by path.  Positions come
+    from a range-partitioned sort, so many copies of one version are still
+    spread over tasks."""
+    up = rank_by_sort(scripts.where(F.col("direction") == "UP"), ["project", "direction"],
+                      ["version", "path"], "position")
+    down = rank_by_sort(scripts.where(F.col("direction") == "DOWN"), ["project", "direction"],
+                        [F.col("version").desc(), "path"], "position")
     return up.unionByName(down)
 
 
 def ordered_hooks(hooks: DataFrame) -> DataFrame:
     """Position of each hook inside its type (O2): by order, ties by path."""
-    return rank_in_domain(hooks, ["project", "hook_type"], "hook_order", ["path"], "position")
+    return rank_by_sort(hooks, ["project", "hook_type"], ["hook_order", "path"], "position")
 
 
 def next_version(classified: DataFrame, name: str) -> DataFrame:

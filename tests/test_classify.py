@@ -32,3 +32,17 @@ def test_kind_matches_patterns(spark, batch):
     got = {r.name: r.kind for r in df.select("name", kind_of(F.col("name")).alias("kind")).collect()}
     for n in batch:
         assert got[n] == expected(n), n
+
+
+def test_rank_by_sort_equals_window_on_a_hot_group(spark):
+    from pyspark.sql import Window
+    from evolve.functions.ranking import rank_by_id, rank_by_sort
+    df = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"),
+        (F.col("id") % 7).alias("k"), F.format_string("p%09d", F.col("id")).alias("path"), "id")
+    ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("k", "path")))
+    got = rank_by_sort(df, ["g"], ["k", "path"], "pos")
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+    ref_id = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    got_id = rank_by_id(df, ["g"], "id", "pos", bucket_width=1000)
+    assert got_id.exceptAll(ref_id).count() == 0 and ref_id.exceptAll(got_id).count() == 0

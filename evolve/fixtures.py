@@ -154,7 +154,9 @@ def mini_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents 1..8 as the scripts of project 'full'; the same without 4 for 'gappy'."""
     d = table(spark, sf_dir, "documents").where(F.col("doc_id").between(1, 8))
     base = d.select(F.lit("UP").alias("direction"), F.col("doc_id").cast("int").alias("version"),
-                    F.col("source").alias("description"), F.md5("text").alias("md5_checksum"))
+                    F.col("source").alias("description"), F.md5("text").alias("md5_checksum"),
+                    F.format_string("V%03d_%s.sql", F.col("doc_id").cast("int"), F.col("source"))
+                    .alias("file_name"))
     full = base.withColumn("project", F.lit("full"))
     gappy = base.where(F.col("version") != 4).withColumn("project", F.lit("gappy"))
     return full.unionByName(gappy)

@@ -47,16 +47,25 @@ def local_gaps(scripts: DataFrame) -> DataFrame:
     """Breaks in each project's UP versions (W1): the first must be 1, each
     next one the previous + 1.  One row per break with (expected, got).  A
     version present k times adds k-1 breaks (expected version+1, got version).
+
+    The window runs over distinct versions only (at most 65536 per project).
+    The extra copies of a version are emitted by the copy rows themselves --
+    every copy except the one with the smallest path -- so no array or task
+    ever holds a whole group of copies.
     """
-    counts = _up(scripts).groupBy("project", "version").agg(F.count(F.lit(1)).alias("copies"))
+    up = _up(scripts)
+    tie = next(c for c in ("path", "file_name", "description") if c in up.columns)
+    counts = up.groupBy("project", "version").agg(F.count(F.lit(1)).alias("copies"),
+                                                  F.min(tie).alias("_first_copy"))
     w = Window.partitionBy("project").orderBy("version")
     first = (counts.withColumn("expected", F.coalesce(F.lag("version").over(w) + 1, F.lit(1)))
              .where(F.col("version") != F.col("expected"))
              .select("project", F.col("expected").cast("int"), F.col("version").alias("got")))
-    extra = (counts.where(F.col("copies") > 1)
-             .select("project", F.explode(F.array_repeat(F.col("version"), (F.col("copies") - 1).cast("int")))
-                     .alias("got"))
-             .select("project", (F.col("got") + 1).cast("int").alias("expected"), "got"))
+    extra = (up.select("project", "version", tie)
+             .join(counts.where(F.col("copies") > 1).select("project", "version", "_first_copy"),
+                   ["project", "version"])
+             .where(F.col(tie) != F.col("_first_copy"))
+             .select("project", (F.col("version") + 1).cast("int").alias("expected"), F.col("version").alias("got")))
     return first.unionByName(extra).withColumn(
         "message", F.format_string(MSG_LOCAL_GAP, "expected", "got"))
 
@@ -102,16 +111,17 @@ def drift(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFra
 def drift_detail(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
     """Drift rows with a reason (J2): ``missing`` (no local script of that
     version), ``description`` (a script of that version exists under another
-    name) or ``checksum`` (same name, other content)."""
+    name) or ``checksum`` (same name, other content).  The reason comes from
+    two left joins with distinct local keys, no collected lists."""
     h = _checked_history(history.where(F.col("success")), scripts, targets)
     local = _up(scripts).select("project", "version", "description", "md5_checksum")
     d = h.join(local, ["project", "version", "description", "md5_checksum"], "left_anti") \
         .select("target_id", "project", "version", "description", "md5_checksum")
-    per_version = local.groupBy("project", "version").agg(
-        F.collect_set("description").alias("local_descriptions"))
-    j = d.join(per_version, ["project", "version"], "left")
-    reason = (F.when(F.col("local_descriptions").isNull(), F.lit("missing"))
-              .when(~F.array_contains("local_descriptions", F.col("description")), F.lit("description"))
+    versions = local.select("project", "version").distinct().withColumn("_has_version", F.lit(True))
+    names = local.select("project", "version", "description").distinct().withColumn("_has_name", F.lit(True))
+    j = d.join(versions, ["project", "version"], "left").join(names, ["project", "version", "description"], "left")
+    reason = (F.when(F.col("_has_version").isNull(), F.lit("missing"))
+              .when(F.col("_has_name").isNull(), F.lit("description"))
               .otherwise(F.lit("checksum")))
     return j.select("target_id", "version", "description", "md5_checksum", reason.alias("reason"),
                     F.format_string(MSG_DRIFT, "version", "description", "md5_checksum").alias("message"))

@@ -45,3 +45,13 @@ def test_hooks_in_plan_order_and_checkpointing(spark):
              Hook("BEFORE_VERSION", 1, add("X"), version=2), Hook("AFTER", 1, add("A"))]
     out = migrate_table(spark, df, changes, 0, 2, hooks=hooks, checkpoint_every=2).table
     assert out.first().trail == "BV1ERXV2EA"
+
+
+def test_publish_once_and_after_each_version(spark):
+    from evolve.sources.tables import publish_table, publisher
+    orders = fx.table(spark, SF_SMALL, "orders")
+    out = migrate_table(spark, orders, fx.orders_changes(), 0, 3, publish=publisher(spark, "orders_each")).table
+    assert "priority" in spark.table("orders_each").columns
+    assert spark.table("orders_each").count() == out.count()
+    publish_table(spark, out, "orders_once")
+    assert spark.table("orders_once").exceptAll(out).count() == 0

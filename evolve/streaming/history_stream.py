@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from evolve.operators.history import KEY, last_outcomes, merge_outcomes
 from evolve.session import checkpoint_dir
+from evolve.sources.tables import read_history, write_history
 
 
 def outcome_updates(log_stream: DataFrame) -> DataFrame:
@@ -52,3 +53,14 @@ def current_history(spark: SparkSession, changes_path: str, base: DataFrame | No
     latest = ch.groupBy(*KEY).agg(
         F.max_by(F.struct("last", "cleared"), F.col("batch_id")).alias("s"))
     return merge_outcomes(latest.select(*KEY, "s.last", "s.cleared"), base)
+
+
+def compact(spark: SparkSession, changes_path: str, table: str, buckets: int | None = None) -> None:
+    """Write base snapshot + changes as the new snapshot of ``table``.
+
+    Applying the same changes to a snapshot that already contains them gives
+    the same rows (the latest change per key wins, a cleared key stays
+    cleared), so compaction may run at any time, repeatedly, while the stream
+    keeps appending."""
+    base = read_history(spark, table)
+    write_history(spark, current_history(spark, changes_path, base), table, buckets=buckets)

@@ -135,7 +135,8 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     The targets x scripts product is the size of the result itself; it is
     joined to the history on the full ``(target_id, version)`` key.
     """
-    now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    # text -> TIMESTAMP_NTZ is independent of the session time zone
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     local = (scripts.where(F.col("direction") == "UP")
              .select("project", "version", F.col("description").alias("s_description"),
                      F.col("md5_checksum").alias("s_md5")))

@@ -87,7 +87,7 @@ def select_hooks(hooks: DataFrame, down: bool = False, use_repeatable: bool = Tr
                      use_before_version=use_before_version, use_after=use_after,
                      use_after_each=use_after_each, use_after_version=use_after_version)
         kinds = [k for k, f in HOOK_FLAGS.items() if flags[f]]
-    return hooks.where(F.col("hook_type").isin(*kinds)) if kinds else hooks.limit(0)
+    return hooks.where(F.col("hook_type").isin(*kinds)) if kinds else hooks.where(F.lit(False))
 
 
 def ordered_scripts(scripts: DataFrame) -> DataFrame:

@@ -220,7 +220,8 @@ LOG_COLS = ["event_id", "target_id", "version", "direction", "success", "execute
 
 def _halves(spark, sf):
     lg = fx.log(spark, sf)
-    return lg.where(F.col("executed_at") < F.lit(SPLIT)), lg.where(F.col("executed_at") >= F.lit(SPLIT))
+    split = F.lit(SPLIT.isoformat(sep=" ")).cast("timestamp_ntz")  # time-zone free
+    return lg.where(F.col("executed_at") < split), lg.where(F.col("executed_at") >= split)
 
 
 @register("apply_ups")

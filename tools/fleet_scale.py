@@ -52,7 +52,7 @@ def main() -> None:
         F.concat(F.lit("d"), version.cast("string")).alias("description"),
         F.md5(version.cast("string")).alias("md5_checksum"),
         (F.col("id") % 13 != 0).alias("success"),
-        (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(secs=(F.col("id") * 17 % 2_592_000).cast("decimal(18,6)"))).alias("executed_at"))
     scripts = spark.range(1, v + 1).select(
         F.when(F.col("id") >= 0, "app").alias("project"), F.lit("UP").alias("direction"),

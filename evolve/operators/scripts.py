@@ -93,13 +93,11 @@ def select_hooks(hooks: DataFrame, down: bool = False, use_repeatable: bool = Tr
 def ordered_scripts(scripts: DataFrame) -> DataFrame:
     """Position of each script in its run order (O1): UP ascending, DOWN
     descending by version; copies of a version ordered by path.  Positions come
-    from a range-partitioned sort, so many copies of one version are still
-    spread over tasks."""
-    up = rank_by_sort(scripts.where(F.col("direction") == "UP"), ["project", "direction"],
-                      ["version", "path"], "position")
-    down = rank_by_sort(scripts.where(F.col("direction") == "DOWN"), ["project", "direction"],
-                        [F.col("version").desc(), "path"], "position")
-    return up.unionByName(down)
+    from a range-partitioned sort (one pass for both directions: DOWN sorts on
+    the negated version), so many copies of one version still spread over
+    tasks."""
+    signed = F.when(F.col("direction") == "DOWN", -F.col("version")).otherwise(F.col("version"))
+    return rank_by_sort(scripts, ["project", "direction"], [signed, F.col("path")], "position")
 
 
 def ordered_hooks(hooks: DataFrame) -> DataFrame:

@@ -21,6 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def order_key() -> Column:
+    """(executed_at, event_id) packed into one DECIMAL(38,0) with the same
+    order: microseconds since 1970 (wall clock, no time zone involved) times
+    10^20 plus event_id shifted to be non-negative.  A fixed-width key keeps
+    the first-failure aggregate a hash aggregate."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                              F.col("executed_at").cast("timestamp_ntz"))
+    shifted_id = F.col("event_id").cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")
+    return (micros.cast("decimal(18,0)") * F.lit(str(10 ** 20)).cast("decimal(21,0)")
+            + shifted_id).cast("decimal(38,0)")
+
+
 def default_run_key() -> list[Column]:
     return [F.col("target_id"), F.to_date("executed_at").alias("run_day")]
 
@@ -45,8 +57,7 @@ def effective_steps(log: DataFrame, force: bool = False, in_transaction: bool =
     if in_transaction:
         bad_runs = failed.select(*names).distinct()
         return keyed.join(bad_runs, names, "left_anti").drop(*names)
-    first = failed.groupBy(*names).agg(F.min(F.struct("executed_at", "event_id")).alias("_first_fail"))
+    first = failed.groupBy(*names).agg(F.min(order_key()).alias("_first_fail"))
     return (keyed.join(first, names, "left")
-            .where(F.col("_first_fail").isNull()
-                   | (F.struct("executed_at", "event_id") <= F.col("_first_fail")))
+            .where(F.col("_first_fail").isNull() | (order_key() <= F.col("_first_fail")))
             .drop(*names, "_first_fail"))

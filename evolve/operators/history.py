@@ -130,7 +130,9 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     existing key -> description and checksum replaced, ``repaired_at`` = ``as_of``
     only if one of them differed.  ``reset_success=True`` also marks existing
     rows successful (one supported driver does, the other keeps the value).
-    History rows without a local script are kept as they are.
+    History rows without a local script are kept as they are.  A target whose
+    history table does not exist is left alone (optional ``history_exists``
+    column of ``targets``; without it every target has a table).
 
     The targets x scripts product is the size of the result itself; it is
     joined to the history on the full ``(target_id, version)`` key.
@@ -140,6 +142,8 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     local = (scripts.where(F.col("direction") == "UP")
              .select("project", "version", F.col("description").alias("s_description"),
                      F.col("md5_checksum").alias("s_md5")))
+    if "history_exists" in targets.columns:
+        targets = targets.where(F.col("history_exists"))
     wanted = targets.select("target_id", "project").join(local, "project").drop("project")
     h = _as_history(history).alias("h")
     j = h.join(wanted.alias("s"), KEY, "full_outer")

@@ -183,3 +183,10 @@ def test_pipeline_fold_then_checks(spark):
                                   (4, 1, 1, "DOWN", "one", None, True, T0 + dt.timedelta(seconds=3))], LOG)
     assert hist.fold_history(down, h).count() == 0
     assert hist.fold_history(log.unionByName(down)).count() == 0
+
+
+def test_repair_without_history_table_does_nothing(spark):
+    s = scripts_df(spark, [("UP", 1, "one", "m1")])
+    t = spark.createDataFrame([(1, "p", False, None, False)],
+                              "target_id long, project string, down boolean, destination int, history_exists boolean")
+    assert hist.repair(hist_df(spark, []), s, t, dt.datetime(2024, 2, 1)).count() == 0

@@ -107,11 +107,14 @@ def ordered_hooks(hooks: DataFrame) -> DataFrame:
 
 def next_version(classified: DataFrame, name: str) -> DataFrame:
     """Latest local UP version per project (0 if none), the next one and the
-    file name a new script gets (A2, P6).  ``%03d`` pads, it never cuts."""
+    file names a new script (and its optional DOWN script) get (A2, P6).
+    ``%03d`` pads, it never cuts."""
     up = F.when((F.col("kind") == "UP") & F.col("valid"), F.col("version"))
     return (classified.groupBy("project")
             .agg(F.coalesce(F.max(up), F.lit(0)).cast("int").alias("latest_local"),
                  F.bool_or((F.col("kind") == "UP") & ~F.col("valid")).alias("has_invalid"))
             .select("project", "latest_local", (F.col("latest_local") + 1).cast("int").alias("next_version"),
                     F.format_string("V%03d_%s.sql", F.col("latest_local") + 1, F.lit(name)).alias("new_file_name"),
+                    F.format_string("V%03d_%s.down.sql", F.col("latest_local") + 1, F.lit(name))
+                    .alias("new_down_file_name"),
                     "has_invalid"))

@@ -303,7 +303,8 @@ WHERE version <> expected"""
 
 SQL["next_version"] = "WITH " + _CLASSIFIED + """
 SELECT project, CAST(latest AS INTEGER) AS latest_local, CAST(latest + 1 AS INTEGER) AS next_version,
-       printf('V%03d_%s.sql', latest + 1, 'next_change') AS new_file_name, has_invalid
+       printf('V%03d_%s.sql', latest + 1, 'next_change') AS new_file_name,
+       printf('V%03d_%s.down.sql', latest + 1, 'next_change') AS new_down_file_name, has_invalid
 FROM (SELECT project, COALESCE(max(CASE WHEN kind = 'UP' AND valid THEN version END), 0) AS latest,
              bool_or(kind = 'UP' AND NOT valid) AS has_invalid
       FROM classified GROUP BY project) x"""

@@ -7,12 +7,21 @@ matching DuckDB statement under the same name.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evolve import fixtures as fx
+from evolve.functions import classify as cls
+from evolve.functions.templates import expand_templates
+from evolve.operators import checks
 from evolve.operators import history as hist
+from evolve.operators import scripts as scr
+from evolve.plans import planning as pl
+from evolve.plans.effects import effective_steps
+from evolve.plans.migrate import migrate_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,9 +44,6 @@ def q_latest_version(spark, sf):
     return hist.latest_version(fx.history(spark, sf), fx.targets(spark, sf))
 
 
-from evolve.operators import checks  # noqa: E402
-
-
 def _main(spark, sf):
     return fx.history(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf)
 
@@ -86,13 +92,6 @@ def q_gate_problems(spark, sf):
     return checks.gate_problems(*_mini(spark, sf))
 
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from evolve.functions import classify as cls  # noqa: E402
-from evolve.functions.templates import expand_templates  # noqa: E402
-from evolve.operators import scripts as scr  # noqa: E402
-
-
 def _classified(spark, sf):
     return cls.classify_files(fx.files(spark, sf))
 
@@ -165,9 +164,6 @@ def q_checksum(spark, sf):
     return expanded.select("project", "path", "version", F.md5("content").alias("md5_checksum"))
 
 
-from evolve.plans import planning as pl  # noqa: E402
-
-
 def _fleet_scripts(spark, sf, skip_tens=False):
     cols = ["project", "direction", "version", "description", "file_name"]
     return fx.scripts(spark, sf).select(*cols).unionByName(
@@ -209,10 +205,6 @@ def q_plan_down(spark, sf):
     return pl.plan_down(_actions(spark, sf, True), _fleet_scripts(spark, sf, True), fx.down_hooks(spark))
 
 
-import datetime as _dt  # noqa: E402
-
-from evolve.plans.effects import effective_steps  # noqa: E402
-
 SPLIT = _dt.datetime(2024, 1, 16)     # the log is applied in two batches: before / from this time
 REPAIR_AT = _dt.datetime(2024, 2, 1)  # "now" of the repair runs
 LOG_COLS = ["event_id", "target_id", "version", "direction", "success", "executed_at"]
@@ -262,9 +254,6 @@ def q_effective_atomic(spark, sf):
     return effective_steps(fx.log(spark, sf), in_transaction=True).select(*LOG_COLS)
 
 
-from evolve.plans.migrate import migrate_table  # noqa: E402
-
-
 @register("migrate_orders_up")
 def q_migrate_orders_up(spark, sf):
     return migrate_table(spark, fx.table(spark, sf, "orders"), fx.orders_changes(), 0, 3).table

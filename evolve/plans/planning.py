@@ -135,7 +135,7 @@ def plan_up(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, **flags) -
     h = select_hooks(hooks, down=False, **flags).select("project", "hook_type", "hook_order", "hook_version",
                                                         "file_name")
     # phase of each hook type inside a version; BEFORE / AFTER wrap the run
-    phase = F.element_at(F.create_map(*[F.lit(x) for kv in PHASE.items() for x in kv]), F.col("hook_type"))
+    phase = F.try_element_at(F.create_map(*[F.lit(x) for kv in PHASE.items() for x in kv]), F.col("hook_type"))
     h = h.withColumn("_phase", phase)
     per_version = h.where(F.col("_phase") > 0)
     around = h.where(F.col("hook_type").isin("BEFORE", "AFTER"))

@@ -522,3 +522,18 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedpri
        l_extendedprice * (1 - l_discount) AS net,
        l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
 FROM lineitem WHERE l_quantity > 0 AND l_returnflag <> 'R'"""
+
+SQL["run_action_gated"] = _MINI_CHECKS + """
+, firsts AS (SELECT target_id, min(stage) AS stage FROM problems GROUP BY target_id),
+lat AS (
+  SELECT t.target_id, CAST(COALESCE(max(h.version) FILTER (WHERE h.success), 0) AS INTEGER) AS latest_version
+  FROM mini_targets t LEFT JOIN mini_history h ON h.target_id = t.target_id GROUP BY t.target_id),
+mx AS (SELECT project, max(version) AS max_up FROM mini_scripts GROUP BY project)
+SELECT t.target_id, l.latest_version, CAST(m.max_up AS INTEGER) AS destination,
+  CASE WHEN m.max_up IS NULL THEN 'no_scripts'
+       WHEN f.stage IS NOT NULL THEN 'blocked'
+       WHEN l.latest_version = m.max_up THEN 'up_to_date'
+       WHEN m.max_up < l.latest_version THEN 'up_below_current'
+       ELSE 'run' END AS action
+FROM mini_targets t JOIN lat l ON l.target_id = t.target_id
+LEFT JOIN mx m ON m.project = t.project LEFT JOIN firsts f ON f.target_id = t.target_id"""

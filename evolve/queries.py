@@ -269,3 +269,11 @@ def q_migrate_orders_down(spark, sf):
 def q_migrate_lineitem_up(spark, sf):
     changes, hooks = fx.lineitem_changes()
     return migrate_table(spark, fx.table(spark, sf, "lineitem"), changes, 0, 3, hooks=hooks).table
+
+
+@register("run_action_gated")
+def q_run_action_gated(spark, sf):
+    h, s, t = _mini(spark, sf)
+    t = t.select("target_id", "project", F.lit(False).alias("down"), F.lit(None).cast("int").alias("destination"))
+    return (pl.run_action(t, h, s, gate=checks.gate(h, s, t))
+            .select("target_id", "latest_version", "destination", "action"))

@@ -74,3 +74,36 @@ def test_effective_steps_match_model(spark, raw_events, force, in_transaction):
     log = spark.createDataFrame(events, LOG)
     got = sorted(r.event_id for r in effective_steps(log, force, in_transaction).collect())
     assert got == effective_model(events, force, in_transaction)
+
+
+def repair_model(base, scripts, now, reset):
+    state = {(r[0], r[1]): list(r[2:]) for r in base}
+    for target in (1, 2, 3):
+        for v, desc, md5 in scripts:
+            key = (target, v)
+            if key not in state:
+                state[key] = [desc, md5, True, now, now]
+            else:
+                d0, m0, ok, ex, rep = state[key]
+                changed = desc != d0 or md5 != m0
+                state[key] = [desc, md5, True if reset else ok, ex, now if changed else rep]
+    return sorted((k[0], k[1], *v) for k, v in state.items())
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(KEYS, st.sampled_from(["a", "b"]), st.sampled_from(["m1", "m2"]), st.booleans(),
+                          st.booleans()), max_size=8, unique_by=lambda x: x[0]),
+       st.lists(st.tuples(st.integers(1, 5), st.sampled_from(["a", "b"]), st.sampled_from(["m1", "m2"])),
+                max_size=5, unique_by=lambda x: x[0]),
+       st.booleans())
+def test_repair_matches_model(spark, raw_base, raw_scripts, reset):
+    from evolve.operators.history import repair
+    now = T0 + dt.timedelta(days=30)
+    base = [(t, v, d, m, ok, T0, T0 + dt.timedelta(days=1) if rep else None)
+            for (t, v), d, m, ok, rep in raw_base]
+    h = spark.createDataFrame(base, HIST)
+    s = spark.createDataFrame([("p", "UP", v, d, m) for v, d, m in raw_scripts],
+                              "project string, direction string, version int, description string, md5_checksum string")
+    t = spark.createDataFrame([(i, "p") for i in (1, 2, 3)], "target_id long, project string")
+    got = sorted(tuple(r) for r in repair(h, s, t, now, reset_success=reset).collect())
+    assert got == repair_model(base, raw_scripts, now, reset)

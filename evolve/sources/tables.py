@@ -1,8 +1,9 @@
 """History tables and published tables in the session catalog.
 
 Parquet tables cannot be updated in place (Spark rejects UPDATE / DELETE /
-MERGE on them), so a new history is written as a whole new snapshot into a
-staging table that then replaces the old one.  ``buckets`` stores the history
+MERGE on them), so a new history is written as a whole new snapshot into its
+own folder, and the table is then pointed at that folder in one catalog
+statement.  ``buckets`` stores the history
 bucketed and sorted by ``target_id``: later gap windows, latest / status
 aggregates and joins on ``target_id`` then read co-partitioned data and skip
 their shuffle.
@@ -10,6 +11,9 @@ their shuffle.
 
 from __future__ import annotations
 
+import datetime as _dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,42 +32,78 @@ def read_history(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schemas.HISTORY)
 
 
+def _snapshot_root(spark: SparkSession, table: str) -> str:
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{warehouse.rstrip('/')}/{table}__snapshots"
+
+
+def _new_snapshot_path(spark: SparkSession, table: str) -> str:
+    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
+    return f"{_snapshot_root(spark, table)}/snapshot={stamp}-{uuid.uuid4().hex[:8]}"
+
+
+def _table_info(spark: SparkSession, table: str) -> dict:
+    return {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+
+
 def ensure_history(spark: SparkSession, table: str, buckets: int | None = None) -> None:
-    """Create the history table if it does not exist (idempotent)."""
+    """Create the history table if it does not exist (idempotent).  It is an
+    external table over a snapshot folder, so later snapshots can be swapped
+    in by pointing the table at a new folder."""
     clustered = (f" CLUSTERED BY (target_id) SORTED BY (target_id, version) INTO {buckets} BUCKETS"
                  if buckets else "")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({_ddl(schemas.HISTORY)}) USING parquet{clustered}")
+    if not spark.catalog.tableExists(table):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({_ddl(schemas.HISTORY)}) USING parquet{clustered} "
+                  f"LOCATION '{_new_snapshot_path(spark, table)}'")
 
 
-def _write(df: DataFrame, table: str, buckets: int | None, sort_cols: list[str]) -> None:
-    w = df.write.mode("overwrite").format("parquet")
+def _swap_in(spark: SparkSession, df: DataFrame, table: str, buckets: int | None, sort_cols: list[str]) -> None:
+    """Write ``df`` completely into a new snapshot folder, then make ``table``
+    point at it with one catalog statement.
+
+    Until that statement the old snapshot is the table; a failed or killed job
+    leaves it untouched.  Old snapshot folders stay in place, so readers still
+    running on them do not lose their files (a retention job may remove them).
+    ``buckets=None`` keeps the table's current bucketing.  The pointer swap
+    needs the same schema and bucketing; otherwise (a migrated table that
+    gained a column) the catalog entry is replaced instead.
+    """
+    staging = f"{table}__staging"
+    exists = spark.catalog.tableExists(table)
+    info = _table_info(spark, table) if exists else {}
+    current = int(info.get("Num Buckets") or 0) if exists else 0
+    if buckets is None:
+        buckets = current or None
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    w = df.write.mode("overwrite").format("parquet").option("path", _new_snapshot_path(spark, table))
     if buckets:
         w = w.bucketBy(buckets, sort_cols[0]).sortBy(*sort_cols)
-    w.saveAsTable(table)
+    w.saveAsTable(staging)
+    if not exists:
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    elif (info.get("Type") == "EXTERNAL" and current == (buckets or 0)
+          and spark.table(table).schema == spark.table(staging).schema):
+        path = _table_info(spark, staging)["Location"]
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+        spark.sql(f"DROP TABLE {staging}")  # external: the files now belong to the table
+    else:
+        # a managed table, a new bucket layout or a new schema: replace the catalog entry
+        spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    spark.catalog.refreshTable(table)
 
 
 def write_history(spark: SparkSession, df: DataFrame, table: str, buckets: int | None = None) -> None:
-    """Replace the history with ``df`` (which may be computed from it).
-
-    The new snapshot is written completely to ``<table>__staging`` first; only
-    then is the old table dropped and the staging table renamed.  A failed
-    write leaves the old history untouched.
-    """
-    staging = f"{table}__staging"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    _write(df.select(*[f.name for f in schemas.HISTORY.fields]), staging, buckets, ["target_id", "version"])
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    """Replace the history with ``df`` (which may be computed from it): a new
+    snapshot is written in full, then swapped in (see :func:`_swap_in`)."""
+    _swap_in(spark, df.select(*[f.name for f in schemas.HISTORY.fields]), table, buckets,
+             ["target_id", "version"])
 
 
 def publish_table(spark: SparkSession, df: DataFrame, table: str) -> None:
-    """Write a migrated table once, all or nothing for this table: Spark's job
-    commit makes the staging files visible only when every task succeeded."""
-    staging = f"{table}__staging"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    df.write.mode("overwrite").format("parquet").saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    """Write a migrated table once, all or nothing for this table: the new
+    snapshot becomes the table only after every task of the write succeeded."""
+    _swap_in(spark, df, table, None, [])
 
 
 def publisher(spark: SparkSession, table: str):

@@ -86,3 +86,22 @@ def test_history_table_round_trip(spark):
     write_history(spark, hist.fold_history(log.withColumn("version", F.lit(2)), read_history(spark, table)),
                   table, buckets=4)
     assert sorted(r.version for r in read_history(spark, table).collect()) == [1, 2]
+
+
+def test_snapshot_swap_keeps_the_table_and_old_readers(spark):
+    table = "hist_swap"
+    ensure_history(spark, table, buckets=4)
+    log = spark.createDataFrame(
+        [(i, i % 3, 1 + i % 5, "UP", "d", "m", True, "2024-01-01 00:00:00") for i in range(30)],
+        "event_id long, target_id long, version int, direction string, description string, "
+        "md5_checksum string, success boolean, executed_at string") \
+        .withColumn("executed_at", F.col("executed_at").cast("timestamp_ntz"))
+    write_history(spark, hist.fold_history(log, read_history(spark, table)), table)
+    first = read_history(spark, table)
+    n_first = first.count()
+    loc_first = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first().data_type
+    write_history(spark, hist.fold_history(log.withColumn("version", F.col("version") + 10), first), table)
+    info = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    assert info["Type"] == "EXTERNAL" and info["Num Buckets"] == "4" and info["Location"] != loc_first
+    assert read_history(spark, table).count() == 2 * n_first
+    assert first.count() == n_first  # a reader planned on the old snapshot still finds its files

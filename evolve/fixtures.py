@@ -33,11 +33,12 @@ _MEMO: dict = {}
 
 
 def memo(fn):
-    """Build each fixture DataFrame once per session and arguments.  Only the
+    """Build each fixture DataFrame once per session (object and application)
+    and arguments.  Only the
     plan object is reused (it is immutable); every query still runs its whole
     plan.  Shared subtrees also let Spark reuse their exchanges."""
     def wrapper(spark, *args, **kwargs):
-        key = (fn.__name__, spark.sparkContext.applicationId, args, tuple(sorted(kwargs.items())))
+        key = (fn.__name__, spark.sparkContext.applicationId, id(spark), args, tuple(sorted(kwargs.items())))
         if key not in _MEMO:
             _MEMO[key] = fn(spark, *args, **kwargs)
         return _MEMO[key]

@@ -25,7 +25,7 @@ def _qualify(location: str) -> str:
 
 def read_script_files(spark: SparkSession, locations: dict[str, list[str]]) -> DataFrame:
     """(project, path, file_name, content) for every ``*.sql`` file directly in
-    a project's locations; ``content`` is the UTF-8 text of the file."""
+    a project's locations; ``content`` holds the file's bytes unchanged."""
     pairs = [(project, _qualify(loc)) for project, locs in locations.items() for loc in locs]
     if not pairs:
         raise ValueError("no locations given")
@@ -39,7 +39,9 @@ def read_script_files(spark: SparkSession, locations: dict[str, list[str]]) -> D
         "path",
         F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("location"),
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        F.decode("content", "UTF-8").alias("content"),
+        # bytes kept as they are (a string is a byte sequence, as in the
+        # reference), so checksums of files that are not valid UTF-8 match too
+        F.col("content").cast("string").alias("content"),
     )
     # The locations table is the configuration itself (one row per folder).
     return (files.join(F.broadcast(locs), _norm(files["location"]) == _norm(locs["location"]))

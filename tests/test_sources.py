@@ -105,3 +105,14 @@ def test_snapshot_swap_keeps_the_table_and_old_readers(spark):
     assert info["Type"] == "EXTERNAL" and info["Num Buckets"] == "4" and info["Location"] != loc_first
     assert read_history(spark, table).count() == 2 * n_first
     assert first.count() == n_first  # a reader planned on the old snapshot still finds its files
+
+
+def test_checksum_of_a_file_that_is_not_utf8(spark, tmpdir_path):
+    import hashlib
+    raw = "CRÉER TABLE café;".encode("latin-1")  # not valid UTF-8
+    with open(os.path.join(tmpdir_path, "V001_latin.sql"), "wb") as fh:
+        fh.write(raw)
+    _write(tmpdir_path, "V002_plain.sql", "SELECT 1")
+    got = {r.version: r.md5_checksum for r in load_scripts(classify_files(
+        read_script_files(spark, {"p": [tmpdir_path]}))).collect()}
+    assert got == {1: hashlib.md5(raw).hexdigest(), 2: hashlib.md5(b"SELECT 1").hexdigest()}

@@ -38,10 +38,13 @@ def last_outcomes(log: DataFrame) -> DataFrame:
     """Last attempt per (target_id, version), ordered by (executed_at, event_id).
 
     Failed DOWN attempts are dropped first: they leave the stored row as it is.
-    ``cleared`` tells whether a successful DOWN happened for the key, which
-    deletes the row and with it any ``repaired_at`` value.
+    So are versions above the stored column's range (SMALLINT, 32767): their
+    history row cannot be written.  ``cleared`` tells whether a successful
+    DOWN happened for the key, which deletes the row and with it any
+    ``repaired_at`` value.
     """
-    kept = log.where(~((F.col("direction") == "DOWN") & ~F.col("success")))
+    kept = log.where(~((F.col("direction") == "DOWN") & ~F.col("success"))
+                     & (F.col("version") <= schemas.MAX_STORED_VERSION))
     return kept.groupBy(*KEY).agg(
         F.max_by(
             F.struct("direction", "description", "md5_checksum", "success", "executed_at"),
@@ -139,7 +142,8 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     """
     # text -> TIMESTAMP_NTZ is independent of the session time zone
     now = as_of if isinstance(as_of, Column) else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-    local = (scripts.where(F.col("direction") == "UP")
+    # versions above the stored range cannot be written; those upserts fail alone
+    local = (scripts.where((F.col("direction") == "UP") & (F.col("version") <= schemas.MAX_STORED_VERSION))
              .select("project", "version", F.col("description").alias("s_description"),
                      F.col("md5_checksum").alias("s_md5")))
     if "history_exists" in targets.columns:

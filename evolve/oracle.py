@@ -32,7 +32,7 @@ history AS (
          CAST(NULL AS TIMESTAMP) AS repaired_at
   FROM (SELECT *, row_number() OVER (PARTITION BY target_id, version
                                      ORDER BY executed_at DESC, event_id DESC) AS rn
-        FROM log WHERE NOT (direction = 'DOWN' AND NOT success)) x
+        FROM log WHERE NOT (direction = 'DOWN' AND NOT success) AND version <= 32767) x
   WHERE rn = 1 AND direction = 'UP')"""
 
 _TARGETS = """
@@ -444,7 +444,7 @@ second_half AS (SELECT * FROM log WHERE executed_at >= TIMESTAMP '2024-01-16 00:
 base AS (
   SELECT target_id, version, description, md5_checksum, success, executed_at, CAST(NULL AS TIMESTAMP) AS repaired_at
   FROM (SELECT *, row_number() OVER (PARTITION BY target_id, version ORDER BY executed_at DESC, event_id DESC) rn
-        FROM first_half WHERE NOT (direction = 'DOWN' AND NOT success)) x
+        FROM first_half WHERE NOT (direction = 'DOWN' AND NOT success) AND version <= 32767) x
   WHERE rn = 1 AND direction = 'UP')
 """
 
@@ -452,7 +452,7 @@ SQL["apply_ups"] = _with(*MAIN)[:-1] + _HALVES + """,
 ups AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, version
                                               ORDER BY executed_at DESC, event_id DESC) AS rn
-                 FROM second_half WHERE direction = 'UP') x WHERE rn = 1)
+                 FROM second_half WHERE direction = 'UP' AND version <= 32767) x WHERE rn = 1)
 SELECT u.target_id, u.version, u.description, u.md5_checksum, u.success, u.executed_at, b.repaired_at
 FROM ups u LEFT JOIN base b ON b.target_id = u.target_id AND b.version = u.version
 UNION ALL
@@ -471,7 +471,7 @@ def _repair(reset: bool) -> str:
     existing = "true" if reset else "h.success"
     return _with(*MAIN)[:-1] + f""",
 wanted AS (SELECT t.target_id, s.version, s.description, s.md5_checksum
-           FROM targets t JOIN scripts s ON s.project = t.project)
+           FROM targets t JOIN scripts s ON s.project = t.project WHERE s.version <= 32767)
 SELECT COALESCE(h.target_id, w.target_id) AS target_id, COALESCE(h.version, w.version) AS version,
   COALESCE(w.description, h.description) AS description,
   COALESCE(w.md5_checksum, h.md5_checksum) AS md5_checksum,

@@ -190,3 +190,11 @@ def test_repair_without_history_table_does_nothing(spark):
     t = spark.createDataFrame([(1, "p", False, None, False)],
                               "target_id long, project string, down boolean, destination int, history_exists boolean")
     assert hist.repair(hist_df(spark, []), s, t, dt.datetime(2024, 2, 1)).count() == 0
+
+
+def test_versions_beyond_the_stored_range_are_not_recorded(spark):
+    log = spark.createDataFrame([(1, 1, 32767, "UP", "a", "m", True, T0), (2, 1, 32768, "UP", "b", "m", True, T0),
+                                 (3, 1, 65535, "UP", "c", "m", True, T0)], LOG)
+    assert sorted(r.version for r in hist.fold_history(log).collect()) == [32767]
+    s = scripts_df(spark, [("UP", 32767, "a", "m"), ("UP", 40000, "b", "m")])
+    assert sorted(r.version for r in hist.repair(hist_df(spark, []), s, targets_df(spark), T0).collect()) == [32767]

@@ -52,10 +52,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@memo
+def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions the events refer to: props.k + 1 (1..100 in the given data)."""
+    k = F.get_json_object("props", "$.k").cast("int") + 1
+    return table(spark, sf_dir, "events").select(k.alias("v")).distinct()
+
+
 @memo
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UP scripts: version = doc_id for documents 1..100."""
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id").between(1, 100))
+    """UP scripts: the documents whose doc_id is a version the events refer
+    to; version = doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    d = docs.join(event_versions(spark, sf_dir), docs["doc_id"] == F.col("v"), "left_semi")
     return d.select(
         _project_of("doc_id").alias("project"),
         F.lit("UP").alias("direction"),
@@ -152,8 +161,11 @@ def down_hooks(spark: SparkSession) -> DataFrame:
 
 @memo
 def mini_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents 1..8 as the scripts of project 'full'; the same without 4 for 'gappy'."""
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id").between(1, 8))
+    """The documents whose doc_id is a conversation turn + 1 (1..8 in the given
+    data) as the scripts of project 'full'; the same without 4 for 'gappy'."""
+    docs = table(spark, sf_dir, "documents")
+    turns = table(spark, sf_dir, "conversations").select((F.col("turn") + 1).alias("v")).distinct()
+    d = docs.join(turns, docs["doc_id"] == F.col("v"), "left_semi")
     base = d.select(F.lit("UP").alias("direction"), F.col("doc_id").cast("int").alias("version"),
                     F.col("source").alias("description"), F.md5("text").alias("md5_checksum"),
                     F.format_string("V%03d_%s.sql", F.col("doc_id").cast("int"), F.col("source"))

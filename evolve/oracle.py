@@ -15,7 +15,8 @@ scripts AS (
   SELECT CASE WHEN doc_id >= 0 THEN 'app' END AS project, 'UP' AS direction, CAST(doc_id AS INTEGER) AS version,
          source AS description, printf('V%03d_%s.sql', CAST(doc_id AS INTEGER), source) AS file_name,
          text AS content, md5(text) AS md5_checksum
-  FROM documents WHERE doc_id BETWEEN 1 AND 100)"""
+  FROM documents
+  WHERE doc_id IN (SELECT CAST(json_extract(props, '$.k') AS INTEGER) + 1 FROM events))"""
 
 _LOG = """
 log AS (
@@ -51,7 +52,7 @@ hooks(hook_type, hook_order, hook_version, file_name) AS (
 _MINI = """
 mini_base AS (
   SELECT CAST(doc_id AS INTEGER) AS version, source AS description, md5(text) AS md5_checksum
-  FROM documents WHERE doc_id BETWEEN 1 AND 8),
+  FROM documents WHERE doc_id IN (SELECT turn + 1 FROM conversations)),
 mini_scripts AS (
   SELECT 'full' AS project, * FROM mini_base
   UNION ALL SELECT 'gappy' AS project, * FROM mini_base WHERE version <> 4),

@@ -3,7 +3,8 @@ conversations), with DataFrame code.  The registered queries and the tests run
 the library's operators over them; the oracle SQL in ``evolve.oracle`` derives
 the same relations as CTEs.
 
-* ``scripts``: 100 UP scripts of the project ``app`` (documents 1..100).
+* ``scripts``: UP scripts of the project ``app``: the documents whose id is a
+  version the events refer to (props.k + 1).
 * ``log``: one attempt per event; target = user, version = props.k + 1.
 * ``history``: the fold of ``log``.
 * ``targets``: one run configuration per user.

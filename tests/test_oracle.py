@@ -36,3 +36,8 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0
+
+
+def test_entry_schema_is_stable(spark):
+    assert entry.entry(spark).schema == entry.entry(spark).schema
+    assert [f.name for f in entry.entry(spark).schema] == ["target_id", "latest_version", "mismatches", "failing"]

@@ -16,12 +16,12 @@ folder, since the steps below read them several times; the texts are read
 once for the hashes and once for the cut.
 
 Very common lines: a key on a large share of all lines would be one key of
-the range exchange, i.e. one task.  A tree of frequent-item sketches names
-the ``HOT_KEYS`` most frequent hashes (a fixed number, so that list and the
-smallest holder of each may be broadcast); their smallest holder is a plain
-min with map-side partial sums, their lines are judged where they are read,
-and only the other lines go through the exchange.  A key that the sketch
-leaves out holds at most about 1 / ``TRACKED`` of the lines.  Which keys are
+the range exchange, i.e. one task.  Frequent-item sketches over ``SKETCHES``
+parts of the lines name ``HOT_KEYS`` frequent hashes each (a fixed number, so
+that list and the smallest holder of each may be broadcast); their smallest
+holder is a min with map-side partial results, their lines are judged where
+they are read, and only the other lines go through the exchange.  A key that
+every sketch leaves out holds at most about 1 / ``HOT_KEYS`` of the lines.  Which keys are
 named never changes a result, only the route.
 
 Defined results: null or empty text is one empty line; a null doc_id neither
@@ -39,9 +39,9 @@ from evolve.llm.common import cut
 from evolve.llm.quality_rules import SPACE, UPPER
 
 MIN_CHARS = 10
-HOT_KEYS = 256
-TRACKED = 4096
-SKETCHES = 64
+HOT_KEYS = 1024
+TRACKED = 8192
+SKETCHES = 16
 
 
 def _line_key(line):
@@ -64,18 +64,18 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
 
 
 def _frequent(lines: DataFrame) -> DataFrame:
-    """At most HOT_KEYS frequent hashes, by sketches merged in two levels."""
-    level = lines.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("g")).agg(
-        F.expr(f"approx_top_k_accumulate(h1, {TRACKED})").alias("s"))
-    top = level.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {HOT_KEYS})").alias("t"))
-    return top.select(F.explode("t.item").alias("h1"))
+    """At most SKETCHES * HOT_KEYS frequent hashes: the most frequent ones of
+    each of SKETCHES parts of the lines, by a frequent-item sketch."""
+    part = F.pmod(F.spark_partition_id(), F.lit(SKETCHES))
+    tops = lines.groupBy(part.alias("part")).agg(F.expr(f"approx_top_k(h1, {HOT_KEYS}, {TRACKED})").alias("top"))
+    return tops.select(F.explode(F.filter("top", lambda t: t["count"] > 1)).alias("t")).select(
+        F.col("t.item").alias("h1")).distinct()
 
 
 def dropped_lines(lines: DataFrame) -> DataFrame:
     """The lines that go: ``doc_id, rev, pos``."""
     hot = F.broadcast(_frequent(lines))
-    # smallest and largest holder of each hot key: partial min and max, at
-    # most HOT_KEYS keys (times hash collisions of h1), so broadcast
+    # at most SKETCHES * HOT_KEYS keys (times hash collisions of h1), so broadcast
     holders = (lines.join(hot, "h1", "left_semi").groupBy("h1", "h2")
                .agg(F.min("doc_id").alias("first_holder")))
     marked = lines.join(F.broadcast(holders), ["h1", "h2"], "left")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evolve.functions.ranking import rank_by_sort
-from evolve.llm.common import ship, slices
+from evolve.llm.common import cut, ship, slices
 
 COPY = 0.8
 
@@ -284,15 +284,19 @@ def marked_pages(pages: DataFrame) -> DataFrame:
 
 
 def differenced_pages(keys: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of the pages without a mark."""
-    ranked = rank_by_sort(keys, ["host"], ["path", "page_id", "digest"], "pos")
-    bare = ranked.where(F.col("plain").isNotNull())
+    """``page_id, url, text`` of the pages without a mark.  Only hosts that
+    have such a page are ranked; on the others no pair would be read."""
+    keys = cut(keys)
+    bare = F.col("plain").isNotNull()
+    hosts = keys.where(bare).select("host").distinct()
+    asking = keys.join(hosts, "host", "left_semi").unionByName(keys.where(bare & F.col("host").isNull()))
+    ranked = rank_by_sort(asking, ["host"], ["path", "page_id", "digest"], "pos")
 
     def beside(step: int, name: str) -> DataFrame:
         return ranked.where(F.col("host").isNotNull()).select(
             "host", (F.col("pos") - step).alias("pos"), F.struct("path", "hashes").alias(name))
 
-    paired = (bare.join(beside(-1, "before"), ["host", "pos"], "left")
+    paired = (ranked.where(bare).join(beside(-1, "before"), ["host", "pos"], "left")
               .join(beside(1, "after"), ["host", "pos"], "left")
               .select("page_id", "url", "path", "plain", "before", "after"))
 

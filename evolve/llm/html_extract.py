@@ -22,7 +22,8 @@ hashes; only pages without a mark carry their lines along.  The html itself
 is never shuffled.
 
 Defined results: null or empty html gives an empty text; a null or unusual
-url has no host and no neighbour; repeated rows each give their row; an empty
+url has no host and no neighbour; repeated rows are one page among neighbours
+and each give their row; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -238,7 +239,7 @@ def own_lines(page: list[str], path: str, neighbours: list[tuple[str, list[int]]
     size = sum(map(len, page))
     for _, other in sorted(neighbours, key=lambda n: -_common(path, n[0])):
         gone = set(shared(hashes, other))
-        if size and sum(len(page[i]) for i in gone) <= COPY * size:
+        if other and size and sum(len(page[i]) for i in gone) <= COPY * size:
             return [x for i, x in enumerate(page) if i not in gone]
     return page
 
@@ -286,19 +287,23 @@ def marked_pages(pages: DataFrame) -> DataFrame:
 def differenced_pages(keys: DataFrame) -> DataFrame:
     """``page_id, url, text`` of the pages without a mark.  Only hosts that
     have such a page are ranked; on the others no pair would be read."""
-    keys = cut(keys)
+    key = ["host", "path", "page_id", "url", "digest"]
+    keys = cut(keys.groupBy(*key).agg(  # repeated rows are one page, and no neighbours
+        F.first("hashes").alias("hashes"), F.first("plain").alias("plain"), F.count(F.lit(1)).alias("copies")))
     bare = F.col("plain").isNotNull()
     hosts = keys.where(bare).select("host").distinct()
-    asking = keys.join(hosts, "host", "left_semi").unionByName(keys.where(bare & F.col("host").isNull()))
-    ranked = rank_by_sort(asking, ["host"], ["path", "page_id", "digest"], "pos")
+    asking = keys.join(hosts, "host", "left_semi")
+    ranked = rank_by_sort(asking, ["host"], ["path", "page_id", "digest", "url"], "pos")
 
     def beside(step: int, name: str) -> DataFrame:
-        return ranked.where(F.col("host").isNotNull()).select(
-            "host", (F.col("pos") - step).alias("pos"), F.struct("path", "hashes").alias(name))
+        return ranked.select("host", (F.col("pos") - step).alias("pos"), F.struct("path", "hashes").alias(name))
 
+    sides = ["page_id", "url", "path", "plain", "copies"]
     paired = (ranked.where(bare).join(beside(-1, "before"), ["host", "pos"], "left")
-              .join(beside(1, "after"), ["host", "pos"], "left")
-              .select("page_id", "url", "path", "plain", "before", "after"))
+              .join(beside(1, "after"), ["host", "pos"], "left").select(*sides, "before", "after"))
+    none = F.lit(None).cast("struct<path: string, hashes: array<int>>")
+    paired = paired.unionByName(keys.where(bare & F.col("host").isNull()).select(
+        *sides, none.alias("before"), none.alias("after")))
 
     def run(batches):
         for b in batches:
@@ -306,10 +311,12 @@ def differenced_pages(keys: DataFrame) -> DataFrame:
             texts = [" ".join(own_lines(r["plain"], r["path"], [(n["path"], n["hashes"])
                                                                 for n in (r["before"], r["after"]) if n]))
                      for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
-                                             ["page_id", "url", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(4)],
+                ["page_id", "url", "text", "copies"])
 
-    return paired.mapInArrow(run, "page_id long, url string, text string")
+    return paired.mapInArrow(run, "page_id long, url string, text string, copies long").select(
+        "page_id", "url", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).drop("n")
 
 
 def extracted(pages: DataFrame) -> DataFrame:

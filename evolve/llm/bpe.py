@@ -38,7 +38,7 @@ from evolve.llm.common import ship, slices
 from evolve.llm.tokens import public_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-REMEMBER = 300_000
+REMEMBER = 700_000
 LONGEST_REMEMBERED = 64  # bytes
 BLOCK = 10
 IN_BLOCK = (1 << BLOCK) - 1
@@ -59,8 +59,8 @@ class BytePairs:
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token.  The queue's two operations stand inline:
         a call for each would cost more than the operation."""
-        ranks = self.ranks
-        whole = ranks.get(data)
+        get, push, pop = self.ranks.get, heapq.heappush, heapq.heappop
+        whole = get(data)
         if whole is not None:
             return [whole]
         n = len(data)
@@ -75,7 +75,7 @@ class BytePairs:
             for i in new:
                 if i < 0 or end[i] >= n:
                     continue
-                rank = ranks.get(data[i:end[end[i]]])
+                rank = get(data[i:end[end[i]]])
                 if rank is None:
                     filed[i] = -1
                     continue
@@ -87,14 +87,16 @@ class BytePairs:
                     blocks[block] = blocks.get(block, 0) | 1 << (rank & IN_BLOCK)
                     top |= 1 << block
                 else:
-                    heapq.heappush(held, i)
+                    push(held, i)
             while top:
                 block = (top & -top).bit_length() - 1
                 bits = blocks[block]
                 rank = (block << BLOCK) | (bits & -bits).bit_length() - 1
                 held = buckets[rank]
-                i = heapq.heappop(held)
-                if not held:
+                if len(held) > 1:
+                    i = pop(held)
+                else:
+                    i = held[0]
                     del buckets[rank]
                     bits &= bits - 1
                     blocks[block] = bits
@@ -112,7 +114,7 @@ class BytePairs:
             new = (before[i], i)
         out, i = [], 0
         while i < n:
-            out.append(ranks[data[i:end[i]]])
+            out.append(get(data[i:end[i]]))
             i = end[i]
         return out
 

@@ -3,32 +3,30 @@ conversations), with DataFrame code.  The registered queries and the tests run
 the library's operators over them; the oracle SQL in ``evolve.oracle`` derives
 the same relations as CTEs.
 
-* ``scripts``: UP scripts of the project ``app``: the documents whose id is a
-  version the events refer to (props.k + 1).
-* ``log``: one attempt per event; target = user, version = props.k + 1.
+Every document, event and conversation turn takes part:
+
+* ``scripts``: every document is an UP script; project = its source and the
+  block of ``BLOCK`` positions it falls in (so versions stay in the stored
+  range), version = its position in that project by doc_id.
+* ``targets``: one run configuration per user; users are dealt over the
+  sources and their blocks.
+* ``log``: one attempt per event; target = user, version spread over the
+  whole range of the target's project.
 * ``history``: the fold of ``log``.
-* ``targets``: one run configuration per user.
-* ``mini_*``: a small fleet of conversations with healthy and broken targets.
+* ``mini_*``: conversations as targets: every turn is a history row of the
+  conversation's source; some turns hold a version that no script has.
 * ``files``: script folders, one project per document source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evolve.functions.ranking import rank_by_id
 from evolve.operators.history import fold_history
 
-APP = "app"  # the one project of the main fleet
-
-
-def _project_of(key: str):
-    """The project by a rule over the data (ids >= 0 belong to 'app'), so it is
-    a column value as a stored project column would be.  A bare literal on
-    both sides of a join on project lets the optimizer fold the key away into
-    a cross join, which no real fleet table would do."""
-    return F.when(F.col(key) >= 0, F.lit(APP))
+BLOCK = 10_000  # documents of one source in one project
 
 _MEMO: dict = {}
 
@@ -54,27 +52,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @memo
-def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The versions the events refer to: props.k + 1 (1..100 in the given data)."""
-    k = F.get_json_object("props", "$.k").cast("int") + 1
-    return table(spark, sf_dir, "events").select(k.alias("v")).distinct()
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document sources, numbered: ``source, n_docs, idx, n_src``.  One
+    row per source: a dimension, so its window is small."""
+    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    return per.select("source", "n_docs", (F.row_number().over(Window.orderBy("source")) - 1).alias("idx"),
+                      F.count(F.lit(1)).over(Window.partitionBy()).alias("n_src"))
+
+
+def _assigned(spark: SparkSession, sf_dir: str, df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the project dealt to ``key`` and its number of scripts."""
+    s = sources(spark, sf_dir)
+    n_src = s.select(F.max("n_src").alias("_n")).first()["_n"]  # one number
+    j = df.join(s, F.pmod(F.col(key), F.lit(n_src)) == F.col("idx"))
+    block = F.pmod(F.floor(F.col(key) / F.lit(n_src)), F.ceil(F.col("n_docs") / F.lit(BLOCK)))
+    return (j.withColumn("_block", block)
+            .withColumn("project", F.concat_ws("/", "source", F.col("_block").cast("string")))
+            .withColumn("size", F.least(F.lit(BLOCK), F.col("n_docs") - F.col("_block") * BLOCK).cast("int"))
+            .select(*df.columns, "project", "size"))
 
 
 @memo
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UP scripts: the documents whose doc_id is a version the events refer
-    to; version = doc_id."""
-    docs = table(spark, sf_dir, "documents")
-    d = docs.join(event_versions(spark, sf_dir), docs["doc_id"] == F.col("v"), "left_semi")
+    """UP scripts: every document (see the module's head)."""
+    # checksums before the ranking: no text goes through its exchanges
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.md5("text").alias("md5_checksum"),
+        F.md5(F.concat("text", F.lit("#old"))).alias("old_md5"))
+    at = F.col("rn") - 1
+    d = rank_by_id(d, ["source"], "doc_id", "rn").withColumn("version", (F.pmod(at, F.lit(BLOCK)) + 1).cast("int"))
     return d.select(
-        _project_of("doc_id").alias("project"),
-        F.lit("UP").alias("direction"),
-        F.col("doc_id").cast("int").alias("version"),
-        F.col("source").alias("description"),
-        F.format_string("V%03d_%s.sql", F.col("doc_id").cast("int"), F.col("source")).alias("file_name"),
-        F.col("text").alias("content"),
-        F.md5("text").alias("md5_checksum"),
-    )
+        F.concat_ws("/", "source", F.floor(at / F.lit(BLOCK)).cast("string")).alias("project"),
+        F.lit("UP").alias("direction"), "version", F.col("source").alias("description"),
+        F.format_string("V%03d_%s.sql", F.col("version"), F.col("source")).alias("file_name"),
+        "md5_checksum", "old_md5")
 
 
 @memo
@@ -88,21 +99,17 @@ def down_scripts(spark: SparkSession, sf_dir: str, skip_tens: bool = False) -> D
 
 @memo
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Execution log: one attempt per event.
+    """Execution log: one attempt per event, its version spread by props.k and
+    event_id over the whole range of the target's project.
 
     'error' events failed, every fifth event is a DOWN, value > 60 recorded an
-    old script text.  The script side is projected to keys and checksums
-    before the join (at most 65536 rows per project, no text).
+    old script text.
     """
-    e = table(spark, sf_dir, "events")
-    s = scripts(spark, sf_dir).select(
-        "version", "description", "md5_checksum",
-        F.md5(F.concat("content", F.lit("#old"))).alias("old_md5"))
-    k = F.get_json_object("props", "$.k").cast("int") + 1
-    # One project's scripts: at most 65536 rows of keys and checksums, so the
-    # broadcast is bounded; the events stream through in parallel.
-    j = e.join(F.broadcast(s), k == s["version"])
-    return j.select(
+    e = _assigned(spark, sf_dir, table(spark, sf_dir, "events"), "user_id")
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = e.withColumn("version", (F.pmod(k * 7919 + F.col("event_id"), F.col("size")) + 1).cast("int"))
+    s = scripts(spark, sf_dir).select("project", "version", "description", "md5_checksum", "old_md5")
+    return e.join(s, ["project", "version"]).select(
         F.col("event_id"),
         F.col("user_id").alias("target_id"),
         F.col("version"),
@@ -121,79 +128,78 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @memo
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run configuration per user: down for user_id % 6 >= 3, destinations by user_id % 6."""
+    """Run configuration per user: down for user_id % 6 >= 3; destinations by
+    user_id % 6, as parts of the project's range (one lies above it)."""
     u = table(spark, sf_dir, "events").select(F.col("user_id").alias("target_id")).distinct()
-    m = F.col("target_id") % 6
-    dest = (F.when(m == 1, 90).when(m == 2, 120).when(m == 3, 40).when(m == 5, 95)
+    m, size = F.col("target_id") % 6, F.col("size")
+    part = lambda a, b: F.floor(size * a / F.lit(b))
+    dest = (F.when(m == 1, part(9, 10)).when(m == 2, part(6, 5)).when(m == 3, part(2, 5)).when(m == 5, part(19, 20))
             .cast("int"))
-    return u.select("target_id", _project_of("target_id").alias("project"), (m >= 3).alias("down"),
-                    dest.alias("destination"))
+    return _assigned(spark, sf_dir, u, "target_id").select(
+        "target_id", "project", (m >= 3).alias("down"), dest.alias("destination"))
 
 
-def _config_rows(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
-    """A small configuration table with project 'app' as a column value (see
-    ``_project_of``); built over ``spark.range`` so the optimizer treats it as
-    data, like a stored table, not as foldable literals."""
-    idx = F.col("id").cast("int") + 1
-    cols = [F.element_at(F.array(*[F.lit(r[i]).cast(t) for r in rows]), idx).alias(n)
-            for i, (n, t) in enumerate(zip(names, types))]
-    return spark.range(len(rows)).select(_project_of("id").alias("project"), *cols)
-
-
-HOOK_COLS = (["hook_type", "hook_order", "hook_version", "file_name", "content"],
-             ["string", "int", "int", "string", "string"])
+def _of_every_project(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
+    """The same small hook set for every project."""
+    names = ["hook_type", "hook_order", "hook_version", "file_name", "content"]
+    types = ["string", "int", "int", "string", "string"]
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)])
+                               for r in rows])).alias("h")
+    return scripts(spark, sf_dir).select("project").distinct().select("project", each).select("project", "h.*")
 
 
 @memo
-def hooks(spark: SparkSession) -> DataFrame:
-    """The hook set of project ``app`` (a configuration, not data)."""
-    rows = [("BEFORE", 1, None, "b1", ""), ("BEFORE", 2, None, "b2", ""), ("BEFORE_EACH", 1, None, "be1", ""),
-            ("BEFORE_VERSION", 1, 95, "bv1", ""), ("AFTER_VERSION", 1, 95, "av1", ""),
-            ("AFTER_EACH", 1, None, "ae1", ""), ("AFTER", 1, None, "a1", ""), ("REPEATABLE", 1, None, "r1", "")]
-    return _config_rows(spark, rows, *HOOK_COLS)
+def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hook set of every project (a configuration, not data)."""
+    return _of_every_project(spark, sf_dir, [
+        ("BEFORE", 1, None, "b1", ""), ("BEFORE", 2, None, "b2", ""), ("BEFORE_EACH", 1, None, "be1", ""),
+        ("BEFORE_VERSION", 1, 8, "bv1", ""), ("AFTER_VERSION", 1, 8, "av1", ""),
+        ("AFTER_EACH", 1, None, "ae1", ""), ("AFTER", 1, None, "a1", ""), ("REPEATABLE", 1, None, "r1", "")])
 
 
 @memo
-def down_hooks(spark: SparkSession) -> DataFrame:
-    return _config_rows(spark, [("REPEATABLE_DOWN", 1, None, "rd1", "")], *HOOK_COLS)
+def down_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_every_project(spark, sf_dir, [("REPEATABLE_DOWN", 1, None, "rd1", "")])
 
 
 # --- mini fleet -----------------------------------------------------------
 
 @memo
 def mini_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents whose doc_id is a conversation turn + 1 (1..8 in the given
-    data) as the scripts of project 'full'; the same without 4 for 'gappy'."""
-    docs = table(spark, sf_dir, "documents")
-    turns = table(spark, sf_dir, "conversations").select((F.col("turn") + 1).alias("v")).distinct()
-    d = docs.join(turns, docs["doc_id"] == F.col("v"), "left_semi")
-    base = d.select(F.lit("UP").alias("direction"), F.col("doc_id").cast("int").alias("version"),
-                    F.col("source").alias("description"), F.md5("text").alias("md5_checksum"),
-                    F.format_string("V%03d_%s.sql", F.col("doc_id").cast("int"), F.col("source"))
-                    .alias("file_name"))
-    full = base.withColumn("project", F.lit("full"))
-    gappy = base.where(F.col("version") != 4).withColumn("project", F.lit("gappy"))
-    return full.unionByName(gappy)
+    """Every project twice: whole, and as '<project>-gappy' without version 4."""
+    whole = scripts(spark, sf_dir).drop("old_md5")
+    gappy = whole.where(F.col("version") != 4).withColumn("project", F.concat("project", F.lit("-gappy")))
+    return whole.unionByName(gappy)
+
+
+def _conversations(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """``df`` with the project of its conv_id (``base``: the whole one)."""
+    a = _assigned(spark, sf_dir, df, "conv_id").withColumnRenamed("project", "base")
+    return a.withColumn("project", F.when(F.col("conv_id") % 4 == 0, F.concat("base", F.lit("-gappy")))
+                        .otherwise(F.col("base")))
 
 
 @memo
 def mini_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("target_id")).distinct()
-    return c.select("target_id",
-                    F.when(F.col("target_id") % 4 == 0, "gappy").otherwise("full").alias("project"))
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return _conversations(spark, sf_dir, c).select(F.col("conv_id").alias("target_id"), "project")
 
 
 @memo
 def mini_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    j = c.join(d.withColumnRenamed("text", "d_text"), d["doc_id"] == c["turn"] + 1) \
-        .where(F.length(c["text"]) % 19 != 0)
+    """One row per turn: version turn + 1, except that turns whose text length
+    is a multiple of 19 hold a version 1000 above the project's last one,
+    which has no script (a gap below it, and a missing script)."""
+    c = _conversations(spark, sf_dir, table(spark, sf_dir, "conversations"))
+    lost = F.length("text") % 19 == 0
+    c = c.withColumn("version", (F.when(lost, F.col("size") + 1000).otherwise(0) + F.col("turn") + 1).cast("int"))
+    d = scripts(spark, sf_dir).select(F.col("project").alias("base"), "version", "description", "md5_checksum")
+    j = c.join(d, ["base", "version"], "left")
+    md5 = F.coalesce("md5_checksum", F.md5(F.concat("text", F.lit("#lost"))))
     return j.select(
-        F.col("conv_id").alias("target_id"),
-        F.col("doc_id").cast("int").alias("version"),
-        F.col("source").alias("description"),
-        F.when(F.length("text") % 23 == 0, F.md5("text")).otherwise(F.md5("d_text")).alias("md5_checksum"),
+        F.col("conv_id").alias("target_id"), "version",
+        F.coalesce("description", F.lit("lost")).alias("description"),
+        F.when(F.length("text") % 23 == 0, F.md5("text")).otherwise(md5).alias("md5_checksum"),
         (F.length("text") % 29 != 0).alias("success"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("executed_at"),
         F.lit(None).cast("timestamp_ntz").alias("repaired_at"),

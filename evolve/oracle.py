@@ -10,22 +10,40 @@ from __future__ import annotations
 
 # --- fixtures as CTEs ------------------------------------------------------
 
+# Every document, event and conversation turn takes part (see evolve.fixtures).
+
 _SCRIPTS = """
+sources AS (
+  SELECT source, count(*) AS n_docs, row_number() OVER (ORDER BY source) - 1 AS idx, count(*) OVER () AS n_src
+  FROM documents GROUP BY source),
 scripts AS (
-  SELECT CASE WHEN doc_id >= 0 THEN 'app' END AS project, 'UP' AS direction, CAST(doc_id AS INTEGER) AS version,
-         source AS description, printf('V%03d_%s.sql', CAST(doc_id AS INTEGER), source) AS file_name,
+  SELECT source || '/' || CAST(rn // 10000 AS VARCHAR) AS project, 'UP' AS direction,
+         CAST(rn % 10000 + 1 AS INTEGER) AS version, source AS description,
+         printf('V%03d_%s.sql', CAST(rn % 10000 + 1 AS INTEGER), source) AS file_name,
          text AS content, md5(text) AS md5_checksum
-  FROM documents
-  WHERE doc_id IN (SELECT CAST(json_extract(props, '$.k') AS INTEGER) + 1 FROM events))"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents) d)"""
+
+
+def _assigned(name: str, key: str, table: str) -> str:
+    """CTE: the project dealt to each key of a table, and its number of scripts."""
+    return f"""
+{name} AS (
+  SELECT k.{key}, s.source || '/' || CAST(b AS VARCHAR) AS project,
+         least(10000, s.n_docs - 10000 * b) AS size
+  FROM (SELECT DISTINCT {key} FROM {table}) k JOIN sources s ON s.idx = k.{key} % s.n_src,
+       LATERAL (SELECT (k.{key} // s.n_src) % CAST(ceil(s.n_docs / 10000.0) AS BIGINT) AS b) l)"""
+
 
-_LOG = """
+_LOG = _assigned("dealt", "user_id", "events") + """,
 log AS (
   SELECT e.event_id, e.user_id AS target_id, s.version,
          CASE WHEN e.event_id % 5 = 0 THEN 'DOWN' ELSE 'UP' END AS direction,
          s.description,
          CASE WHEN e.value > 60 THEN md5(concat(s.content, '#old')) ELSE s.md5_checksum END AS md5_checksum,
          e.event_type <> 'error' AS success, e.ts AS executed_at
-  FROM events e JOIN scripts s ON s.version = CAST(json_extract(e.props, '$.k') AS INTEGER) + 1)"""
+  FROM events e JOIN dealt p ON p.user_id = e.user_id
+  JOIN scripts s ON s.project = p.project
+   AND s.version = 1 + (CAST(json_extract(e.props, '$.k') AS BIGINT) * 7919 + e.event_id) % p.size)"""
 
 _HISTORY = """
 history AS (
@@ -38,33 +56,33 @@ history AS (
 
 _TARGETS = """
 targets AS (
-  SELECT DISTINCT user_id AS target_id, CASE WHEN user_id >= 0 THEN 'app' END AS project, user_id % 6 >= 3 AS down,
-         CAST(CASE user_id % 6 WHEN 1 THEN 90 WHEN 2 THEN 120 WHEN 3 THEN 40 WHEN 5 THEN 95 END AS INTEGER)
-           AS destination
-  FROM events)"""
+  SELECT user_id AS target_id, project, user_id % 6 >= 3 AS down,
+         CAST(CASE user_id % 6 WHEN 1 THEN size * 9 // 10 WHEN 2 THEN size * 6 // 5 WHEN 3 THEN size * 2 // 5
+              WHEN 5 THEN size * 19 // 20 END AS INTEGER) AS destination
+  FROM dealt)"""
 
 _HOOKS = """
 hooks(hook_type, hook_order, hook_version, file_name) AS (
   VALUES ('BEFORE', 1, NULL, 'b1'), ('BEFORE', 2, NULL, 'b2'), ('BEFORE_EACH', 1, NULL, 'be1'),
-         ('BEFORE_VERSION', 1, 95, 'bv1'), ('AFTER_VERSION', 1, 95, 'av1'), ('AFTER_EACH', 1, NULL, 'ae1'),
+         ('BEFORE_VERSION', 1, 8, 'bv1'), ('AFTER_VERSION', 1, 8, 'av1'), ('AFTER_EACH', 1, NULL, 'ae1'),
          ('AFTER', 1, NULL, 'a1'), ('REPEATABLE', 1, NULL, 'r1'))"""
 
-_MINI = """
-mini_base AS (
-  SELECT CAST(doc_id AS INTEGER) AS version, source AS description, md5(text) AS md5_checksum
-  FROM documents WHERE doc_id IN (SELECT turn + 1 FROM conversations)),
+_MINI = _SCRIPTS + "," + _assigned("convs", "conv_id", "conversations") + """,
 mini_scripts AS (
-  SELECT 'full' AS project, * FROM mini_base
-  UNION ALL SELECT 'gappy' AS project, * FROM mini_base WHERE version <> 4),
+  SELECT project, version, description, md5_checksum FROM scripts
+  UNION ALL SELECT project || '-gappy', version, description, md5_checksum FROM scripts WHERE version <> 4),
 mini_targets AS (
-  SELECT DISTINCT conv_id AS target_id, CASE WHEN conv_id % 4 = 0 THEN 'gappy' ELSE 'full' END AS project
-  FROM conversations),
+  SELECT conv_id AS target_id, CASE WHEN conv_id % 4 = 0 THEN project || '-gappy' ELSE project END AS project
+  FROM convs),
 mini_history AS (
-  SELECT c.conv_id AS target_id, CAST(d.doc_id AS INTEGER) AS version, d.source AS description,
-         CASE WHEN length(c.text) % 23 = 0 THEN md5(c.text) ELSE md5(d.text) END AS md5_checksum,
+  SELECT c.conv_id AS target_id, c.version, coalesce(d.description, 'lost') AS description,
+         CASE WHEN length(c.text) % 23 = 0 THEN md5(c.text)
+              ELSE coalesce(d.md5_checksum, md5(concat(c.text, '#lost'))) END AS md5_checksum,
          length(c.text) % 29 <> 0 AS success
-  FROM conversations c JOIN documents d ON d.doc_id = c.turn + 1
-  WHERE length(c.text) % 19 <> 0)"""
+  FROM (SELECT t.*, p.project AS base, CAST(t.turn + 1 + CASE WHEN length(t.text) % 19 = 0 THEN p.size + 1000
+               ELSE 0 END AS INTEGER) AS version
+        FROM conversations t JOIN convs p ON p.conv_id = t.conv_id) c
+  LEFT JOIN scripts d ON d.project = c.base AND d.version = c.version)"""
 
 _FILES = """
 files AS (

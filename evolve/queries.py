@@ -197,12 +197,12 @@ def q_missing_down(spark, sf):
 
 @register("plan_up")
 def q_plan_up(spark, sf):
-    return pl.plan_up(_actions(spark, sf), _fleet_scripts(spark, sf), fx.hooks(spark))
+    return pl.plan_up(_actions(spark, sf), _fleet_scripts(spark, sf), fx.hooks(spark, sf))
 
 
 @register("plan_down")
 def q_plan_down(spark, sf):
-    return pl.plan_down(_actions(spark, sf, True), _fleet_scripts(spark, sf, True), fx.down_hooks(spark))
+    return pl.plan_down(_actions(spark, sf, True), _fleet_scripts(spark, sf, True), fx.down_hooks(spark, sf))
 
 
 SPLIT = _dt.datetime(2024, 1, 16)     # the log is applied in two batches: before / from this time

@@ -49,22 +49,16 @@ def local_gaps(scripts: DataFrame) -> DataFrame:
     version present k times adds k-1 breaks (expected version+1, got version).
 
     The window runs over distinct versions only (at most 65536 per project).
-    The extra copies of a version are emitted by the copy rows themselves --
-    every copy except the one with the smallest path -- so no array or task
-    ever holds a whole group of copies.
+    The breaks of copies come from their count, whatever their names.
     """
     up = _up(scripts)
-    tie = next(c for c in ("path", "file_name", "description") if c in up.columns)
-    counts = up.groupBy("project", "version").agg(F.count(F.lit(1)).alias("copies"),
-                                                  F.min(tie).alias("_first_copy"))
+    counts = up.groupBy("project", "version").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     w = Window.partitionBy("project").orderBy("version")
     first = (counts.withColumn("expected", F.coalesce(F.lag("version").over(w) + 1, F.lit(1)))
              .where(F.col("version") != F.col("expected"))
              .select("project", F.col("expected").cast("int"), F.col("version").alias("got")))
-    extra = (up.select("project", "version", tie)
-             .join(counts.where(F.col("copies") > 1).select("project", "version", "_first_copy"),
-                   ["project", "version"])
-             .where(F.col(tie) != F.col("_first_copy"))
+    extra = (counts.where(F.col("copies") > 1)
+             .select("project", "version", F.explode(F.sequence(F.lit(2), "copies")).alias("_copy"))
              .select("project", (F.col("version") + 1).cast("int").alias("expected"), F.col("version").alias("got")))
     return first.unionByName(extra).withColumn(
         "message", F.format_string(MSG_LOCAL_GAP, "expected", "got"))

@@ -89,9 +89,22 @@ def merge_outcomes(last: DataFrame, history: DataFrame | None = None) -> DataFra
                      .otherwise(F.col("h.repaired_at")).cast("timestamp_ntz").alias("repaired_at")))
 
 
+def unrecorded(log: DataFrame) -> DataFrame:
+    """Attempts whose history row can't be written, with the reason: their
+    version lies above the stored column's range.  Together with the attempts
+    that the fold takes in, they account for every row of the log."""
+    return (log.where(F.col("version") > schemas.MAX_STORED_VERSION)
+            .select("event_id", *KEY, "direction", "success",
+                    F.format_string("version %d is out of range, the highest recorded version is %d",
+                                    F.col("version"), F.lit(schemas.MAX_STORED_VERSION)).alias("reason")))
+
+
 def apply_ups(history: DataFrame, log: DataFrame) -> DataFrame:
-    """Upsert the outcomes of UP attempts (M1); other directions are ignored."""
-    return fold_history(log.where(F.col("direction") == "UP"), history)
+    """Upsert the outcomes of UP attempts (M1); another direction in the log
+    is an error."""
+    up = F.when(F.col("direction") == "UP", F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("apply_ups takes UP attempts only, got "), F.col("direction"))).cast("boolean"))
+    return fold_history(log.where(up), history)
 
 
 def apply_rollbacks(history: DataFrame, log: DataFrame) -> DataFrame:
@@ -143,9 +156,14 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     # text -> TIMESTAMP_NTZ is independent of the session time zone
     now = as_of if isinstance(as_of, Column) else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     # versions above the stored range cannot be written; those upserts fail alone
+    # copies of a version are upserted in path order, so the last one stays
+    order = next(c for c in ("path", "file_name", "description") if c in scripts.columns)
     local = (scripts.where((F.col("direction") == "UP") & (F.col("version") <= schemas.MAX_STORED_VERSION))
-             .select("project", "version", F.col("description").alias("s_description"),
-                     F.col("md5_checksum").alias("s_md5")))
+             .groupBy("project", "version")
+             .agg(F.max_by(F.struct("description", "md5_checksum"), F.struct(order, "description", "md5_checksum"))
+                  .alias("_s"))
+             .select("project", "version", F.col("_s.description").alias("s_description"),
+                     F.col("_s.md5_checksum").alias("s_md5")))
     if "history_exists" in targets.columns:
         targets = targets.where(F.col("history_exists"))
     wanted = targets.select("target_id", "project").join(local, "project").drop("project")

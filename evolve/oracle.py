@@ -121,6 +121,11 @@ SQL: dict[str, str] = {}
 
 SQL["fold_history"] = _with(*MAIN) + "SELECT * FROM history"
 
+SQL["unrecorded"] = _with(_SCRIPTS, _LOG) + """
+SELECT event_id, target_id, version + 32763 AS version, direction, success,
+       printf('version %d is out of range, the highest recorded version is 32767', version + 32763) AS reason
+FROM log WHERE event_id % 7 = 0 AND version > 4"""
+
 SQL["latest_version"] = _with(*MAIN) + """
 SELECT t.target_id,
        CAST(COALESCE((SELECT max(h.version) FROM history h

@@ -13,6 +13,7 @@ the session's shared checkpoint folder.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -87,42 +88,60 @@ def steps_up(changes: list[Change], hooks: list[Hook], start: int, stop: int) ->
 
 def steps_down(changes: list[Change], hooks: list[Hook], start: int, stop: int) -> list[tuple]:
     """(kind, version, name, transform) for stop < version <= start, descending;
-    REPEATABLE_DOWN hooks after each version above stop + 1."""
+    REPEATABLE_DOWN hooks after each one above stop + 1 (a version without a
+    DOWN transform is passed over, with its hooks)."""
     rd = [h for h in sorted(hooks, key=lambda h: (h.order, h.name)) if h.hook_type == "REPEATABLE_DOWN"]
     out = []
     for c in sorted(changes, key=lambda c: -c.version):
         if not stop < c.version <= start:
             continue
-        if c.down is not None:
-            out.append(("DOWN", c.version, c.description, c.down))
+        if c.down is None:
+            continue
+        out.append(("DOWN", c.version, c.description, c.down))
         if c.version > stop + 1:
             out += [("REPEATABLE_DOWN", c.version, h.name, h.transform) for h in rd]
     return out
 
 
 def migrate_table(spark: SparkSession, df: DataFrame, changes: list[Change], start: int, stop: int,
-                  hooks: list[Hook] | None = None, force: bool = False, checkpoint_every: int = 100,
+                  hooks: list[Hook] | None = None, force: bool = False, checkpoint_every: int = 0,
                   publish: Callable[[DataFrame, int], None] | None = None) -> Outcome:
     """Move ``df`` from version ``start`` to ``stop`` (either direction).
 
     ``force``: a step whose transform fails to resolve is logged as failed and
     skipped, the chain goes on from the last good state (X3); without it the
     first failure ends the chain.  ``publish(df, version)`` is called after each
-    version (the "each" mode of :func:`evolve.sources.tables.publish_table`);
-    without it nothing is written and the caller writes the final table once.
+    version and its AFTER hooks (the "each" mode of
+    :func:`evolve.sources.tables.publish_table`); without it nothing is written
+    and the caller writes the final table once.  With ``start == stop`` there is
+    nothing to do, so no hook runs.  ``checkpoint_every`` > 0 cuts very long
+    chains; that runs the chain, so run-time errors then surface here.
     """
     hooks = hooks or []
-    steps = (steps_up(changes, hooks, start, stop) if stop >= start
+    if start == stop:
+        return Outcome(df)
+    steps = (steps_up(changes, hooks, start, stop) if stop > start
              else steps_down(changes, hooks, start, stop))
     out = Outcome(df)
     cur = df
+    due: int | None = None  # version that ran and isn't published yet
+
+    def publish_due():
+        nonlocal due
+        if publish is not None and due is not None:
+            publish(cur, due)
+        due = None
+
     for i, (kind, version, name, transform) in enumerate(steps, start=1):
+        if kind in ("REPEATABLE", "BEFORE_EACH", "BEFORE_VERSION", "UP", "DOWN"):
+            publish_due()  # a new version begins
         try:
             nxt = apply_transform(spark, cur, transform)
             nxt.schema  # resolve now: analysis errors surface here
         except AnalysisException as exc:
-            out.log.append((i, kind, version, name, False, str(exc).splitlines()[0][:500]))
+            out.log.append((i, kind, version, name, False, str(exc)))
             if not force:
+                publish_due()
                 out.table = cur
                 return out
             continue
@@ -131,17 +150,26 @@ def migrate_table(spark: SparkSession, df: DataFrame, changes: list[Change], sta
         if checkpoint_every and i % checkpoint_every == 0:
             checkpoint_dir(spark)
             cur = cur.checkpoint()
-        if publish is not None and kind in ("UP", "DOWN"):
-            publish(cur, version)
+        if kind in ("UP", "DOWN"):
+            due = version
+    publish_due()
     out.table = cur
     return out
 
 
+def checksum_of(change: Change) -> str:
+    """MD5 of a change's UP text (of its description, if it is a function)."""
+    text = change.up if isinstance(change.up, str) else f"{change.version} {change.description}"
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def log_as_history_events(outcome: Outcome, target_id: int, at: _dt.datetime,
-                          spark: SparkSession) -> DataFrame:
+                          spark: SparkSession, changes: list[Change] | None = None) -> DataFrame:
     """The migration steps of an outcome as execution-log rows (X4), ready for
-    :func:`evolve.operators.history.fold_history`."""
-    rows = [(i, target_id, v, k, n, None, ok, at) for (i, k, v, n, ok, _) in outcome.log if k in ("UP", "DOWN")]
+    :func:`evolve.operators.history.fold_history`; with ``changes``, the rows
+    carry their checksums."""
+    md5 = {c.version: checksum_of(c) for c in changes or []}
+    rows = [(i, target_id, v, k, n, md5.get(v), ok, at) for (i, k, v, n, ok, _) in outcome.log if k in ("UP", "DOWN")]
     schema = ("event_id long, target_id long, version int, direction string, description string, "
               "md5_checksum string, success boolean, executed_at timestamp_ntz")
     return spark.createDataFrame(rows, schema)

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evolve import schemas
 from evolve.operators.history import latest_version
 from evolve.operators.scripts import select_hooks
 
@@ -74,15 +75,23 @@ def run_action(targets: DataFrame, history: DataFrame, scripts: DataFrame,
 def versions_in_range(ranges: DataFrame, scripts: DataFrame, lo: str, hi: str) -> DataFrame:
     """Join ``ranges`` (project, lo, hi, ...) to ``scripts`` (project, version,
     ...) on ``lo <= version <= hi`` through version blocks (see module doc)."""
-    block = lambda c: F.floor(F.col(c) / VERSION_BLOCK).cast("int")
-    r = (ranges.where(F.col(lo) <= F.col(hi))
-         .withColumn("_block", F.explode(F.sequence(block(lo), block(hi)))))
-    s = scripts.withColumn("_block", block("version"))
+    block = lambda c: F.floor(c / VERSION_BLOCK).cast("int")
+    # no script lies outside 0..MAX_VERSION, so a range is cut to it first
+    first = F.greatest(F.col(lo), F.lit(0))
+    last = F.least(F.col(hi), F.lit(schemas.MAX_VERSION))
+    r = (ranges.where(first <= last)
+         .withColumn("_block", F.explode(F.sequence(block(first), block(last)))))
+    s = scripts.withColumn("_block", block(F.col("version")))
     return (r.join(s, ["project", "_block"])
             .where(F.col("version").between(F.col(lo), F.col(hi)))
             .drop("_block"))
 
 
+def _path(scripts: DataFrame):
+    """What orders copies of a version: the path, where scripts carry it."""
+    return F.col("path") if "path" in scripts.columns else F.col("file_name")
+
+
 def _runs(actions: DataFrame, down: bool) -> DataFrame:
     return actions.where((F.col("action") == "run") & (F.col("down") == F.lit(down)))
 
@@ -92,7 +101,8 @@ def pending_up(actions: DataFrame, scripts: DataFrame) -> DataFrame:
     r = _runs(actions, False).select("target_id", "project",
                                      (F.col("latest_version") + 1).alias("_lo"),
                                      F.col("destination").alias("_hi"))
-    s = scripts.where(F.col("direction") == "UP").select("project", "version", "description", "file_name")
+    s = scripts.where(F.col("direction") == "UP").select("project", "version", "description", "file_name",
+                                                        _path(scripts).alias("path"))
     return versions_in_range(r, s, "_lo", "_hi").drop("_lo", "_hi")
 
 
@@ -131,7 +141,7 @@ def plan_up(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, **flags) -
     """
     runs = _runs(actions, False).select("target_id", "project")
     pend = pending_up(actions, scripts).select("target_id", "project", "version",
-                                              F.col("file_name").alias("_script"))
+                                              F.col("file_name").alias("_script"), F.col("path").alias("_path"))
     h = select_hooks(hooks, down=False, **flags).select("project", "hook_type", "hook_order", "hook_version",
                                                         "file_name")
     # phase of each hook type inside a version; BEFORE / AFTER wrap the run
@@ -148,9 +158,9 @@ def plan_up(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, **flags) -
     vh = (pend.join(hv, (F.col("project") == F.col("_h_project"))
                     & (F.col("_h_version").isNull() | (F.col("_h_version") == F.col("version")))
                     & ((F.col("kind") != "REPEATABLE") | (F.col("version") > 1)))
-          .select("target_id", F.lit(1).alias("_block"), "version", F.col("_script").alias("_script_key"),
+          .select("target_id", F.lit(1).alias("_block"), "version", F.col("_path").alias("_script_key"),
                   "_phase", "_order", "kind", "name"))
-    sv = pend.select("target_id", F.lit(1).alias("_block"), "version", F.col("_script").alias("_script_key"),
+    sv = pend.select("target_id", F.lit(1).alias("_block"), "version", F.col("_path").alias("_script_key"),
                      F.lit(PHASE["UP"]).alias("_phase"), F.lit(0).alias("_order"), F.lit("UP").alias("kind"),
                      F.col("_script").alias("name"))
     ba = (runs.join(around, "project")
@@ -173,17 +183,18 @@ def plan_down(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, use_repe
                                     (F.col("destination") + 1).alias("_lo"),
                                     F.col("latest_version").alias("_hi"), "destination")
     s = scripts.where(F.col("direction") == "DOWN").select("project", "version",
-                                                          F.col("file_name").alias("_script"))
+                                                          F.col("file_name").alias("_script"),
+                                                          _path(scripts).alias("_path"))
     pend = versions_in_range(r, s, "_lo", "_hi")
     h = select_hooks(hooks, down=True, use_repeatable=use_repeatable).select("project", "hook_order", "file_name")
-    scripts_steps = pend.select("target_id", "version", "_script", F.lit(0).alias("_phase"),
+    scripts_steps = pend.select("target_id", "version", "_path", F.lit(0).alias("_phase"),
                                 F.lit(0).alias("_order"), F.lit("DOWN").alias("kind"),
                                 F.col("_script").alias("name"))
     hook_steps = (pend.where(F.col("version") > F.col("destination") + 1).join(h, "project")
-                  .select("target_id", "version", "_script", F.lit(1).alias("_phase"),
+                  .select("target_id", "version", "_path", F.lit(1).alias("_phase"),
                           F.col("hook_order").alias("_order"), F.lit("REPEATABLE_DOWN").alias("kind"),
                           F.col("file_name").alias("name")))
-    w = Window.partitionBy("target_id").orderBy(F.col("version").desc(), "_script", "_phase", "_order", "name")
+    w = Window.partitionBy("target_id").orderBy(F.col("version").desc(), "_path", "_phase", "_order", "name")
     return (scripts_steps.unionByName(hook_steps)
             .select("target_id", F.row_number().over(w).cast("int").alias("step"), "kind",
                     F.col("version").cast("int").alias("version"), "name"))

@@ -219,7 +219,12 @@ def _halves(spark, sf):
 @register("apply_ups")
 def q_apply_ups(spark, sf):
     first, second = _halves(spark, sf)
-    return hist.apply_ups(hist.fold_history(first), second)
+    return hist.apply_ups(hist.fold_history(first), second.where(F.col("direction") == "UP"))
+
+
+@register("unrecorded")
+def q_unrecorded(spark, sf):
+    return hist.unrecorded(fx.far_log(spark, sf))
 
 
 @register("apply_rollbacks")

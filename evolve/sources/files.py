@@ -10,23 +10,23 @@ filtered by name before any content is read.  A missing folder is an error.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _qualify(location: str) -> str:
-    location = location.rstrip("/")
-    if "://" in location or location.startswith("file:"):
-        return location
-    return "file:" + os.path.abspath(location)
+def _qualify(spark: SparkSession, location: str) -> str:
+    """The folder's full, normalised URI: paths without a scheme lie in the
+    session's default file system."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    path = path_of(location.rstrip("/") or "/")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path_of(fs.makeQualified(path).toUri().normalize()).toString()
 
 
 def read_script_files(spark: SparkSession, locations: dict[str, list[str]]) -> DataFrame:
     """(project, path, file_name, content) for every ``*.sql`` file directly in
     a project's locations; ``content`` holds the file's bytes unchanged."""
-    pairs = [(project, _qualify(loc)) for project, locs in locations.items() for loc in locs]
+    pairs = [(project, _qualify(spark, loc)) for project, locs in locations.items() for loc in locs]
     if not pairs:
         raise ValueError("no locations given")
     # Loading the folders themselves lists the files directly inside them (not
@@ -43,9 +43,9 @@ def read_script_files(spark: SparkSession, locations: dict[str, list[str]]) -> D
         # reference), so checksums of files that are not valid UTF-8 match too
         F.col("content").cast("string").alias("content"),
     )
-    # The locations table is the configuration itself (one row per folder).
-    return (files.join(F.broadcast(locs), _norm(files["location"]) == _norm(locs["location"]))
-            .select("project", "path", "file_name", "content"))
+    lost = F.raise_error(F.concat(F.lit("no location holds the file "), F.col("path")))
+    return (files.join(locs, _norm(files["location"]) == _norm(locs["location"]), "left")
+            .select(F.coalesce("project", lost.cast("string")).alias("project"), "path", "file_name", "content"))
 
 
 def _norm(c):

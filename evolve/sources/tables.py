@@ -71,6 +71,8 @@ def _swap_in(spark: SparkSession, df: DataFrame, table: str, buckets: int | None
     staging = f"{table}__staging"
     exists = spark.catalog.tableExists(table)
     info = _table_info(spark, table) if exists else {}
+    if exists and info.get("Type") != "EXTERNAL":
+        raise ValueError(f"{table} is a managed table: replacing it would delete its files under its readers")
     current = int(info.get("Num Buckets") or 0) if exists else 0
     if buckets is None:
         buckets = current or None
@@ -87,7 +89,7 @@ def _swap_in(spark: SparkSession, df: DataFrame, table: str, buckets: int | None
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.sql(f"DROP TABLE {staging}")  # external: the files now belong to the table
     else:
-        # a managed table, a new bucket layout or a new schema: replace the catalog entry
+        # a new bucket layout or a new schema: replace the catalog entry
         spark.sql(f"DROP TABLE {table}")
         spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
     spark.catalog.refreshTable(table)

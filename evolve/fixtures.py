@@ -147,6 +147,14 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target_id", "project", (m >= 3).alias("down"), dest.alias("destination"))
 
 
+@memo
+def file_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user as an upward run over the script folder of its source."""
+    return targets(spark, sf_dir).select(
+        "target_id", F.substring_index("project", "/", 1).alias("project"), F.lit(False).alias("down"),
+        F.lit(None).cast("int").alias("destination"))
+
+
 def _of_every_project(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
     """The same small hook set for every project."""
     names = ["hook_type", "hook_order", "hook_version", "file_name", "content"]

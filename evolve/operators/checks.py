@@ -22,6 +22,7 @@ MSG_HISTORY_GAP = "missing version %d"
 MSG_DRIFT = ("invalid migration found: version: %d, description: %s, md5_checksum: %s."
              " Please check your local migration and changes")
 
+STAGE_LOAD = -1
 STAGE_FAILING, STAGE_LOCAL, STAGE_HISTORY = 1, 2, 3
 
 
@@ -167,11 +168,13 @@ def _history_summary(history: DataFrame, scripts: DataFrame, targets: DataFrame)
         (F.count_if(checked & F.col("_gap")) + F.count_if(checked & drifted)).alias("n_mismatch"))
 
 
-def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame,
+         invalid: DataFrame | None = None) -> DataFrame:
     """First failing validation stage per target (D2); 0 = passes, with the
     number of problems that stage reports.
 
-    Stage 1: failed rows in the history; 2: gaps in the local UP scripts;
+    Stage -1 (only with ``invalid``, the out-of-range files): the project's
+    load failed, nothing else is looked at.  Stage 1: failed rows in the history; 2: gaps in the local UP scripts;
     3: history gaps and drift.  A target stops at its first failing stage.
     Only counts are needed, so stage 2 is counted per project (one row each)
     and stages 1 and 3 come from the one-pass history summary.
@@ -181,8 +184,12 @@ def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFram
     t = (targets.select("target_id", "project").join(summary, "target_id", "left")
          .join(lg, "project", "left"))
     n1, n2, n3 = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_failing", "n_local", "n_mismatch"))
-    stage = F.when(n1 > 0, STAGE_FAILING).when(n2 > 0, STAGE_LOCAL).when(n3 > 0, STAGE_HISTORY).otherwise(0)
-    count = F.when(n1 > 0, n1).when(n2 > 0, n2).when(n3 > 0, n3).otherwise(0)
+    n0 = F.lit(0)
+    if invalid is not None:
+        t = t.join(invalid.groupBy("project").agg(F.count(F.lit(1)).alias("n_invalid")), "project", "left")
+        n0 = F.coalesce(F.col("n_invalid"), F.lit(0))
+    stage = F.when(n0 > 0, STAGE_LOAD).when(n1 > 0, STAGE_FAILING).when(n2 > 0, STAGE_LOCAL).when(n3 > 0, STAGE_HISTORY).otherwise(0)
+    count = F.when(n0 > 0, n0).when(n1 > 0, n1).when(n2 > 0, n2).when(n3 > 0, n3).otherwise(0)
     return t.select("target_id", "project", stage.cast("int").alias("stage"), count.cast("long").alias("problems"))
 
 
@@ -195,13 +202,19 @@ def gate_problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) ->
     return p.withColumn("_first", first).where(F.col("stage") == F.col("_first")).drop("_first")
 
 
-def status(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+def status(history: DataFrame, scripts: DataFrame, targets: DataFrame,
+           invalid: DataFrame | None = None) -> DataFrame:
     """Per target: latest applied version, number of history mismatches (gaps
     and drift) and number of failing rows (A3).  Local gaps are not counted.
-    One pass over the history (see :func:`_history_summary`)."""
+    With ``invalid`` (the out-of-range files), ``load_failed`` tells whose
+    project can't be loaded.  One pass over the history (see
+    :func:`_history_summary`)."""
     summary = _history_summary(history, scripts, targets)
-    return (targets.select("target_id").join(summary, "target_id", "left")
-            .select("target_id",
-                    F.coalesce("latest", F.lit(0)).cast("int").alias("latest_version"),
-                    F.coalesce("n_mismatch", F.lit(0)).cast("long").alias("mismatches"),
-                    F.coalesce("n_failing", F.lit(0)).cast("long").alias("failing")))
+    cols = [F.coalesce("latest", F.lit(0)).cast("int").alias("latest_version"),
+            F.coalesce("n_mismatch", F.lit(0)).cast("long").alias("mismatches"),
+            F.coalesce("n_failing", F.lit(0)).cast("long").alias("failing")]
+    t = targets.select("target_id", "project").join(summary, "target_id", "left")
+    if invalid is not None:
+        t = t.join(invalid.select("project").distinct().withColumn("_broken", F.lit(True)), "project", "left")
+        cols.append(F.coalesce("_broken", F.lit(False)).alias("load_failed"))
+    return t.select("target_id", *cols)

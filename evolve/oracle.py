@@ -561,3 +561,41 @@ SELECT t.target_id, l.latest_version, CAST(m.max_up AS INTEGER) AS destination,
        ELSE 'run' END AS action
 FROM mini_targets t JOIN lat l ON l.target_id = t.target_id
 LEFT JOIN mx m ON m.project = t.project LEFT JOIN firsts f ON f.target_id = t.target_id"""
+
+# --- script folders, with the projects whose load fails ------------------------------
+
+_FOLDERS = _with(*MAIN)[:-1] + "," + _CLASSIFIED + """,
+invalid AS (SELECT project, count(*) AS n FROM classified WHERE NOT valid GROUP BY project),
+fscripts AS (
+  SELECT project, version, description, md5(content) AS md5_checksum FROM migs
+  WHERE direction = 'UP' AND project NOT IN (SELECT project FROM invalid)),
+ftargets AS (SELECT target_id, split_part(project, '/', 1) AS project FROM targets),
+flat AS (
+  SELECT t.target_id, t.project, CAST(COALESCE(max(h.version) FILTER (WHERE h.success), 0) AS INTEGER) AS latest_version
+  FROM ftargets t LEFT JOIN history h ON h.target_id = t.target_id GROUP BY t.target_id, t.project),
+fmax AS (SELECT project, CAST(max(version) AS INTEGER) AS max_up FROM fscripts GROUP BY project)"""
+
+SQL["run_action_loaded"] = _FOLDERS + """
+SELECT l.target_id, l.project, l.latest_version, m.max_up AS destination,
+  CASE WHEN i.n > 0 THEN 'load_failed' WHEN m.max_up IS NULL THEN 'no_scripts'
+       WHEN l.latest_version = m.max_up THEN 'up_to_date'
+       WHEN m.max_up < l.latest_version THEN 'up_below_current' ELSE 'run' END AS action
+FROM flat l LEFT JOIN invalid i ON i.project = l.project LEFT JOIN fmax m ON m.project = l.project"""
+
+_FOLDER_CHECKS = _FOLDERS + _check_ctes("history", "fscripts", "ftargets", "f")
+
+SQL["gate_loaded"] = _FOLDER_CHECKS + """
+, per AS (SELECT target_id, stage, count(*) AS n FROM fproblems GROUP BY target_id, stage),
+fst AS (SELECT target_id, min(stage) AS stage FROM per GROUP BY target_id)
+SELECT t.target_id, t.project, CAST(CASE WHEN i.n > 0 THEN -1 ELSE COALESCE(f.stage, 0) END AS INTEGER) AS stage,
+       CAST(CASE WHEN i.n > 0 THEN i.n ELSE COALESCE(p.n, 0) END AS BIGINT) AS problems
+FROM ftargets t LEFT JOIN invalid i ON i.project = t.project LEFT JOIN fst f ON f.target_id = t.target_id
+LEFT JOIN per p ON p.target_id = f.target_id AND p.stage = f.stage"""
+
+SQL["status_loaded"] = _FOLDER_CHECKS + """
+SELECT l.target_id, l.latest_version,
+  (SELECT count(*) FROM fbreaks b WHERE b.target_id = l.target_id)
+    + (SELECT count(*) FROM fdrift d WHERE d.target_id = l.target_id) AS mismatches,
+  (SELECT count(*) FROM history h WHERE h.target_id = l.target_id AND NOT h.success) AS failing,
+  EXISTS (SELECT 1 FROM invalid i WHERE i.project = l.project) AS load_failed
+FROM flat l"""

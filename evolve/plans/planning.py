@@ -28,7 +28,7 @@ VERSION_BLOCK = 256
 PHASE = {"REPEATABLE": 1, "BEFORE_EACH": 2, "BEFORE_VERSION": 3, "UP": 4, "AFTER_VERSION": 5, "AFTER_EACH": 6,
          "BEFORE": 0, "AFTER": 0}
 
-ACTIONS = ("no_scripts", "blocked", "up_to_date", "up_below_current", "down_above_current", "run")
+ACTIONS = ("load_failed", "no_scripts", "blocked", "up_to_date", "up_below_current", "down_above_current", "run")
 
 
 def _script_stats(scripts: DataFrame) -> DataFrame:
@@ -39,14 +39,16 @@ def _script_stats(scripts: DataFrame) -> DataFrame:
 
 
 def run_action(targets: DataFrame, history: DataFrame, scripts: DataFrame,
-               gate: DataFrame | None = None) -> DataFrame:
+               gate: DataFrame | None = None, invalid: DataFrame | None = None) -> DataFrame:
     """What a run of each target does.
 
     Destination: up -> given or the highest local UP version; down -> given
-    or 0.  Action, first match wins: ``no_scripts`` (none in the run's
+    or 0.  Action, first match wins: ``load_failed`` (the project has an
+    ``invalid`` file, as :func:`evolve.functions.classify.invalid_files` gives
+    them; only with ``invalid``), ``no_scripts`` (none in the run's
     direction), ``blocked`` (validation stage failed; only with ``gate``),
     ``up_to_date``, ``up_below_current``, ``down_above_current``, ``run``.
-    Only ``run`` executes anything; the others are not errors.
+    Only ``run`` executes anything; ``load_failed`` and ``blocked`` are errors.
     """
     latest = latest_version(history, targets)
     t = (targets.select("target_id", "project", "down", "destination")
@@ -61,8 +63,13 @@ def run_action(targets: DataFrame, history: DataFrame, scripts: DataFrame,
     if gate is not None:
         t = t.join(gate.select("target_id", F.col("stage").alias("_stage")), "target_id", "left")
         blocked = F.coalesce(F.col("_stage"), F.lit(0)) > 0
+    broken = F.lit(False)
+    if invalid is not None:
+        t = t.join(invalid.select("project").distinct().withColumn("_broken", F.lit(True)), "project", "left")
+        broken = F.coalesce("_broken", F.lit(False))
     latest_c = F.col("latest_version")
-    action = (F.when(no_scripts, "no_scripts")
+    action = (F.when(broken, "load_failed")
+              .when(no_scripts, "no_scripts")
               .when(blocked, "blocked")
               .when(latest_c == F.col("resolved"), "up_to_date")
               .when(~down & (F.col("resolved") < latest_c), "up_below_current")
@@ -150,14 +157,17 @@ def plan_up(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, **flags) -
     per_version = h.where(F.col("_phase") > 0)
     around = h.where(F.col("hook_type").isin("BEFORE", "AFTER"))
 
-    # every per-version hook in one join: versioned hooks match their version,
-    # REPEATABLE is skipped before version 1
+    # versioned hooks meet their version by an equi-join; the others go with
+    # every version (a row of the plan each), REPEATABLE not before version 1
     hv = per_version.select(F.col("project").alias("_h_project"), F.col("hook_type").alias("kind"),
                             F.col("hook_order").alias("_order"), F.col("hook_version").alias("_h_version"),
                             F.col("file_name").alias("name"), "_phase")
-    vh = (pend.join(hv, (F.col("project") == F.col("_h_project"))
-                    & (F.col("_h_version").isNull() | (F.col("_h_version") == F.col("version")))
-                    & ((F.col("kind") != "REPEATABLE") | (F.col("version") > 1)))
+    same_project = F.col("project") == F.col("_h_project")
+    fitting = (F.col("kind") != "REPEATABLE") | (F.col("version") > 1)
+    of_version = pend.join(hv.where(F.col("_h_version").isNotNull()),
+                           same_project & (F.col("version") == F.col("_h_version")) & fitting)
+    of_all = pend.join(hv.where(F.col("_h_version").isNull()), same_project & fitting)
+    vh = (of_version.unionByName(of_all)
           .select("target_id", F.lit(1).alias("_block"), "version", F.col("_path").alias("_script_key"),
                   "_phase", "_order", "kind", "name"))
     sv = pend.select("target_id", F.lit(1).alias("_block"), "version", F.col("_path").alias("_script_key"),

@@ -164,6 +164,30 @@ def q_checksum(spark, sf):
     return expanded.select("project", "path", "version", F.md5("content").alias("md5_checksum"))
 
 
+def _folders(spark, sf):
+    """History, loaded scripts, targets and out-of-range files of the script folders."""
+    c = _classified(spark, sf)
+    loaded = scr.with_checksum(scr.select_scripts(scr.loadable(scr.migrations_of(c), c), down=False))
+    return fx.history(spark, sf), loaded, fx.file_targets(spark, sf), cls.invalid_files(c)
+
+
+@register("run_action_loaded")
+def q_run_action_loaded(spark, sf):
+    h, s, t, invalid = _folders(spark, sf)
+    return (pl.run_action(t, h, s, invalid=invalid)
+            .select("target_id", "project", "latest_version", "destination", "action"))
+
+
+@register("gate_loaded")
+def q_gate_loaded(spark, sf):
+    return checks.gate(*_folders(spark, sf))
+
+
+@register("status_loaded")
+def q_status_loaded(spark, sf):
+    return checks.status(*_folders(spark, sf))
+
+
 def _fleet_scripts(spark, sf, skip_tens=False):
     cols = ["project", "direction", "version", "description", "file_name"]
     return fx.scripts(spark, sf).select(*cols).unionByName(

@@ -127,13 +127,13 @@ def q_select_hooks_down(spark, sf):
 
 @register("ordered_scripts")
 def q_ordered_scripts(spark, sf):
-    m = scr.migrations_of(_classified(spark, sf))
+    m = scr.migrations_of(_classified(spark, sf)).drop("content")  # keys only through the ranking
     return scr.ordered_scripts(m).select("project", "direction", "version", "path", "position")
 
 
 @register("ordered_hooks")
 def q_ordered_hooks(spark, sf):
-    h = scr.hooks_of(_classified(spark, sf))
+    h = scr.hooks_of(_classified(spark, sf)).drop("content")
     return scr.ordered_hooks(h).select("project", "hook_type", "hook_order", "path", "position")
 
 

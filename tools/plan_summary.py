@@ -35,21 +35,22 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     args = ap.parse_args()
-    import __spark_entry__ as entry
+    from evolve.queries import QUERIES
     from evolve.session import get_spark
-    spark = get_spark()
+    # no side is broadcast here: the plans of sides too large for it
+    spark = get_spark(extra={"spark.sql.autoBroadcastJoinThreshold": "-1",
+                             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     cols = ["exchanges", "broadcasts", "bhj", "smj", "shj", "nested_loop", "windows", "hash_agg", "sort_agg",
             "scans"]
     print(f"# Physical plans at {os.path.basename(args.sf)} (final adaptive plans)\n")
     print("Generated by `python tools/plan_summary.py`. `exchanges` counts shuffles; `broadcasts` counts "
           "broadcast exchanges (AQE turns a join into one only after measuring the side).\n")
-    print("At this scale almost every side is small, so AQE broadcasts it; with fleet-sized inputs the same\n"
-          "joins stay sort-merge joins on the same keys (skew-split by AQE), and only the bounded sides listed in\n"
-          "the README are broadcast. No plan contains a nested-loop or cartesian join. `ordered_*` read their\n"
-          "checkpointed range pieces, so they show no file scan.\n")
+    print("Broadcasts are switched off, so these are the plans of sides too large to broadcast: sort-merge joins on the\n"
+          "same keys (skew-split by AQE). The scans and exchanges of the fixtures are included. No plan contains a\n"
+          "nested-loop or cartesian join. `ordered_*` read their checkpointed range pieces, so they show no file scan.\n")
     print("| query | " + " | ".join(cols) + " |")
     print("|---|" + "---|" * len(cols))
-    for name, q in entry.queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, args.sf)
         df.collect()  # runs this DataFrame's own execution, so its adaptive plan is final
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]

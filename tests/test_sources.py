@@ -1,4 +1,4 @@
-"""Folder loading (the reference's loader case), templates, history tables."""
+"""Folder loading, templates, history tables."""
 
 import os
 
@@ -18,24 +18,22 @@ def _write(folder, name, text):
         fh.write(text)
 
 
-def test_two_folders_with_template(spark, tmpdir_path):
-    d1, d2 = os.path.join(tmpdir_path, "m1"), os.path.join(tmpdir_path, "m2")
-    _write(d1, "V001_test1.sql", "SAMPLE CONTENT")
-    _write(d2, "V002_test2.sql", "SAMPLE CONTENT WITH TEMPLATE {{ test, 10 }}")
-    _write(d1, "R001_test1_repeatable.sql", "SAMPLE REPEATABLE CONTENT")
-    _write(d2, "B001_test1_before.sql", "SAMPLE BEFORE CONTENT")
-    _write(d1, "BE001_test1_before_each.sql", "SAMPLE BEFORE EACH CONTENT")
-    _write(d2, "test.template.sql", "TEST TEMPLATE $1 CONTENT")
-    _write(os.path.join(d1, "before"), "B009_nested.sql", "NOT A LOCATION")
-    files = read_script_files(spark, {"p": [d1, d2]})
-    c = classify_files(files)
-    m = {r.version: r for r in load_scripts(c).collect()}
-    assert sorted(m) == [1, 2]
-    assert m[1].description == "test1" and m[1].content == "SAMPLE CONTENT" and m[1].md5_checksum
-    assert m[2].content == "SAMPLE CONTENT WITH TEMPLATE TEST TEMPLATE 10 CONTENT"
-    h = {r.hook_type: r.content for r in load_hooks(c).collect()}
-    assert h == {"REPEATABLE": "SAMPLE REPEATABLE CONTENT", "BEFORE": "SAMPLE BEFORE CONTENT",
-                 "BEFORE_EACH": "SAMPLE BEFORE EACH CONTENT"}
+def test_scripts_and_hooks_of_several_folders(spark, tmpdir_path):
+    billing, shop = os.path.join(tmpdir_path, "billing"), os.path.join(tmpdir_path, "shop")
+    _write(billing, "V003_invoices.sql", "CREATE TABLE invoices (id INT, {{audit, billing_user}})")
+    _write(billing, "audit.template.sql", "changed_by STRING DEFAULT '$1'")
+    _write(billing, "A012_grants.sql", "GRANT SELECT ON invoices TO reader")
+    _write(shop, "V001_customers.sql", "CREATE TABLE customers (id INT)")
+    _write(shop, "AE004_stats.sql", "ANALYZE TABLE customers -- {{audit, shop_user}}")
+    _write(os.path.join(shop, "archive"), "V009_old.sql", "SELECT 9")      # a sub-folder isn't the location
+    c = classify_files(read_script_files(spark, {"store": [shop, billing]}))
+    m = {r.version: (r.description, r.content) for r in load_scripts(c).collect()}
+    assert m == {1: ("customers", "CREATE TABLE customers (id INT)"),
+                 3: ("invoices", "CREATE TABLE invoices (id INT, changed_by STRING DEFAULT 'billing_user')")}
+    assert all(r.md5_checksum for r in load_scripts(c).collect())
+    h = {(r.hook_type, r.hook_order): r.content for r in load_hooks(c).collect()}
+    assert h == {("AFTER", 12): "GRANT SELECT ON invoices TO reader",
+                 ("AFTER_EACH", 4): "ANALYZE TABLE customers -- changed_by STRING DEFAULT 'shop_user'"}
 
 
 def test_missing_folder_is_an_error(spark, tmpdir_path):
@@ -51,14 +49,13 @@ def _tpl(spark, content, templates):
 
 
 def test_templates_without_values(spark):
-    got = _tpl(spark, "EXAMPLE {{test1}} {{test2}} {{test1}}",
-               [("test1", "test_template_1"), ("test2", "test_template_2")])
-    assert got == "EXAMPLE test_template_1 test_template_2 test_template_1"
+    got = _tpl(spark, "({{key}}, {{stamp}}, other {{key}})", [("key", "id LONG"), ("stamp", "at TIMESTAMP")])
+    assert got == "(id LONG, at TIMESTAMP, other id LONG)"
 
 
 def test_templates_with_values(spark):
-    got = _tpl(spark, 'EXAMPLE {{test1, 1, true, "abc"}}', [("test1", "test_template_1 $1, $2, $3")])
-    assert got == 'EXAMPLE test_template_1 1, true, "abc"'
+    got = _tpl(spark, "PARTITIONED BY {{cut, day, 7, 'x y'}};", [("cut", "RANGE($1 / $2 -- $3)")])
+    assert got == "PARTITIONED BY RANGE(day / 7 -- 'x y');"
 
 
 def test_templates_per_use_and_ordered_substitution(spark):

@@ -37,13 +37,13 @@ def _as_history(df: DataFrame) -> DataFrame:
 def last_outcomes(log: DataFrame) -> DataFrame:
     """Last attempt per (target_id, version), ordered by (executed_at, event_id).
 
-    Failed DOWN attempts are dropped first: they leave the stored row as it is.
+    Hook rows (any direction but UP and DOWN) write no history.  Failed DOWN attempts are dropped first: they leave the stored row as it is.
     So are versions above the stored column's range (SMALLINT, 32767): their
     history row cannot be written.  ``cleared`` tells whether a successful
     DOWN happened for the key, which deletes the row and with it any
     ``repaired_at`` value.
     """
-    kept = log.where(~((F.col("direction") == "DOWN") & ~F.col("success"))
+    kept = log.where(((F.col("direction") == "UP") | ((F.col("direction") == "DOWN") & F.col("success")))
                      & (F.col("version") <= schemas.MAX_STORED_VERSION))
     return kept.groupBy(*KEY).agg(
         F.max_by(

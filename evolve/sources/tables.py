@@ -110,9 +110,11 @@ def publish_table(spark: SparkSession, df: DataFrame, table: str) -> None:
 
 def publisher(spark: SparkSession, table: str):
     """``publish`` callback for :func:`evolve.plans.migrate.migrate_table`: write
-    the table after every version (the non-transactional mode)."""
-    def publish(df: DataFrame, version: int) -> None:
+    the table after every version (the non-transactional mode) and go on from
+    the written files."""
+    def publish(df: DataFrame, version: int) -> DataFrame:
         publish_table(spark, df, table)
+        return spark.read.parquet(_table_info(spark, table)["Location"])
     return publish
 
 

@@ -64,12 +64,12 @@ def test_table_migration_rules(spark):
              Hook("REPEATABLE_DOWN", 1, add("r"), name="r")]
     df = spark.range(2)
     assert migrate_table(spark, df, changes, 1, 1, hooks=hooks).table.columns == ["id"]        # nothing to do
-    assert [k for k, *_ in steps_down(changes, hooks, 2, 0)] == ["DOWN", "REPEATABLE_DOWN"]    # 1 has no DOWN
+    assert [s.kind for s in steps_down(changes, hooks, 2, 0)] == ["DOWN", "REPEATABLE_DOWN"]    # 1 has no DOWN
     seen = []
     migrate_table(spark, df, changes[:1], 0, 1, hooks=hooks, publish=lambda t, v: seen.append((v, t.columns)))
     assert seen == [(1, ["id", "x", "a", "ae"])]                                              # after its hooks
     out = migrate_table(spark, df, changes, 0, 2)
-    rows = log_as_history_events(out, 1, NOW, spark, changes).collect()
+    rows = log_as_history_events(out, 1, NOW, spark).collect()
     assert all(r.md5_checksum for r in rows) and len(rows) == 2
 
 

@@ -129,6 +129,18 @@ def far_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).withColumn("version", (F.col("version") + moved).cast("int"))
 
 
+@memo
+def hook_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with an AFTER_EACH hook's attempt after each step (twice the
+    event ids, so that a hook follows its step); some hooks failed."""
+    steps = log(spark, sf_dir)
+    hooks = steps.select(
+        (F.col("event_id") * 2 + 1).alias("event_id"), "target_id", "version",
+        F.lit("AFTER_EACH").alias("direction"), F.lit("ae1").alias("description"),
+        F.lit(None).cast("string").alias("md5_checksum"), (F.col("event_id") % 11 != 0).alias("success"), "executed_at")
+    return steps.withColumn("event_id", F.col("event_id") * 2).unionByName(hooks)
+
+
 @memo
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_history(log(spark, sf_dir))
@@ -149,10 +161,14 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @memo
 def file_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user as an upward run over the script folder of its source."""
+    """Every user as an upward run over a script folder of its source: the
+    whole one, the one without out-of-range files ('-sound'), or one that
+    holds no script ('-none')."""
+    m = F.floor(F.col("target_id") / 3) % 4
+    kind = F.when(m < 2, "").when(m == 2, "-sound").otherwise("-none")
     return targets(spark, sf_dir).select(
-        "target_id", F.substring_index("project", "/", 1).alias("project"), F.lit(False).alias("down"),
-        F.lit(None).cast("int").alias("destination"))
+        "target_id", F.concat(F.substring_index("project", "/", 1), kind).alias("project"),
+        F.lit(False).alias("down"), F.lit(None).cast("int").alias("destination"))
 
 
 def _of_every_project(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
@@ -205,7 +221,8 @@ def mini_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mini_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per turn: version turn + 1, except that turns whose text length
     is a multiple of 19 hold a version 1000 above the project's last one,
-    which has no script (a gap below it, and a missing script)."""
+    which has no script (a gap below it, and a missing script).  Some rows hold
+    another description or checksum, some failed."""
     c = _conversations(spark, sf_dir, table(spark, sf_dir, "conversations"))
     lost = F.length("text") % 19 == 0
     c = c.withColumn("version", (F.when(lost, F.col("size") + 1000).otherwise(0) + F.col("turn") + 1).cast("int"))
@@ -214,7 +231,8 @@ def mini_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     md5 = F.coalesce("md5_checksum", F.md5(F.concat("text", F.lit("#lost"))))
     return j.select(
         F.col("conv_id").alias("target_id"), "version",
-        F.coalesce("description", F.lit("lost")).alias("description"),
+        F.concat(F.coalesce("description", F.lit("lost")),
+                 F.when(F.length("text") % 31 == 0, "_old").otherwise("")).alias("description"),
         F.when(F.length("text") % 23 == 0, F.md5("text")).otherwise(md5).alias("md5_checksum"),
         (F.length("text") % 29 != 0).alias("success"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("executed_at"),

@@ -140,15 +140,14 @@ def problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> Data
     return f.unionByName(lg).unionByName(hg).unionByName(dr)
 
 
-def _history_summary(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One pass over the history: per target latest version, failing rows and
-    history mismatches (gaps + drift, a row that is both counts twice).
+def _flagged(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets' history rows with what is wrong with each, in one pass:
+    ``_gap`` (a gap lies below it, from ``_expected`` on) and ``_drift``.
 
     The target's project is attached, gaps are flagged by one window per
     target, drift by a join with the distinct local (project, version,
-    description, checksum) tuples, and a single aggregate per target counts
-    everything.  The window, the aggregate and a history stored bucketed by
-    target_id share one partitioning.
+    description, checksum) tuples.  The window and a history stored bucketed
+    by target_id share one partitioning.
     """
     up = _up(scripts)
     with_scripts = up.select("project").distinct().withColumn("_checked", F.lit(True))
@@ -156,16 +155,22 @@ def _history_summary(history: DataFrame, scripts: DataFrame, targets: DataFrame)
     tuples = (up.select("project", "version", "description", "md5_checksum").distinct()
               .withColumn("_local", F.lit(True)))
     w = Window.partitionBy("target_id").orderBy("version")
-    h = (history.select("target_id", "version", "description", "md5_checksum", "success")
-         .withColumn("_gap", F.col("version") != F.coalesce(F.lag("version").over(w) + 1, F.lit(1)))
-         .join(tp, "target_id")
-         .join(tuples, ["project", "version", "description", "md5_checksum"], "left"))
     checked = F.coalesce(F.col("_checked"), F.lit(False))
-    drifted = F.col("success") & F.col("_local").isNull()
-    return h.groupBy("target_id").agg(
+    return (history.select("target_id", "version", "description", "md5_checksum", "success")
+            .withColumn("_expected", F.coalesce(F.lag("version").over(w) + 1, F.lit(1)).cast("int"))
+            .join(tp, "target_id")
+            .join(tuples, ["project", "version", "description", "md5_checksum"], "left")
+            .withColumn("_gap", checked & (F.col("version") != F.col("_expected")))
+            .withColumn("_drift", checked & F.col("success") & F.col("_local").isNull()))
+
+
+def _history_summary(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target latest version, failing rows and history mismatches (gaps +
+    drift, a row that is both counts twice): one aggregate over the flagged rows."""
+    return _flagged(history, scripts, targets).groupBy("target_id").agg(
         F.max(F.when(F.col("success"), F.col("version"))).alias("latest"),
         F.count_if(~F.col("success")).alias("n_failing"),
-        (F.count_if(checked & F.col("_gap")) + F.count_if(checked & drifted)).alias("n_mismatch"))
+        (F.count_if("_gap") + F.count_if("_drift")).alias("n_mismatch"))
 
 
 def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame,
@@ -193,13 +198,48 @@ def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     return t.select("target_id", "project", stage.cast("int").alias("stage"), count.cast("long").alias("problems"))
 
 
-def gate_problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """The problems of each target's first failing stage (what a run reports)."""
-    # a target's problems are bounded by its versions (failing rows, gaps and
-    # drift each at most one per version), so one window per target is safe
-    p = problems(history, scripts, targets)
-    first = F.min("stage").over(Window.partitionBy("target_id"))
-    return p.withColumn("_first", first).where(F.col("stage") == F.col("_first")).drop("_first")
+def gate_problems(history: DataFrame, scripts: DataFrame, targets: DataFrame,
+                  invalid: DataFrame | None = None) -> DataFrame:
+    """The problems of each target's first failing stage (what a run reports);
+    with ``invalid``, a project whose load fails reports its out-of-range files.
+
+    What a target stops at before its history is compared (load, failing rows,
+    local gaps) is known first, one row per target; the flagged history is
+    read once, and its rows are written out only for targets that stop there."""
+    gaps = local_gaps(scripts)
+    has = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    t = (targets.select("target_id", "project")
+         .join(has(failing(history), "target_id", "_failing"), "target_id", "left")
+         .join(has(gaps, "project", "_local_gap"), "project", "left"))
+    load = F.lit(False)
+    if invalid is not None:
+        t = t.join(has(invalid, "project", "_broken"), "project", "left")
+        load = F.col("_broken").isNotNull()
+    stages = t.select("target_id", "project", F.when(load, STAGE_LOAD).when(F.col("_failing"), STAGE_FAILING)
+                      .when(F.col("_local_gap"), STAGE_LOCAL).otherwise(STAGE_HISTORY).alias("stage"))
+    drifted = F.format_string(MSG_DRIFT, "version", "description", "md5_checksum")
+
+    def found(kind, version, message, when):
+        row = F.struct(F.lit(kind).alias("kind"), F.col(version).cast("int").alias("version"), message.alias("message"))
+        return F.when(when, row)
+
+    stage = F.col("stage")
+    listed = F.array_compact(F.array(
+        found("failing", "version", F.format_string(MSG_FAILING, "version"), (stage == STAGE_FAILING) & ~F.col("success")),
+        found("history_gap", "_expected", F.format_string(MSG_HISTORY_GAP, "_expected"),
+              (stage == STAGE_HISTORY) & F.col("_gap")),
+        found("drift", "version", drifted, (stage == STAGE_HISTORY) & F.col("_drift"))))
+    rows = (_flagged(history, scripts, targets).where(~F.col("success") | F.col("_gap") | F.col("_drift"))
+            .drop("project").join(stages.where(stage.isin(STAGE_FAILING, STAGE_HISTORY)), "target_id")
+            .select("target_id", "stage", F.explode(listed).alias("p")).select("target_id", "stage", "p.*"))
+    local = (stages.where(stage == STAGE_LOCAL).join(gaps, "project")
+             .select("target_id", "stage", F.lit("local_gap").alias("kind"), F.col("got").alias("version"), "message"))
+    out = rows.unionByName(local)
+    if invalid is not None:
+        out = out.unionByName(stages.where(stage == STAGE_LOAD).join(invalid.select("project", "message"), "project")
+                              .select("target_id", "stage", F.lit("load").alias("kind"),
+                                      F.lit(None).cast("int").alias("version"), "message"))
+    return out
 
 
 def status(history: DataFrame, scripts: DataFrame, targets: DataFrame,

@@ -59,14 +59,14 @@ def load_scripts(classified: DataFrame, down: bool = False) -> DataFrame:
     """Migrations as a run loads them: selected by direction, templates
     expanded, checksummed; projects with an invalid file load nothing."""
     m = select_scripts(loadable(migrations_of(classified), classified), down)
-    m = expand_templates(m, templates_of(classified), ["path"])
+    m = expand_templates(m, templates_of(classified))
     return with_checksum(m)
 
 
 def load_hooks(classified: DataFrame, down: bool = False, **flags) -> DataFrame:
     """Hooks as a run loads them: selected by the flags, templates expanded."""
     h = select_hooks(loadable(hooks_of(classified), classified), down, **flags)
-    return expand_templates(h, templates_of(classified), ["path"])
+    return expand_templates(h, templates_of(classified))
 
 
 def select_scripts(scripts: DataFrame, down: bool = False) -> DataFrame:

@@ -75,7 +75,8 @@ mini_targets AS (
   SELECT conv_id AS target_id, CASE WHEN conv_id % 4 = 0 THEN project || '-gappy' ELSE project END AS project
   FROM convs),
 mini_history AS (
-  SELECT c.conv_id AS target_id, c.version, coalesce(d.description, 'lost') AS description,
+  SELECT c.conv_id AS target_id, c.version, coalesce(d.description, 'lost')
+           || CASE WHEN length(c.text) % 31 = 0 THEN '_old' ELSE '' END AS description,
          CASE WHEN length(c.text) % 23 = 0 THEN md5(c.text)
               ELSE coalesce(d.md5_checksum, md5(concat(c.text, '#lost'))) END AS md5_checksum,
          length(c.text) % 29 <> 0 AS success
@@ -190,11 +191,12 @@ SELECT target_id, CAST(expected AS INTEGER) AS gap_from, CAST(version - 1 AS INT
 SQL["drift"] = _MAIN_CHECKS + """
 SELECT target_id, version, description, md5_checksum FROM drift"""
 
-SQL["drift_detail"] = _MAIN_CHECKS + """
+def _reasons(checks: str, s: str) -> str:
+    return checks + f"""
 SELECT d.target_id, d.version, d.description, d.md5_checksum,
-       CASE WHEN NOT EXISTS (SELECT 1 FROM scripts s WHERE s.project = d.project AND s.version = d.version)
+       CASE WHEN NOT EXISTS (SELECT 1 FROM {s} s WHERE s.project = d.project AND s.version = d.version)
               THEN 'missing'
-            WHEN NOT EXISTS (SELECT 1 FROM scripts s WHERE s.project = d.project AND s.version = d.version
+            WHEN NOT EXISTS (SELECT 1 FROM {s} s WHERE s.project = d.project AND s.version = d.version
                              AND s.description = d.description) THEN 'description'
             ELSE 'checksum' END AS reason,
        printf('invalid migration found: version: %d, description: %s, md5_checksum: %s.'
@@ -202,6 +204,9 @@ SELECT d.target_id, d.version, d.description, d.md5_checksum,
          AS message
 FROM drift d"""
 
+
+SQL["drift_detail"] = _reasons(_MAIN_CHECKS, "scripts")
+
 SQL["status"] = _MAIN_CHECKS + """
 SELECT t.target_id,
        CAST(COALESCE((SELECT max(version) FROM history h WHERE h.target_id = t.target_id AND h.success), 0)
@@ -214,6 +219,8 @@ FROM targets t"""
 
 _MINI_CHECKS = _with(_MINI)[:-1] + _check_ctes("mini_history", "mini_scripts", "mini_targets")
 
+SQL["drift_reasons"] = _reasons(_MINI_CHECKS, "mini_scripts")
+
 SQL["gate"] = _MINI_CHECKS + """
 , firsts AS (SELECT target_id, min(stage) AS stage FROM problems GROUP BY target_id)
 SELECT t.target_id, t.project, CAST(COALESCE(f.stage, 0) AS INTEGER) AS stage,
@@ -488,44 +495,91 @@ SELECT b.* FROM base b
 WHERE NOT EXISTS (SELECT 1 FROM second_half d WHERE d.direction = 'DOWN' AND d.success
                   AND d.target_id = b.target_id AND d.version = b.version)"""
 
-SQL["fold_incremental"] = _with(*MAIN) + "SELECT * FROM history"
+# the second batch over a stored history ``base``: last attempts of the batch, else the stored row
+_SECOND_OVER = """,
+batch AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, version
+                                              ORDER BY executed_at DESC, event_id DESC) AS rn,
+                        bool_or(direction = 'DOWN') OVER (PARTITION BY target_id, version) AS cleared
+                 FROM second_half WHERE NOT (direction = 'DOWN' AND NOT success) AND version <= 32767) x
+  WHERE rn = 1)
+SELECT b.* FROM {base} b
+WHERE NOT EXISTS (SELECT 1 FROM batch n WHERE n.target_id = b.target_id AND n.version = b.version)
+UNION ALL
+SELECT n.target_id, n.version, n.description, n.md5_checksum, n.success, n.executed_at,
+       CASE WHEN NOT n.cleared THEN b.repaired_at END AS repaired_at
+FROM batch n LEFT JOIN {base} b ON b.target_id = n.target_id AND b.version = n.version
+WHERE n.direction = 'UP'"""
 
+SQL["fold_incremental"] = _with(*MAIN)[:-1] + _HALVES + _SECOND_OVER.format(base="base")
 
-def _repair(reset: bool) -> str:
+
+def _repaired(h: str, at: str, reset: bool) -> str:
+    """CTEs ``wanted`` and ``repaired``: history ``h`` after a repair at ``at``."""
     existing = "true" if reset else "h.success"
-    return _with(*MAIN)[:-1] + f""",
+    return f""",
 wanted AS (SELECT t.target_id, s.version, s.description, s.md5_checksum
-           FROM targets t JOIN scripts s ON s.project = t.project WHERE s.version <= 32767)
+           FROM targets t JOIN scripts s ON s.project = t.project WHERE s.version <= 32767),
+repaired AS (
 SELECT COALESCE(h.target_id, w.target_id) AS target_id, COALESCE(h.version, w.version) AS version,
   COALESCE(w.description, h.description) AS description,
   COALESCE(w.md5_checksum, h.md5_checksum) AS md5_checksum,
   CASE WHEN w.version IS NULL THEN h.success WHEN h.version IS NULL THEN true ELSE {existing} END AS success,
-  COALESCE(h.executed_at, TIMESTAMP '2024-02-01 00:00:00') AS executed_at,
+  COALESCE(h.executed_at, TIMESTAMP '{at}') AS executed_at,
   CASE WHEN w.version IS NULL THEN h.repaired_at
-       WHEN h.version IS NULL THEN TIMESTAMP '2024-02-01 00:00:00'
-       WHEN w.description <> h.description OR w.md5_checksum <> h.md5_checksum
-         THEN TIMESTAMP '2024-02-01 00:00:00'
+       WHEN h.version IS NULL THEN TIMESTAMP '{at}'
+       WHEN w.description <> h.description OR w.md5_checksum <> h.md5_checksum THEN TIMESTAMP '{at}'
        ELSE h.repaired_at END AS repaired_at
-FROM history h FULL OUTER JOIN wanted w ON w.target_id = h.target_id AND w.version = h.version"""
+FROM {h} h FULL OUTER JOIN wanted w ON w.target_id = h.target_id AND w.version = h.version)"""
+
+
+SQL["fold_after_repair"] = (_with(*MAIN)[:-1] + _HALVES + _repaired("base", "2024-01-16 00:00:00", True)
+                            + _SECOND_OVER.format(base="repaired"))
+
+
+def _repair(reset: bool) -> str:
+    return _with(*MAIN)[:-1] + _repaired("history", "2024-02-01 00:00:00", reset) + "\nSELECT * FROM repaired"
 
 
 SQL["repair_reset"] = _repair(True)
 SQL["repair_keep"] = _repair(False)
 
-SQL["effective_failfast"] = _with(*MAIN) + """
+_HOOK_LOG = """,
+hook_log AS (
+  SELECT event_id * 2 AS event_id, target_id, version, direction, description, md5_checksum, success, executed_at
+  FROM log
+  UNION ALL
+  SELECT event_id * 2 + 1, target_id, version, 'AFTER_EACH', 'ae1', NULL, event_id % 11 <> 0, executed_at FROM log)"""
+
+
+def _failfast(log: str) -> str:
+    return f"""
 SELECT event_id, target_id, version, direction, success, executed_at FROM (
   SELECT *, COALESCE(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (
               PARTITION BY target_id, CAST(executed_at AS DATE) ORDER BY executed_at, event_id
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fails_before
-  FROM log) x
+  FROM {log}) x
 WHERE fails_before = 0"""
 
-SQL["effective_atomic"] = _with(*MAIN) + """
-SELECT event_id, target_id, version, direction, success, executed_at FROM (
+
+def _atomic(log: str) -> str:
+    return f"""
+  SELECT * EXCLUDE (fails) FROM (
   SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (
               PARTITION BY target_id, CAST(executed_at AS DATE)) AS fails
-  FROM log) x
-WHERE fails = 0"""
+  FROM {log}) x
+  WHERE fails = 0"""
+
+
+SQL["effective_failfast"] = _with(*MAIN) + _failfast("log")
+SQL["effective_atomic"] = (_with(*MAIN)[:-1] + ", kept AS (" + _atomic("log") + """)
+SELECT event_id, target_id, version, direction, success, executed_at FROM kept""")
+SQL["effective_hooks"] = _with(*MAIN)[:-1] + _HOOK_LOG + _failfast("hook_log")
+SQL["fold_hooks"] = _with(*MAIN)[:-1] + _HOOK_LOG + ", kept AS (" + _atomic("hook_log") + """)
+SELECT target_id, version, description, md5_checksum, success, executed_at, CAST(NULL AS TIMESTAMP) AS repaired_at
+FROM (SELECT *, row_number() OVER (PARTITION BY target_id, version ORDER BY executed_at DESC, event_id DESC) AS rn
+      FROM kept WHERE direction = 'UP' OR (direction = 'DOWN' AND success)) x
+WHERE rn = 1 AND direction = 'UP'"""
 
 # --- table changes -----------------------------------------------------------------
 
@@ -564,12 +618,45 @@ LEFT JOIN mx m ON m.project = t.project LEFT JOIN firsts f ON f.target_id = t.ta
 
 # --- script folders, with the projects whose load fails ------------------------------
 
-_FOLDERS = _with(*MAIN)[:-1] + "," + _CLASSIFIED + """,
-invalid AS (SELECT project, count(*) AS n FROM classified WHERE NOT valid GROUP BY project),
+# Every folder whole and, as '-sound', without its out-of-range files; every file ends with a template use.
+
+_LOADED = _CLASSIFIED + """,
+folders AS (
+  SELECT project, path, kind, category, version, hook_order, description, valid, number_text, version_text,
+         content || raw AS content, raw, lang, source FROM (
+    SELECT c.*, f.lang, ' {{' || f.lang || ', ' || c.project || '}}' AS raw, c.project AS source
+    FROM classified c JOIN files f ON f.path = c.path) x
+  UNION ALL
+  SELECT c.project || '-sound', c.path, kind, category, version, hook_order, description, valid, number_text,
+         version_text, c.content || ' {{' || f.lang || ', ' || c.project || '}}',
+         ' {{' || f.lang || ', ' || c.project || '}}', f.lang, c.project
+  FROM classified c JOIN files f ON f.path = c.path WHERE valid),
+bodies AS (
+  SELECT project, description AS name, arg_min(content, path) AS body FROM folders
+  WHERE kind = 'TEMPLATE' GROUP BY project, description),
+invalid AS (SELECT project, count(*) AS n FROM folders WHERE NOT valid GROUP BY project),
+loaded AS (
+  SELECT f.* REPLACE (CASE WHEN b.body IS NULL THEN f.content
+                           ELSE replace(f.content, trim(f.raw), replace(b.body, '$1', f.source)) END AS content)
+  FROM folders f LEFT JOIN bodies b ON b.project = f.project AND b.name = f.lang
+  WHERE f.valid AND f.project NOT IN (SELECT project FROM invalid))"""
+
+SQL["load_scripts"] = "WITH " + _LOADED + """
+SELECT project, kind AS direction, version, path, CAST(length(content) AS INTEGER) AS n_chars,
+       CASE WHEN kind = 'UP' THEN md5(content) END AS md5_checksum
+FROM loaded WHERE category = 'migration'"""
+
+SQL["load_hooks"] = "WITH " + _LOADED + """
+SELECT project, kind AS hook_type, hook_order, version AS hook_version, path, CAST(length(content) AS INTEGER) AS n_chars
+FROM loaded WHERE category = 'hook' AND kind NOT IN ('REPEATABLE_DOWN', 'AFTER_EACH')"""
+
+_FOLDERS = _with(*MAIN)[:-1] + "," + _LOADED + """,
 fscripts AS (
-  SELECT project, version, description, md5(content) AS md5_checksum FROM migs
-  WHERE direction = 'UP' AND project NOT IN (SELECT project FROM invalid)),
-ftargets AS (SELECT target_id, split_part(project, '/', 1) AS project FROM targets),
+  SELECT project, version, description, md5(content) AS md5_checksum FROM loaded WHERE kind = 'UP'),
+ftargets AS (
+  SELECT target_id, split_part(project, '/', 1)
+                    || CASE target_id // 3 % 4 WHEN 2 THEN '-sound' WHEN 3 THEN '-none' ELSE '' END AS project
+  FROM targets),
 flat AS (
   SELECT t.target_id, t.project, CAST(COALESCE(max(h.version) FILTER (WHERE h.success), 0) AS INTEGER) AS latest_version
   FROM ftargets t LEFT JOIN history h ON h.target_id = t.target_id GROUP BY t.target_id, t.project),
@@ -599,3 +686,16 @@ SELECT l.target_id, l.latest_version,
   (SELECT count(*) FROM history h WHERE h.target_id = l.target_id AND NOT h.success) AS failing,
   EXISTS (SELECT 1 FROM invalid i WHERE i.project = l.project) AS load_failed
 FROM flat l"""
+
+SQL["gate_problems_loaded"] = _FOLDER_CHECKS + """,
+every AS (
+  SELECT target_id, stage, kind, version, message FROM fproblems
+  WHERE target_id NOT IN (SELECT t.target_id FROM ftargets t JOIN invalid i ON i.project = t.project)
+  UNION ALL
+  SELECT t.target_id, -1, 'load', NULL,
+         printf('strconv.ParseUint: parsing "%s": value out of range',
+                CASE WHEN f.category = 'hook' AND TRY_CAST(f.number_text AS BIGINT) <= 255 THEN f.version_text
+                     ELSE f.number_text END)
+  FROM ftargets t JOIN folders f ON f.project = t.project WHERE NOT f.valid)
+SELECT e.target_id, CAST(e.stage AS INTEGER) AS stage, e.kind, CAST(e.version AS INTEGER) AS version, e.message
+FROM every e WHERE e.stage = (SELECT min(o.stage) FROM every o WHERE o.target_id = e.target_id)"""

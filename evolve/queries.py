@@ -22,6 +22,7 @@ from evolve.operators import scripts as scr
 from evolve.plans import planning as pl
 from evolve.plans.effects import effective_steps
 from evolve.plans.migrate import migrate_table
+from evolve.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +78,11 @@ def q_drift_detail(spark, sf):
     return checks.drift_detail(*_main(spark, sf))
 
 
+@register("drift_reasons")
+def q_drift_reasons(spark, sf):
+    return checks.drift_detail(*_mini(spark, sf))
+
+
 @register("status")
 def q_status(spark, sf):
     return checks.status(*_main(spark, sf))
@@ -150,7 +156,7 @@ def q_next_version(spark, sf):
 @register("expand_templates")
 def q_expand_templates(spark, sf):
     scripts, templates = fx.template_uses(spark, sf)
-    return expand_templates(scripts, templates, ["doc_id"]).select("project", "doc_id", "content")
+    return expand_templates(scripts, templates).select("project", "doc_id", "content")
 
 
 @register("checksum")
@@ -160,15 +166,43 @@ def q_checksum(spark, sf):
     used = up.select("project", "path", "version",
                      F.concat("content", F.lit(" {{"), "lang", F.lit(", "), "project", F.lit("}}"))
                      .alias("content"))
-    expanded = expand_templates(used, scr.templates_of(c), ["path"])
+    expanded = expand_templates(used, scr.templates_of(c))
     return expanded.select("project", "path", "version", F.md5("content").alias("md5_checksum"))
 
 
+def _folder_files(spark, sf):
+    """Every script folder twice: whole, and as '<project>-sound' without its
+    out-of-range files.  Every file ends with a template use."""
+    use = F.concat(F.lit(" {{"), "lang", F.lit(", "), "project", F.lit("}}"))
+    c = _classified(spark, sf).withColumn("content", F.concat("content", use))
+    return c.unionByName(c.where("valid").withColumn("project", F.concat("project", F.lit("-sound"))))
+
+
 def _folders(spark, sf):
-    """History, loaded scripts, targets and out-of-range files of the script folders."""
-    c = _classified(spark, sf)
-    loaded = scr.with_checksum(scr.select_scripts(scr.loadable(scr.migrations_of(c), c), down=False))
-    return fx.history(spark, sf), loaded, fx.file_targets(spark, sf), cls.invalid_files(c)
+    """History, loaded scripts, targets and out-of-range files of the script
+    folders.  The checks use the scripts several times, so the load (keys and
+    checksums, no text) is written once into the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    c = _folder_files(spark, sf)
+    loaded = scr.load_scripts(c).drop("content").checkpoint()
+    return fx.history(spark, sf), loaded, fx.file_targets(spark, sf), cls.invalid_files(c).checkpoint()
+
+
+@register("load_scripts")
+def q_load_scripts(spark, sf):
+    return scr.load_scripts(_folder_files(spark, sf), down=True).select(
+        "project", "direction", "version", "path", F.length("content").alias("n_chars"), "md5_checksum")
+
+
+@register("load_hooks")
+def q_load_hooks(spark, sf):
+    return scr.load_hooks(_folder_files(spark, sf), use_after_each=False).select(
+        "project", "hook_type", "hook_order", "hook_version", "path", F.length("content").alias("n_chars"))
+
+
+@register("gate_problems_loaded")
+def q_gate_problems_loaded(spark, sf):
+    return checks.gate_problems(*_folders(spark, sf))
 
 
 @register("run_action_loaded")
@@ -263,6 +297,13 @@ def q_fold_incremental(spark, sf):
     return hist.fold_history(second, hist.fold_history(first))
 
 
+@register("fold_after_repair")
+def q_fold_after_repair(spark, sf):
+    first, second = _halves(spark, sf)
+    repaired = hist.repair(hist.fold_history(first), fx.scripts(spark, sf), fx.targets(spark, sf), SPLIT)
+    return hist.fold_history(second, repaired)
+
+
 @register("repair_reset")
 def q_repair_reset(spark, sf):
     return hist.repair(fx.history(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf), REPAIR_AT, True)
@@ -283,6 +324,16 @@ def q_effective_atomic(spark, sf):
     return effective_steps(fx.log(spark, sf), in_transaction=True).select(*LOG_COLS)
 
 
+@register("effective_hooks")
+def q_effective_hooks(spark, sf):
+    return effective_steps(fx.hook_log(spark, sf)).select(*LOG_COLS)
+
+
+@register("fold_hooks")
+def q_fold_hooks(spark, sf):
+    return hist.fold_history(effective_steps(fx.hook_log(spark, sf), in_transaction=True))
+
+
 @register("migrate_orders_up")
 def q_migrate_orders_up(spark, sf):
     return migrate_table(spark, fx.table(spark, sf, "orders"), fx.orders_changes(), 0, 3).table

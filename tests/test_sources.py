@@ -45,7 +45,7 @@ def test_missing_folder_is_an_error(spark, tmpdir_path):
 def _tpl(spark, content, templates):
     s = spark.createDataFrame([("p", 1, content)], "project string, id int, content string")
     t = spark.createDataFrame([("p", n, b) for n, b in templates], "project string, name string, body string")
-    return expand_templates(s, t, ["id"]).first().content
+    return expand_templates(s, t).first().content
 
 
 def test_templates_without_values(spark):

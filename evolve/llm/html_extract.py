@@ -42,6 +42,7 @@ from evolve.functions.ranking import rank_by_sort
 from evolve.llm.common import cut, ship, slices
 
 COPY = 0.8
+AT_ONCE = 64  # pages whose line hashes are Python objects at a time
 
 # Element names of HTML and the names that pages give to parts.
 RAW = "script style noscript template textarea iframe svg math object title xmp noembed noframes"
@@ -306,7 +307,7 @@ def differenced_pages(keys: DataFrame) -> DataFrame:
         *sides, none.alias("before"), none.alias("after")))
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             rows = b.to_pylist()
             texts = [" ".join(own_lines(r["plain"], r["path"], [(n["path"], n["hashes"])
                                                                 for n in (r["before"], r["after"]) if n]))

@@ -21,7 +21,7 @@ LOG = T.StructType([
     T.StructField("event_id", T.LongType(), False),
     T.StructField("target_id", T.LongType(), False),
     T.StructField("version", T.IntegerType(), False),
-    T.StructField("direction", T.StringType(), False),   # UP | DOWN
+    T.StructField("direction", T.StringType(), False),   # UP | DOWN, or a hook type
     T.StructField("description", T.StringType(), True),
     T.StructField("md5_checksum", T.StringType(), True),
     T.StructField("success", T.BooleanType(), False),

@@ -3,23 +3,24 @@
 A page's text is cut into lines at block elements.  Lines inside elements
 that say they aren't the article (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts: by tag, role, class or id) are dropped.
-Where the page marks its article (``article``, else ``main``), the other
-lines of that element are the main text, whole.
+Where the page marks its article, the other lines of that element are the
+main text, whole; without one, those of ``main``, else of the page, are open.
 
-A page without such a mark is told from its template by its neighbour: pages
+Every page with a host is also told from its template by its neighbour: pages
 are ordered by URL path within each host, each is paired with the neighbour
 whose path shares the longest beginning, the two pages' lines are aligned by
-longest common subsequence, and the lines that they share are deleted.  A
-neighbour that shares more than ``COPY`` of the page's characters is a copy,
-not a sibling, and says nothing about the template: the other neighbour is
-asked, then the page stays whole.  (Inside a marked article shared lines
-stay: a passage that two articles quote is text, not template.)
+longest common subsequence, and the lines that they share are deleted, as far
+as the markup leaves them open.  (Inside a marked article shared lines stay:
+a passage that two articles quote is text, not template.)  A neighbour that
+shares more than ``COPY`` of the page's lines is a copy, not a sibling, and
+says nothing about the template: the other neighbour is asked, then the page
+stays whole.
 
 The order within a host comes from ranking the keys of all pages by a range
 sort (``rank_by_sort``): no host is one task, and neighbours meet by an
-equi-join on (host, position).  What is ranked are keys and 4-byte line
-hashes; only pages without a mark carry their lines along.  The html itself
-is never shuffled.
+exchange on (host, position).  What is ranked are keys and 4-byte line
+hashes; the lines are shuffled once, to meet the indexes of the shared ones.
+The html itself is never shuffled.
 
 Defined results: null or empty html gives an empty text; a null or unusual
 url has no host and no neighbour; repeated rows are one page among neighbours
@@ -29,6 +30,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -42,6 +44,7 @@ from evolve.functions.ranking import rank_by_sort
 from evolve.llm.common import cut, ship, slices
 
 COPY = 0.8
+REACH = 1     # neighbours on each side
 AT_ONCE = 64  # pages whose line hashes are Python objects at a time
 
 # Element names of HTML and the names that pages give to parts.
@@ -88,28 +91,32 @@ def _says_not_text(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[str], list[str]]:
-    """(article lines, main lines, all other lines that may be text)."""
-    article: list[str] = []
-    main: list[str] = []
-    plain: list[str] = []
-    stack: list[tuple[str, bool, str]] = []   # tag, not text, zone
+KEPT, OPEN, OUT = 0, 1, 2   # marks of lines: text; text unless template; not in the chosen element
+
+
+def _placed_lines(page: str) -> list[tuple[str, bool, int, bool]]:
+    """(text, inside main, number of the outermost article or 0, in doubt) of
+    every line that may be text, in order."""
+    out: list[tuple[str, bool, int, bool]] = []
+    stack: list[tuple[str, tuple[bool, bool, int, bool]]] = []   # tag; not text, main, article, in doubt
     buffer: list[str] = []
+    articles = 0
+    top = (False, False, 0, False)
 
     def flush():
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
-            if text and not (stack and stack[-1][1]):
-                zone = stack[-1][2] if stack else ""
-                (article if zone == "article" else main if zone == "main" else plain).append(text)
+            skip, *place = stack[-1][1] if stack else top
+            if text and not skip:
+                out.append((text, *place))
 
     def close(names, barrier):
         """Pop an open element of these names, if no barrier stands above it."""
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                under = stack[i - 1][1:] if i else (False, "")
-                if any(t in BLOCKS for t, _, _ in stack[i:]) or stack[-1][1:] != under:
+                under = stack[i - 1][1] if i else top
+                if any(t in BLOCKS for t, _ in stack[i:]) or stack[-1][1] != under:
                     flush()
                 del stack[i:]
                 return
@@ -141,27 +148,34 @@ def lines(page: str) -> tuple[list[str], list[str], list[str]]:
                 close(("dd", "dt"), ("dl",))
             elif tag in ("td", "th", "tr"):
                 close((tag,), ("table",))
-        skip, zone = (stack[-1][1], stack[-1][2]) if stack else (False, "")
-        skips = skip or _says_not_text(tag, m.group(4), zone == "article")
-        if skips != skip:
+        state = skip, main, article, doubt = stack[-1][1] if stack else top
+        skip = skip or _says_not_text(tag, m.group(4), article > 0)
+        if not article and (tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", m.group(4))):
+            main = True
+        if tag == "article" and not article and not skip:
+            articles += 1
+            article = articles
+        if (skip, main, article, doubt) != state:
             flush()
-        if tag == "article" or (tag == "main" and zone != "article") or (
-                zone == "" and re.search(r"""role\s*=\s*["']?main\b""", m.group(4))):
-            flush()
-            zone = "article" if tag == "article" else "main"
         if not m.group(4).rstrip().endswith("/") or tag in BLOCKS:
-            stack.append((tag, skips, zone))
+            stack.append((tag, (skip, main, article, doubt)))
     if at < len(page):
         buffer.append(page[at:])
     flush()
-    return article, main, plain
+    return out
 
 
-def marked_text(page: str) -> str | None:
-    """The main text of a page that marks its article, else None."""
-    article, main, _ = lines(page)
-    found = article or main
-    return " ".join(found) if found else None
+def lines(page: str) -> tuple[list[str], bytes]:
+    """The lines that may be text, and the mark of each: the lines of marked
+    articles are kept, else those of the main element are open, else all."""
+    placed = _placed_lines(page)
+    if any(article for _, _, article, _ in placed):
+        marks = [KEPT if article else OUT for _, _, article, _ in placed]
+    elif any(main for _, main, _, _ in placed):
+        marks = [OPEN if main else OUT for _, main, _, _ in placed]
+    else:
+        marks = [OPEN] * len(placed)
+    return [text for text, *_ in placed], bytes(marks)
 
 
 def host_and_path(url: str | None) -> tuple[str | None, str]:
@@ -234,95 +248,91 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def own_lines(page: list[str], path: str, neighbours: list[tuple[str, list[int]]]) -> list[str]:
-    """The lines that the nearest neighbour doesn't share."""
-    hashes = [_hash(x) for x in page]
-    size = sum(map(len, page))
+def template_lines(hashes: list[int], path: str, neighbours: list[tuple[str, list[int]]]) -> list[int]:
+    """Indexes of the lines that the nearest neighbour shares."""
     for _, other in sorted(neighbours, key=lambda n: -_common(path, n[0])):
-        gone = set(shared(hashes, other))
-        if other and size and sum(len(page[i]) for i in gone) <= COPY * size:
-            return [x for i, x in enumerate(page) if i not in gone]
-    return page
+        gone = shared(hashes, other)
+        if len(gone) <= COPY * len(hashes):
+            return gone
+    return []
 
 
-_KEYS = "page_id long, url string, host string, path string, digest long, hashes array<int>, plain array<string>"
+_KEYS = "host string, path string, fold binary, hashes binary"
+_TEXTS = "page_id long, url string, host string, fold binary, body string, marks binary"
 
 
-def page_keys(pages: DataFrame) -> DataFrame:
-    """Host, path and line hashes of every page; the lines of pages without a mark."""
+def _page_lines(pages: DataFrame, texts: bool) -> DataFrame:
+    """Every page's host and fold (the digest of its lines' hashes), with its
+    lines and their marks; else, of the pages with a host and lines, the path
+    and the hashes."""
     ship(pages.sparkSession)
 
     def run(batches):
         for b in slices(batches, 2):
             out = []
             for page_id, url, page in zip(*(c.to_pylist() for c in b.columns)):
-                article, main, plain = lines(page or "")
+                found, marks = lines(page or "")
                 host, path = host_and_path(url)
-                text = [*article, *main, *plain]
-                out.append((page_id, None if article or main else url, host, path, zlib.crc32((page or "").encode()),
-                            [_hash(x) for x in text], None if article or main else plain))
-            columns = list(zip(*out)) or [()] * 7
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()),
-                     pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             ["page_id", "url", "host", "path", "digest", "hashes", "plain"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, _KEYS)
+                hashes = np.array([_hash(x) for x in found], "<i4").tobytes()
+                fold = hashlib.blake2b(hashes, digest_size=16).digest()
+                if texts:
+                    out.append((page_id, url, host, fold, "\n".join(found), marks))
+                elif host is not None and found:
+                    out.append((host, path, fold, hashes))
+            names = [f.split() for f in (_TEXTS if texts else _KEYS).split(", ")]
+            kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names)],
+                                             [n for n, _ in names])
 
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
+        run, _TEXTS if texts else _KEYS)
 
-def marked_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of the pages that mark their article."""
-    ship(pages.sparkSession)
-
-    def run(batches):
-        for b in slices(batches, 2):
-            texts = [marked_text(p or "") for p in b.column(2).to_pylist()]
-            b = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
-                                           ["page_id", "url", "text"])
-            yield b.filter(b.column(2).is_valid())
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
-        run, "page_id long, url string, text string")
-
-
-def differenced_pages(keys: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of the pages without a mark.  Only hosts that
-    have such a page are ranked; on the others no pair would be read."""
-    key = ["host", "path", "page_id", "url", "digest"]
-    keys = cut(keys.groupBy(*key).agg(  # repeated rows are one page, and no neighbours
-        F.first("hashes").alias("hashes"), F.first("plain").alias("plain"), F.count(F.lit(1)).alias("copies")))
-    bare = F.col("plain").isNotNull()
-    hosts = keys.where(bare).select("host").distinct()
-    asking = keys.join(hosts, "host", "left_semi")
-    ranked = rank_by_sort(asking, ["host"], ["path", "page_id", "digest", "url"], "pos")
-
-    def beside(step: int, name: str) -> DataFrame:
-        return ranked.select("host", (F.col("pos") - step).alias("pos"), F.struct("path", "hashes").alias(name))
-
-    sides = ["page_id", "url", "path", "plain", "copies"]
-    paired = (ranked.where(bare).join(beside(-1, "before"), ["host", "pos"], "left")
-              .join(beside(1, "after"), ["host", "pos"], "left").select(*sides, "before", "after"))
-    none = F.lit(None).cast("struct<path: string, hashes: array<int>>")
-    paired = paired.unionByName(keys.where(bare & F.col("host").isNull()).select(
-        *sides, none.alias("before"), none.alias("after")))
+def templates(keys: DataFrame) -> DataFrame:
+    """``host, fold, gone``: the indexes of the lines that each page's nearest
+    neighbour shares.  Pages of a host with the same lines are one page."""
+    pages = cut(keys.groupBy("host", "fold").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes")))
+    ranked = rank_by_sort(pages, ["host"], ["path", "fold"], "pos")
+    steps = F.explode(F.array(*[F.lit(i) for i in range(-REACH, REACH + 1)])).alias("step")
+    groups = (ranked.select("host", "pos", "fold", "path", "hashes", steps)
+              .groupBy("host", (F.col("pos") - F.col("step")).alias("at"))
+              .agg(F.collect_list(F.struct("step", "fold", "path", "hashes")).alias("near")))
 
     def run(batches):
         for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
-            rows = b.to_pylist()
-            texts = [" ".join(own_lines(r["plain"], r["path"], [(n["path"], n["hashes"])
-                                                                for n in (r["before"], r["after"]) if n]))
-                     for r in rows]
+            out = []
+            for host, near in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                near.sort(key=lambda n: (abs(n["step"]), n["step"]))
+                if near[0]["step"] == 0:
+                    own, *others = [(n["path"], np.frombuffer(n["hashes"], "<i4").tolist()) for n in near]
+                    gone = template_lines(own[1], own[0], others)
+                    out.append((host, near[0]["fold"], np.array(gone, "<i4").tobytes()))
+            columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(4)],
-                ["page_id", "url", "text", "copies"])
+                [pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.binary(), pa.binary()])],
+                ["host", "fold", "gone"])
 
-    return paired.mapInArrow(run, "page_id long, url string, text string, copies long").select(
-        "page_id", "url", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).drop("n")
+    return groups.select("host", "near").mapInArrow(run, "host string, fold binary, gone binary")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` for every page (ranking the keys runs a job)."""
-    return marked_pages(pages).unionByName(differenced_pages(page_keys(pages)))
+    gone = templates(_page_lines(pages, False))
+    joined = _page_lines(pages, True).join(gone, ["host", "fold"], "left").select(
+        "page_id", "url", "body", "marks", "gone")
+
+    def run(batches):
+        for b in slices(batches, 2):
+            texts = []
+            for body, marks, gone in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                template = set(np.frombuffer(gone or b"", "<i4").tolist())
+                texts.append(" ".join(x for i, (x, mark) in enumerate(zip(body.split("\n"), marks))
+                                      if mark == KEPT or mark == OPEN and i not in template))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
+                                             ["page_id", "url", "text"])
+
+    return joined.mapInArrow(run, "page_id long, url string, text string")
 
 
 def html_extraction(pages: DataFrame) -> DataFrame:

@@ -397,3 +397,20 @@ def test_pages(spark):
     assert [(a, b, c) for a, b, c, _ in got] == [(i, by_url[i], want[i]) for i in sorted(r[0] for r in rows)]
     assert all(n == len(t) for _, _, t, n in got)
     assert html_extract.html_extraction(df.limit(0)).collect() == []
+
+
+def extract(spark, *rows):
+    """Texts by page_id of (page_id, url, html)."""
+    df = spark.createDataFrame(list(rows), "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.html_extraction(df).collect()}
+
+
+def test_pages_with_a_mark_are_differenced(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert pages.where("html like '%<article>%'").count() == pages.count()
+    kept = html_extract._page_lines(pages, False).select("host", "fold").distinct().count()
+    assert 0 < kept == html_extract.templates(html_extract._page_lines(pages, False)).count()
+    page = lambda own: f"<main><div>All the news</div><p>{own}</p><div>Go on reading</div></main>"
+    assert extract(spark, (1, "http://a.org/1", page("first own text, which is longer than its frame")),
+                   (2, "http://a.org/2", page("second own text, which is longer than its frame"))) == {
+        1: "first own text, which is longer than its frame", 2: "second own text, which is longer than its frame"}

@@ -3,6 +3,8 @@
 A page's text is cut into lines at block elements.  Lines inside elements
 that say they aren't the article (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts: by tag, role, class or id) are dropped.
+Inside a main or article only adverts, forms and comments are dropped by
+class or id; under the other names the lines are open.
 Where the page marks its article, the other lines of that element are the
 main text, whole; without one, those of ``main``, else of the page, are open.
 
@@ -61,6 +63,9 @@ promos promotion banner cookie cookies consent gdpr notice notices notification
 signup login sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar
 comment comments commentlist discussion disqus respond reply replies related recommended recommendations share
 sharing social popup modal overlay widget widgets toolbar pagination pager paywall skip""".split())
+# Of these, what goes inside a main or article whatever the neighbours say.
+NOT_ARTICLE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo
+promos comment comments commentlist disqus""".split())
 CONTENT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -71,24 +76,28 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 _NAMES = re.compile(r"[A-Za-z0-9]+")
 
 
-def _says_not_text(tag: str, attributes: str, in_article: bool) -> bool:
+def _says_not_text(tag: str, attributes: str, in_content: bool, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element isn't text, and whether that is in doubt: inside a
+    main or article most names are also those of the article's own parts."""
     if tag in NOT_TEXT or (tag == "header" and not in_article):
-        return True
+        return True, False
+    doubt = False
     if not attributes.strip():
-        return False
+        return False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return True, False
         if name == "role" and value in NOT_TEXT_ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in CONTENT - {"article"}:
             names = set(_NAMES.findall(value))
-            if names & NOT_TEXT_NAMES or ("header" in names and not in_article):
-                return True
-    return False
+            if names & (NOT_ARTICLE_NAMES if in_content else NOT_TEXT_NAMES) or ("header" in names and not in_article):
+                return True, False
+            doubt = doubt or bool(names & NOT_TEXT_NAMES)
+    return False, doubt
 
 
 KEPT, OPEN, OUT = 0, 1, 2   # marks of lines: text; text unless template; not in the chosen element
@@ -149,7 +158,8 @@ def _placed_lines(page: str) -> list[tuple[str, bool, int, bool]]:
             elif tag in ("td", "th", "tr"):
                 close((tag,), ("table",))
         state = skip, main, article, doubt = stack[-1][1] if stack else top
-        skip = skip or _says_not_text(tag, m.group(4), article > 0)
+        says, doubts = _says_not_text(tag, m.group(4), main or article > 0, article > 0)
+        skip, doubt = skip or says, doubt or doubts
         if not article and (tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", m.group(4))):
             main = True
         if tag == "article" and not article and not skip:
@@ -167,10 +177,11 @@ def _placed_lines(page: str) -> list[tuple[str, bool, int, bool]]:
 
 def lines(page: str) -> tuple[list[str], bytes]:
     """The lines that may be text, and the mark of each: the lines of marked
-    articles are kept, else those of the main element are open, else all."""
+    articles are kept (open where their element's name is in doubt), else
+    those of the main element are open, else all."""
     placed = _placed_lines(page)
     if any(article for _, _, article, _ in placed):
-        marks = [KEPT if article else OUT for _, _, article, _ in placed]
+        marks = [(OPEN if doubt else KEPT) if article else OUT for _, _, article, doubt in placed]
     elif any(main for _, main, _, _ in placed):
         marks = [OPEN if main else OUT for _, main, _, _ in placed]
     else:

@@ -414,3 +414,18 @@ def test_pages_with_a_mark_are_differenced(spark):
     assert extract(spark, (1, "http://a.org/1", page("first own text, which is longer than its frame")),
                    (2, "http://a.org/2", page("second own text, which is longer than its frame"))) == {
         1: "first own text, which is longer than its frame", 2: "second own text, which is longer than its frame"}
+
+
+def test_everyday_names_inside_an_article(spark):
+    parts = ('<section id="discussion"><p>We discuss {0}</p></section><section id="related-work"><p>Others did {0}</p>'
+             '</section><p class="notice">Note {0}</p><div class="share-prices">Prices {0}</div>'
+             '<div class="reply">Answer {0}</div>')
+    page = lambda own: (
+        f"<div class=related>no {own}</div><article><h1>On {own}</h1>{parts.format(own)}<p>A quoted passage</p>"
+        f'<div class="share">Share this</div><div class="ad">Buy {own}</div><form>Mail {own}</form>'
+        f'<div class="comments">I like {own}</div></article>')
+    text = lambda own: (f"On {own} We discuss {own} Others did {own} Note {own} Prices {own} "
+                        f"Answer {own} A quoted passage")
+    assert extract(spark, (1, "http://a.org/1", page("bees")), (2, "http://a.org/2", page("ants")),
+                   (3, "http://b.org/1", page("owls"))) == {
+        1: text("bees"), 2: text("ants"), 3: text("owls") + " Share this"}

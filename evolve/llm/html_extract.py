@@ -5,8 +5,11 @@ that say they aren't the article (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts: by tag, role, class or id) are dropped.
 Inside a main or article only adverts, forms and comments are dropped by
 class or id; under the other names the lines are open.
-Where the page marks its article, the other lines of that element are the
-main text, whole; without one, those of ``main``, else of the page, are open.
+Where the page marks its article, or its ``main``, the text is that of the
+element that holds the most of it, or of the whole page if more stands in
+neither.  A single article that is most of that element is kept whole; lines
+around it, and those of several articles, of a main without one and of a page
+without a mark, are open.
 
 Every page with a host is also told from its template by its neighbour: pages
 are ordered by URL path within each host, each is paired with the neighbour
@@ -69,7 +72,7 @@ promos comment comments commentlist disqus""".split())
 CONTENT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*)"
+    r"<!--(?:.*?-->|.*)|<(?:svg|math)\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -176,16 +179,35 @@ def _placed_lines(page: str) -> list[tuple[str, bool, int, bool]]:
 
 
 def lines(page: str) -> tuple[list[str], bytes]:
-    """The lines that may be text, and the mark of each: the lines of marked
-    articles are kept (open where their element's name is in doubt), else
-    those of the main element are open, else all."""
+    """The lines that may be text, and the mark of each.  The element with
+    the most text (main, an article outside it, or what is in neither) is
+    chosen; a single article that is most of it is kept, all else is open."""
     placed = _placed_lines(page)
-    if any(article for _, _, article, _ in placed):
-        marks = [(OPEN if doubt else KEPT) if article else OUT for _, _, article, doubt in placed]
-    elif any(main for _, main, _, _ in placed):
-        marks = [OPEN if main else OUT for _, main, _, _ in placed]
+    within = [0, 0, 0]                     # characters of main, of its articles, in neither
+    articles: dict[int, int] = {}          # characters of each article outside main
+    inner = set()
+    for text, main, article, _ in placed:
+        if main:
+            within[0] += len(text)
+            if article:
+                within[1] += len(text)
+                inner.add(article)
+        elif article:
+            articles[article] = articles.get(article, 0) + len(text)
+        else:
+            within[2] += len(text)
+    largest = max(articles.values(), default=0)
+    if within[2] > max(within[0], largest):
+        chosen = [True] * len(placed)                        # the marked elements are teasers beside the text
+        single = False
+    elif within[0] >= largest:
+        chosen = [main for _, main, _, _ in placed]
+        single = len(inner) == 1 and 2 * within[1] >= within[0]
     else:
-        marks = [OPEN] * len(placed)
+        chosen = [main or article > 0 for _, main, article, _ in placed]
+        single = len(articles) == 1 and not within[0]
+    marks = [OUT if not c else KEPT if single and article and not doubt else OPEN
+             for c, (_, _, article, doubt) in zip(chosen, placed)]
     return [text for text, *_ in placed], bytes(marks)
 
 

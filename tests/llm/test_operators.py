@@ -429,3 +429,24 @@ def test_everyday_names_inside_an_article(spark):
     assert extract(spark, (1, "http://a.org/1", page("bees")), (2, "http://a.org/2", page("ants")),
                    (3, "http://b.org/1", page("owls"))) == {
         1: text("bees"), 2: text("ants"), 3: text("owls") + " Share this"}
+
+
+def test_main_text_beside_and_around_articles(spark):
+    cards = "".join(f"<article><p>Teaser {i}</p></article>" for i in range(6))
+    story = lambda own: f"<p>The long story of {own} goes on</p><p>and ends with {own}</p>"
+    text = lambda own: f"The long story of {own} goes on and ends with {own}"
+    shapes = {"main": lambda own: f"<main>{story(own)}</main>{cards}",
+              "inner": lambda own: f"<main>{story(own)}{cards}</main>",
+              "div": lambda own: f"<div>{story(own)}</div>{cards}",
+              "article": lambda own: f"{cards}<article>{story(own)}</article>",
+              "around": lambda own: f"<main><h1>On {own}</h1><article>{story(own)}</article></main>"}
+    rows = [(10 * i + j, f"http://{name}.org/{j}", shape(own)) for i, (name, shape) in enumerate(shapes.items())
+            for j, own in enumerate(["bees", "ants", "owls"])]
+    assert extract(spark, *rows) == {10 * i + j: f"On {own} " * (name == "around") + text(own)
+                                     for i, name in enumerate(shapes) for j, own in enumerate(["bees", "ants", "owls"])}
+
+
+def test_self_closed_pictures():
+    for own in ('<svg class="icon"/>', "<math/>", "<svg a='/>' b=x/y />", '<svg><path d="M1/2"/></svg>', "<math>x</math>"):
+        found, _ = html_extract.lines(f"<article><p>one</p>{own}<p>two</p><p>three</p></article>")
+        assert found == ["one", "two", "three"], own

@@ -1,4 +1,4 @@
-"""Main text of web pages: markup first, nearest-URL differencing for the rest.
+"""Main text of web pages: markup bounds it, nearest-URL differencing decides what is open.
 
 A page's text is cut into lines at block elements.  Lines inside elements
 that say they aren't the article (menus, headers, footers, sidebars, notices,
@@ -16,10 +16,13 @@ are ordered by URL path within each host, each is paired with the neighbour
 whose path shares the longest beginning, the two pages' lines are aligned by
 longest common subsequence, and the lines that they share are deleted, as far
 as the markup leaves them open.  (Inside a marked article shared lines stay:
-a passage that two articles quote is text, not template.)  A neighbour that
-shares more than ``COPY`` of the page's lines is a copy, not a sibling, and
-says nothing about the template: the other neighbour is asked, then the page
-stays whole.
+a passage that two articles quote is text, not template.)
+
+Pages of a host with the same lines are one page there, so a neighbour always
+says something; no share of the page's size is too much for a template.
+Where both pages have other neighbours in their folder (``REACH`` on each
+side), a line must be in one of those too: what only two of several siblings
+share is a passage or a near copy.
 
 The order within a host comes from ranking the keys of all pages by a range
 sort (``rank_by_sort``): no host is one task, and neighbours meet by an
@@ -48,8 +51,7 @@ from pyspark.sql import functions as F
 from evolve.functions.ranking import rank_by_sort
 from evolve.llm.common import cut, ship, slices
 
-COPY = 0.8
-REACH = 1     # neighbours on each side
+REACH = 2     # neighbours on each side
 AT_ONCE = 64  # pages whose line hashes are Python objects at a time
 
 # Element names of HTML and the names that pages give to parts.
@@ -282,12 +284,19 @@ def _common(a: str, b: str) -> int:
 
 
 def template_lines(hashes: list[int], path: str, neighbours: list[tuple[str, list[int]]]) -> list[int]:
-    """Indexes of the lines that the nearest neighbour shares."""
-    for _, other in sorted(neighbours, key=lambda n: -_common(path, n[0])):
-        gone = shared(hashes, other)
-        if len(gone) <= COPY * len(hashes):
-            return gone
-    return []
+    """Indexes of the lines that the nearest neighbour shares.  Where more
+    neighbours stand in the folder of both, one of them must hold the line
+    too: what only two of several siblings share is a passage or a copy."""
+    if not neighbours:
+        return []
+    (nearest, other), *more = sorted(neighbours, key=lambda n: -_common(path, n[0]))
+    gone = shared(hashes, other)
+    folder = path.rpartition("/")[0]
+    siblings = [h for p, h in more if p.rpartition("/")[0] == folder]
+    if gone and siblings and nearest.rpartition("/")[0] == folder:
+        held = set().union(*siblings)
+        gone = [i for i in gone if hashes[i] in held]
+    return gone
 
 
 _KEYS = "host string, path string, fold binary, hashes binary"

@@ -450,3 +450,17 @@ def test_self_closed_pictures():
     for own in ('<svg class="icon"/>', "<math/>", "<svg a='/>' b=x/y />", '<svg><path d="M1/2"/></svg>', "<math>x</math>"):
         found, _ = html_extract.lines(f"<article><p>one</p>{own}<p>two</p><p>three</p></article>")
         assert found == ["one", "two", "three"], own
+
+
+def test_copies_and_short_pages_lose_their_template(spark):
+    menu = "".join(f"<div>Section {i} of the paper with a long name</div>" for i in range(9))
+    page = lambda own: f"<html><body>{menu}<div>{own}</div><div>Made by us</div></body></html>"
+    rows = [(i, f"http://a.org/{i}", page("copy")) for i in range(1, 6)] + [(6, "http://a.org/6", page("other"))]
+    rows += [(7, "http://b.org/1", page("x")), (8, "http://b.org/2", page("y")), (9, "http://b.org/3", ""),
+             (10, "http://b.org/4", page("y").replace("<html>", "<html lang=en>"))]
+    long = "".join(f"<p>Passage {i} of a long text</p>" for i in range(30))
+    rows += [(11, "http://c.org/1", page(long + "<p>first print</p>")), (12, "http://c.org/2", page(long + "<p>again</p>")),
+             (13, "http://c.org/3", page("u")), (14, "http://c.org/4", page("v"))]
+    body = " ".join(f"Passage {i} of a long text" for i in range(30))
+    assert extract(spark, *rows) == {**{i: "copy" for i in range(1, 6)}, 6: "other", 7: "x", 8: "y", 9: "", 10: "y",
+                                     11: body + " first print", 12: body + " again", 13: "u", 14: "v"}

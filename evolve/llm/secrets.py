@@ -1,14 +1,18 @@
 """Secret scans: three fixed patterns, and zstandard novelty for the rest.
 
 The patterns find assignments, access keys and long hex strings.  Novelty
-finds what has no fixed form: a *candidate* is a run of 16 or more token
-characters with letters and digits that a sensitive word precedes within
-``REACH`` characters on its line or the line before.  A zstandard compressor
-is primed with a raw dictionary of common identifiers and of the text around
-the candidate (the candidate's own copies taken out), and the candidate's
-marginal cost is the bytes it adds to an otherwise empty frame.  A name, path
-or word that the surroundings explain costs a few bytes; a string that costs
-at least ``NOVEL`` of its length stays incompressible and is reported.
+finds what has no fixed form: a *run* is 16 or more token characters, cut
+where base spans cover it and at each ``=`` (padding at its end stays), so a
+name is never measured with its value.  A *candidate* is a part of 16 or more
+that a sensitive word precedes on its line or the line before: within
+``REACH`` characters, or in the part before it, its name.  (If no part is
+reported, the parts are one candidate together.)  A zstandard
+compressor is primed with a raw dictionary of common identifiers and of the
+text around the candidate (the candidate's own copies taken out), and the
+candidate's marginal cost is the bytes it adds to an otherwise empty frame.  A
+name, path or word that the surroundings explain costs a few bytes; a string
+that costs at least ``NOVEL`` of its length stays incompressible and is
+reported, whatever characters it has.
 
 Spans are (kind, start, end) in code points, end exclusive, by start and then
 by the kinds' order.  A novel span never overlaps a base span.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -41,7 +46,9 @@ ACCESS_CHARS = 16
 
 KINDS = ("assign", "access", "hex", "novel")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+CANDIDATE_CHARS = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % CANDIDATE_CHARS)
+PART = re.compile(r"[^=]+(?:=+$)?")
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|private|access|login|signature",
                        re.IGNORECASE | re.ASCII)
 REACH = 48
@@ -80,23 +87,47 @@ def novelty(candidate: str, around: str) -> float:
     return (len(press.compress(body)) - len(press.compress(b""))) / len(body)
 
 
+def _bare(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start of the run, start, end) of what no base span covers of each run."""
+    covered = sorted((s, e) for _, s, e in taken)
+    first = 0
+    for run in RUN.finditer(text):
+        at, end = run.span()
+        while first < len(covered) and covered[first][1] <= at:
+            first += 1
+        i = first
+        while i < len(covered) and covered[i][0] < end:
+            if at < covered[i][0]:
+                yield run.start(), at, covered[i][0]
+            at = max(at, covered[i][1])
+            i += 1
+        if at < end:
+            yield run.start(), at, end
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     if not SENSITIVE.search(text):
         return []
-    out = []
-    for m in RUN.finditer(text):
-        start, end = m.span()
-        run = m.group()
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if any(s < end and start < e for _, s, e in taken):
-            continue
-        before = text[max(0, start - REACH):start]
+
+    def novel(name: int, start: int, end: int) -> bool:
+        if end - start < CANDIDATE_CHARS:
+            return False
+        before = text[max(0, min(name, start - REACH)):start]
         if not SENSITIVE.search("\n".join(before.split("\n")[-2:])):
-            continue
+            return False
         around = text[max(0, start - AROUND):start] + " " + text[end:end + AROUND]
-        if novelty(run, around) >= NOVEL:
-            out.append(("novel", start, end))
+        return novelty(text[start:end], around) >= NOVEL
+
+    out = []
+    for run, start, end in _bare(text, taken):
+        if end - start < CANDIDATE_CHARS:
+            continue
+        parts = [(start + m.start(), start + m.end()) for m in PART.finditer(text[start:end])]
+        names = [run] + [a for a, _ in parts]
+        found = [("novel", a, b) for name, (a, b) in zip(names, parts) if novel(name, a, b)]
+        if not found and len(parts) > 1 and novel(run, start, end):   # its parts may be short
+            found = [("novel", start, end)]
+        out += found
     return out
 
 

@@ -256,6 +256,27 @@ def test_novelty_tells_random_strings_from_names():
     assert secrets.scan("ordinary 9f8Ks0qLmZx72TtWqPe1Hh3B without context") == []
 
 
+def novel(text):
+    return [text[a:b] for k, a, b in secrets.scan(text) if k == "novel"]
+
+
+def test_novelty_of_values_with_a_sensitive_name():
+    value = "9f8Ks0qLmZx72TtWqPe1Hh3B"
+    for before, after in [("AWS_SECRET_ACCESS_KEY=", ""), ("PRIVATE_KEY=", "\nPATH=/usr/bin"), ("pwd=", "=="),
+                          ("https://x.example.org/a/b?access_key=", "&page=2"), ("auth: ", ""),
+                          ("a_quite_long_name_of_a_key_" + "that_goes_on_" * 6 + "=", "")]:
+        assert novel(before + value + after) == [value + ("==" if after == "==" else "")], before
+    assert novel("LAST_MODIFIED_DATE_OF_FILE=" + value) == []
+    assert novel("auth: id=9f8Ks0qLmZx72Tt") == ["id=9f8Ks0qLmZx72Tt"]
+
+
+def test_novelty_of_letters_and_beside_base_spans():
+    assert novel("auth: wJalrXUtnFEMIKMDENGbPxRfiCY") == ["wJalrXUtnFEMIKMDENGbPxRfiCY"]
+    assert novel("auth: access_token_refresh_token") == novel("auth: ----------------------------") == []
+    text = "signing key " + "0a" * 16 + "/Ks0qLmZx72TtWqPe1Hh3B"
+    assert secrets.joined(secrets.scan(text)) == "hex:12:44,novel:44:66"
+
+
 def test_redaction(docs):
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -49,3 +49,19 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_SMALL)
     assert docs.collect() == []
+
+
+def test_pipeline_links_near_copies_from_four_fifths(spark):
+    """Similarities between 0.80 and 0.85 of five-word shingles, and one below."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, words), (2, words + [f"a{i}" for i in range(90)]), (3, [f"x{w}" for w in words]),
+            (4, [f"x{w}" for w in words[:200]] + [f"b{i}" for i in range(35)] + [f"x{w}" for w in words[235:]]),
+            (5, [f"y{w}" for w in words]), (6, [f"y{w}" for w in words] + [f"c{i}" for i in range(110)])]
+
+    def similarity(a, b):
+        a, b = ({tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+    text = dict(rows)
+    assert all(.8 <= similarity(text[a], text[a + 1]) < .85 for a in (1, 3)) and similarity(text[5], text[6]) < .8
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF_SMALL).collect()) == [1, 3, 5, 6]

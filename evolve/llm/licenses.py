@@ -105,11 +105,16 @@ def fuzzy(body: bytes, notice: str) -> list[tuple[int, int, int]]:
             merged.append([a, b])
     found = []
     for a, b in merged:
-        # a merged window may hold several matches, and a piece alone says
-        # little, so each match must start and end at word ends
-        for m in pattern.finditer(body, a, min(b, len(body))):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-    return found
+        # a merged window may hold several matches; the best comes first, so
+        # the stretches before and after it are searched again
+        open_ = [(a, min(b, len(body)))]
+        while open_:
+            a, b = open_.pop()
+            m = pattern.search(body, a, b) if b - a >= size - edits else None
+            if m:
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                open_ += [(a, m.start()), (m.end(), b)]
+    return sorted(found)
 
 
 def scan_batch(column) -> list[tuple[int, list[tuple[int, str]], list[Match]]]:

@@ -322,6 +322,20 @@ def test_fuzzy_notice_finds_every_match_within_the_bound():
     assert [(m.label, m.start, m.edits) for m in found] == [("apache-2.0", 5, 2)]
 
 
+def test_fuzzy_notices_side_by_side():
+    notice = "licensed under the apache license version 2 0"
+    one, two = notice.replace("apache", "apche"), notice.replace("license version", "licence vrsion")
+    for row in ([one, notice, "x", one], [two, one, notice, one, two], [one, two, one], [notice] * 4):
+        body, want = "", []
+        for x in row:
+            if x != "x":
+                want.append((len(body), len(body) + len(x), {one: 1, two: 2, notice: 0}[x]))
+            body += x + " "
+        got = licenses.fuzzy(body.encode(), notice)
+        assert [e for *_, e in got] == [e for *_, e in want]
+        assert all(abs(a - c) <= e and abs(b - d) <= e for (a, b, _), (c, d, e) in zip(got, want))
+
+
 def test_token_counts(docs, library, tmpdir_path, spark, monkeypatch):
     want = []
     for d, t in texts(docs):

@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten numbered operators, one module
+"""Operators for preparing training text: thirteen numbered operators, one module
 each, and their registered queries (``evolve.llm.queries``).
 
 Nothing else in the library imports this subpackage.

@@ -101,3 +101,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & 3) <> 0 AS base_failed, (failed & {STANDARD.mask | 3}) = 0 AS kept, failed
 FROM judged"""
 assert SYMBOLS == "#*$%&|<>"  # the class above
+
+
+# Every phrase of a piece by position, counted per language.
+SQL["op12_collocations"] = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words),
+phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM spots, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM phrases WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM phrases WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r,
+         (CAST(2000000 AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) + y.f) AS score
+  FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s.i:s.i + z.size - 1], ' ') AS phrase, max(a) AS around
+  FROM candidates, (SELECT unnest([2, 3]) AS size) z, (SELECT unnest([1, 2, 3]) AS i) s
+  WHERE z.size < k AND s.i + z.size - 1 <= k GROUP BY ALL),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, encode(w.phrase)) AS rank
+  FROM lowest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+  WHERE i.around IS NULL OR 100 * CAST(i.around AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+SQL["op13_url_filters"] = rf"""
+WITH split AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''),
+                            '{UPPER}', '{UPPER.lower()}') AS host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path,
+         row_number() OVER () AS row FROM pages),
+rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+         ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fitting AS (
+  SELECT row, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM split JOIN rules ON starts_with(path, rule_path)
+       AND (host = rule_host OR ends_with(host, '.' || rule_host)) GROUP BY row)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN fitting USING (row)"""

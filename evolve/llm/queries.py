@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the pipeline:
+"""Registered queries of the thirteen operators and the pipeline:
 name -> callable(spark, sf_dir) -> DataFrame.  Each applies one operator with
 its production parameters to its whole table."""
 
@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evolve.llm import (bpe, html_extract, licenses, line_dedup, ngram_join, packing, quality_rules, secrets,
-                        token_counts, topk)
+from evolve.llm import (bpe, collocations, conversations, html_extract, licenses, line_dedup, ngram_join, packing,
+                        quality_rules, secrets, token_counts, topk, url_filters)
 from evolve.llm.common import table
 
 
@@ -33,5 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _over("documents", token_counts.token_counts),
     "op9_license_scans": _over("documents", licenses.license_scans),
     "op10_quality_rules": _over("documents", quality_rules.quality_rules),
+    "op11_conversation_repair": _over("conversations", conversations.conversation_repair),
+    "op12_collocations": _over("documents", collocations.collocations),
+    "op13_url_filters": _over("pages", url_filters.url_filters),
     "pipeline": _pipeline,
 }

@@ -15,7 +15,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(QUERIES)
-    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -6,15 +6,19 @@ every shard is mined completely at that lowered support, the union of the
 locally frequent phrases is the list of candidates, and one more pass over all
 texts counts the candidates exactly:
 
-1. pairs of every shard, counted by key (hash of language and phrase, shard);
-2. phrases of three words and more whose pairs are all frequent in their
-   shard, counted the same way;
-3. candidates (frequent in any shard) and all single words, counted over all
-   shards by the phrase itself.
-
-A shard is a label, not a task: its counts are sums with map-side partial
-results over as many tasks as the data needs.  Texts are cut into words as
-bytes with numpy, a few MB at a time; a batch sends one row per distinct key.
+1. words and pairs of every shard, counted by key (hash of language and
+   phrase, shard);
+2. phrases of three words and more whose pairs are all frequent in some shard,
+   counted the same way;
+3. candidates (frequent in any shard), counted over all shards by the phrase
+   itself.
+
+A shard is a label, not a task: every ``SHARDS``-th input partition, so that a
+task's partial counts are those of one shard, which are summed over as many
+tasks as the data needs.  The passes may deal differently: whatever the deal,
+what is frequent in all is frequent in one shard of it.  Texts are cut into
+words as bytes with numpy, 2 MB at a time; a batch sends one row per distinct
+key.
 
 "Frequent" reaches the next pass as a bit filter (two bits a key, 16 bits of
 room a key, at most ``MAX_FILTER_BITS`` in all, which bounds what is collected
@@ -46,9 +50,10 @@ from evolve.llm.common import cut, ship, slices, utf8
 SUPPORT = 30
 LONGEST = 4
 TOP = 2000
-SHARDS = 5  # at most 8: the shard stands in the three low bits of a key
+SHARDS = 4  # at most 8: the shard stands in the three low bits of a key
 MAX_FILTER_BITS = 28
-STRETCH = 1 << 19
+STRETCH = 1 << 18
+SLICE = 2 << 20
 SALTS = 8
 SHARE = 80  # a phrase goes if a longer candidate around it has this % of its count
 
@@ -71,21 +76,23 @@ class _Hash:
     """64-bit hashes of byte ranges from one running sum: the sum of
     code(byte) * base^position over a range, shifted back to its start."""
 
+    BASE = 0x5851F42D4C957F2D
+    powers = inverse = np.ones(0, np.uint64)  # shared by all hashes of a worker
+
     def __init__(self, seed: int):
         with np.errstate(over="ignore"):
             self.code = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        self.base = 0x5851F42D4C957F2D
-        self.powers = self.inverse = np.ones(0, np.uint64)
+
+    @classmethod
+    def reach(cls, n: int) -> None:
+        if n > len(cls.powers):
+            one, back = np.full(n + n // 4, cls.BASE, np.uint64), np.full(n + n // 4, pow(cls.BASE, -1, 1 << 64), np.uint64)
+            one[0] = back[0] = 1
+            cls.powers, cls.inverse = np.cumprod(one, out=one), np.cumprod(back, out=back)
 
     def words(self, body, starts, ends):
         lo, hi = int(starts[0]), int(ends[-1])
-        if hi - lo + 1 > len(self.powers):
-            n = 1 << (hi - lo + 1).bit_length()
-            one = np.ones(n, np.uint64)
-            one[1:] = self.base
-            back = np.ones(n, np.uint64)
-            back[1:] = pow(self.base, -1, 1 << 64)
-            self.powers, self.inverse = np.cumprod(one), np.cumprod(back)
+        self.reach(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(self.code[body[lo:hi]] * self.powers[:hi - lo], out=sums[1:])
         h = (sums[ends - lo] - sums[starts - lo]) * self.inverse[starts - lo]
@@ -186,7 +193,7 @@ def _sharded(keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
 def _documents(docs: DataFrame, shards: int) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     return docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(lang).alias("seed"),
-                       F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard"))
+                       F.pmod(F.spark_partition_id(), F.lit(shards)).cast("long").alias("shard"))
 
 
 def _u64(column) -> np.ndarray:
@@ -194,28 +201,26 @@ def _u64(column) -> np.ndarray:
 
 
 def _local_counts(docs: DataFrame, longest: int, pairs=None) -> DataFrame:
-    """``key, n`` per (language, phrase, shard): pairs, or with ``pairs`` (the
-    broadcast filter of the frequent ones) phrases of three words and more
-    whose pairs all pass."""
+    """``key, n`` per (language, phrase, shard): words and pairs, or with
+    ``pairs`` (the broadcast filter of the frequent ones) phrases of three
+    words and more whose pairs all pass."""
     def run(batches):
         hasher = _Hash(1)
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=SLICE):
             words = Words(*utf8(b.column(1)))
             seeds, shard = _u64(b.column(2)), _u64(b.column(3))
             for at, n, m in words.stretches(longest):
                 of = shard[words.doc[at:at + n]]
                 found = []
                 if pairs is None:
-                    *_, (key, there) = words.phrases(at, n, m, 2, hasher, seeds)
-                    found.append(_sharded(key, of)[there])
+                    found = [_sharded(key, of)[there] for key, there in words.phrases(at, n, m, 2, hasher, seeds)]
                 else:
                     passes = None
                     for k, (key, there) in enumerate(words.phrases(at, n, m, longest, hasher, seeds), 1):
                         if k == 2:
                             passes = there.copy()
-                            passes[there] = pairs.value.has(_sharded(key, of)[there])
-                            # pairs that start in the overlap: judged by the next stretch's own counts,
-                            # here they are let through
+                            passes[there] = pairs.value.has(key[there] & ~np.uint64(7))
+                            # pairs that start in the overlap are let through
                             follow = np.concatenate([passes, np.ones(longest, bool)])
                             chain = passes
                         elif k > 2:
@@ -244,11 +249,11 @@ def _phrase_bytes(words: Words, first: np.ndarray, k: int) -> list[bytes]:
 
 
 def _global_counts(docs: DataFrame, longest: int, candidates) -> DataFrame:
-    """Exact counts over all shards: ``lang, k, phrase, n`` of every word and
-    every phrase that passes the filter; k = 0 is the number of words."""
+    """Exact counts over all shards: ``lang, k, phrase, n`` of every phrase
+    that passes the filter; k = 0 is the number of words."""
     def run(batches):
         one, two = _Hash(1), _Hash(2)
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=SLICE):
             words = Words(*utf8(b.column(1)))
             seeds, langs = _u64(b.column(2)), b.column(0).to_pylist()
             out = {"lang": [], "k": [], "phrase": [], "n": []}
@@ -256,9 +261,8 @@ def _global_counts(docs: DataFrame, longest: int, candidates) -> DataFrame:
                 again = words.phrases(at, n, m, longest, two, seeds)
                 for k, (key, there) in enumerate(words.phrases(at, n, m, longest, one, seeds), 1):
                     second = next(again)[0]
-                    if k > 1:
-                        there = there.copy()
-                        there[there] = candidates.value.has(key[there] & ~np.uint64(7))
+                    there = there.copy()
+                    there[there] = candidates.value.has(key[there] & ~np.uint64(7))
                     where = np.flatnonzero(there)
                     order = where[np.lexsort((second[where], key[where]))]
                     if not len(order):
@@ -285,6 +289,10 @@ def _global_counts(docs: DataFrame, longest: int, candidates) -> DataFrame:
         F.sum("n").alias("n"))
 
 
+def _united(local: DataFrame) -> DataFrame:
+    return local.select(F.expr("key & ~7L").alias("key")).distinct()
+
+
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST,
                      shards: int = SHARDS) -> DataFrame:
     """``lang, k, phrase, n``: every phrase of 1 to ``longest`` words that
@@ -298,11 +306,10 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     lowered = -(-support // shards)
     local = cut(_local_counts(d, longest).where(F.col("n") >= lowered))
     if longest > 2:
-        pairs = spark.sparkContext.broadcast(filter_of(local))
+        pairs = spark.sparkContext.broadcast(filter_of(_united(local)))
         longer = _local_counts(d, longest, pairs).where(F.col("n") >= lowered)
         local = cut(local.unionByName(longer))
-    union = local.select(F.expr("key & ~7L").alias("key")).distinct()
-    candidates = spark.sparkContext.broadcast(filter_of(union))
+    candidates = spark.sparkContext.broadcast(filter_of(_united(local)))
     return cut(_global_counts(d, longest, candidates).where((F.col("n") >= support) | (F.col("k") == 0)))
 
 

@@ -20,11 +20,13 @@ Every document, event and conversation turn takes part:
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evolve.functions.ranking import rank_by_id
-from evolve.operators.history import fold_history
+from evolve.operators.history import fold_history, repair
 
 BLOCK = 10_000  # documents of one source in one project
 
@@ -159,6 +161,13 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target_id", "project", (m >= 3).alias("down"), dest.alias("destination"))
 
 
+@memo
+def half_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history after an earlier repair of every second target."""
+    h, t = history(spark, sf_dir), targets(spark, sf_dir)
+    return repair(h, scripts(spark, sf_dir), t.where(F.col("target_id") % 2 == 0), _dt.datetime(2024, 1, 20), True)
+
+
 @memo
 def file_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user as an upward run over a script folder of its source: the

@@ -6,6 +6,15 @@ is (target_id, version) with version <= 65535, so one window partition holds at
 most 65536 rows however large the fleet or a single target's log grows.  Local
 gaps are computed over *distinct* versions per project (same bound) after a hash
 aggregate; copies of one version are expanded from their count, not windowed.
+``status`` and ``gate`` take latest version and gaps from version bitmaps
+(:mod:`evolve.operators.bitmaps`), without a window.
+
+Drift by distinct tuples.  A fleet's history repeats the same few (project,
+version, description, checksum) tuples on every target.  They are reduced to
+the distinct ones (partial sums in every task: one row per tuple and task,
+however many targets hold it), those that no local script has are the bad
+tuples, and rows are marked by a join with the bad ones alone, see
+:func:`marked`.
 """
 
 from __future__ import annotations
@@ -13,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evolve.operators import bitmaps
 from evolve.operators.history import failing
+from evolve.session import checkpoint_dir
 
 # Problem texts.
 MSG_FAILING = "found an unsucceeded migration: %d"
@@ -22,6 +33,10 @@ MSG_HISTORY_GAP = "missing version %d"
 MSG_DRIFT = ("invalid migration found: version: %d, description: %s, md5_checksum: %s."
              " Please check your local migration and changes")
 
+TUPLE = ["project", "version", "description", "md5_checksum"]
+BROADCAST_TUPLES = 50_000  # a tuple holds at most some 350 bytes (description: 255 characters)
+SALTS = 32
+
 STAGE_LOAD = -1
 STAGE_FAILING, STAGE_LOCAL, STAGE_HISTORY = 1, 2, 3
 
@@ -92,38 +107,66 @@ def history_gap_ranges(history: DataFrame, scripts: DataFrame, targets: DataFram
                     (F.col("version") - 1).cast("int").alias("gap_to")))
 
 
+def bad_tuples(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The distinct tuples of successful history rows that no local UP script
+    has, with the reason: ``missing`` (no local script of that version),
+    ``description`` (one exists under another name) or ``checksum`` (same name,
+    other content).  Reasons are found for these tuples alone.
+
+    Runs one job when called: the tuples go into the shared checkpoint folder,
+    so that their number is known before rows are joined with them."""
+    checkpoint_dir(history.sparkSession)
+    h = _checked_history(history.where(F.col("success")).select("target_id", *TUPLE[1:]), scripts, targets)
+    local = _up(scripts).select(*TUPLE)
+    bad = h.select(*TUPLE).distinct().join(local, TUPLE, "left_anti")
+    versions = local.select("project", "version").distinct().withColumn("_has_version", F.lit(True))
+    names = local.select("project", "version", "description").distinct().withColumn("_has_name", F.lit(True))
+    reason = (F.when(F.col("_has_version").isNull(), F.lit("missing"))
+              .when(F.col("_has_name").isNull(), F.lit("description"))
+              .otherwise(F.lit("checksum")))
+    return (bad.join(versions, ["project", "version"], "left").join(names, ["project", "version", "description"], "left")
+            .select(*TUPLE, reason.alias("reason")).checkpoint(eager=True))
+
+
+def marked(rows: DataFrame, bad: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` (with ``target_id`` and the tuple columns) joined with the bad
+    tuples: ``reason`` says what is wrong, null if nothing.
+
+    Up to ``BROADCAST_TUPLES`` bad tuples are sent to the rows, which stay
+    where they are.  With more, both sides meet on the tuple and a salt, so
+    that a tuple that very many targets hold is dealt over ``SALTS`` tasks."""
+    if bad.count() <= BROADCAST_TUPLES:
+        return rows.join(F.broadcast(bad), TUPLE, how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    return (rows.withColumn("_salt", F.pmod(F.hash("target_id"), F.lit(SALTS)))
+            .join(bad.select("*", salts), [*TUPLE, "_salt"], how).drop("_salt"))
+
+
+def _drifted(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    bad = bad_tuples(history, scripts, targets)
+    h = _checked_history(history.where(F.col("success")).select("target_id", *TUPLE[1:]), scripts, targets)
+    return marked(h, bad, "inner")
+
+
 def drift(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
     """Successful history rows whose (version, description, checksum) is not
     among the project's local UP scripts (J1): edited, renamed or deleted
     scripts.  Local scripts missing from the history are not drift.
     """
-    h = _checked_history(history.where(F.col("success")), scripts, targets)
-    local = _up(scripts).select("project", "version", "description", "md5_checksum")
-    return (h.join(local, ["project", "version", "description", "md5_checksum"], "left_anti")
-            .select("target_id", "version", "description", "md5_checksum"))
+    return _drifted(history, scripts, targets).select("target_id", "version", "description", "md5_checksum")
 
 
 def drift_detail(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Drift rows with a reason (J2): ``missing`` (no local script of that
-    version), ``description`` (a script of that version exists under another
-    name) or ``checksum`` (same name, other content).  The reason comes from
-    two left joins with distinct local keys, no collected lists."""
-    h = _checked_history(history.where(F.col("success")), scripts, targets)
-    local = _up(scripts).select("project", "version", "description", "md5_checksum")
-    d = h.join(local, ["project", "version", "description", "md5_checksum"], "left_anti") \
-        .select("target_id", "project", "version", "description", "md5_checksum")
-    versions = local.select("project", "version").distinct().withColumn("_has_version", F.lit(True))
-    names = local.select("project", "version", "description").distinct().withColumn("_has_name", F.lit(True))
-    j = d.join(versions, ["project", "version"], "left").join(names, ["project", "version", "description"], "left")
-    reason = (F.when(F.col("_has_version").isNull(), F.lit("missing"))
-              .when(F.col("_has_name").isNull(), F.lit("description"))
-              .otherwise(F.lit("checksum")))
-    return j.select("target_id", "version", "description", "md5_checksum", reason.alias("reason"),
-                    F.format_string(MSG_DRIFT, "version", "description", "md5_checksum").alias("message"))
+    """Drift rows with their reason (J2), see :func:`bad_tuples`."""
+    return _drifted(history, scripts, targets).select(
+        "target_id", "version", "description", "md5_checksum", "reason",
+        F.format_string(MSG_DRIFT, "version", "description", "md5_checksum").alias("message"))
 
 
-def problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every validation problem of every target, tagged with its stage."""
+def problems(history: DataFrame, scripts: DataFrame, targets: DataFrame,
+             invalid: DataFrame | None = None) -> DataFrame:
+    """Every validation problem of every target, tagged with its stage (M5);
+    with ``invalid`` also the out-of-range files of its project (stage -1)."""
     f = (failing(history).join(targets.select("target_id"), "target_id", "left_semi")
          .select("target_id", F.lit(STAGE_FAILING).alias("stage"), F.lit("failing").alias("kind"),
                  "version", F.format_string(MSG_FAILING, "version").alias("message")))
@@ -133,44 +176,50 @@ def problems(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> Data
     hg = (history_gaps(history, scripts, targets)
           .select("target_id", F.lit(STAGE_HISTORY).alias("stage"), F.lit("history_gap").alias("kind"),
                   F.col("missing_version").alias("version"), "message"))
-    dr = (drift(history, scripts, targets)
-          .select("target_id", F.lit(STAGE_HISTORY).alias("stage"), F.lit("drift").alias("kind"),
-                  "version", F.format_string(MSG_DRIFT, "version", "description", "md5_checksum")
-                  .alias("message")))
-    return f.unionByName(lg).unionByName(hg).unionByName(dr)
+    dr = (drift_detail(history, scripts, targets)
+          .select("target_id", F.lit(STAGE_HISTORY).alias("stage"), F.lit("drift").alias("kind"), "version", "message"))
+    out = f.unionByName(lg).unionByName(hg).unionByName(dr)
+    if invalid is None:
+        return out
+    load = targets.select("target_id", "project").join(invalid.select("project", "message"), "project").select(
+        "target_id", F.lit(STAGE_LOAD).alias("stage"), F.lit("load").alias("kind"),
+        F.lit(None).cast("int").alias("version"), "message")
+    return out.unionByName(load)
+
+
+def _with_project(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets' history rows with their project, what drifted (``reason``,
+    null if nothing), and ``_checked``: the project has an UP script."""
+    with_scripts = _up(scripts).select("project").distinct().withColumn("_checked", F.lit(True))
+    tp = targets.select("target_id", "project").join(with_scripts, "project", "left").select(
+        "target_id", "project", F.coalesce("_checked", F.lit(False)).alias("_checked"))
+    rows = history.select("target_id", "version", "description", "md5_checksum", "success").join(tp, "target_id")
+    return marked(rows, bad_tuples(history, scripts, targets)).withColumn(
+        "_drift", F.col("success") & F.col("reason").isNotNull()).drop("reason")
 
 
 def _flagged(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
-    """The targets' history rows with what is wrong with each, in one pass:
-    ``_gap`` (a gap lies below it, from ``_expected`` on) and ``_drift``.
-
-    The target's project is attached, gaps are flagged by one window per
-    target, drift by a join with the distinct local (project, version,
-    description, checksum) tuples.  The window and a history stored bucketed
-    by target_id share one partitioning.
-    """
-    up = _up(scripts)
-    with_scripts = up.select("project").distinct().withColumn("_checked", F.lit(True))
-    tp = targets.select("target_id", "project").join(with_scripts, "project", "left")
-    tuples = (up.select("project", "version", "description", "md5_checksum").distinct()
-              .withColumn("_local", F.lit(True)))
+    """The targets' history rows with what is wrong with each: ``_gap`` (a gap
+    lies below it, from ``_expected`` on; one window per target) and ``_drift``."""
     w = Window.partitionBy("target_id").orderBy("version")
-    checked = F.coalesce(F.col("_checked"), F.lit(False))
-    return (history.select("target_id", "version", "description", "md5_checksum", "success")
+    return (_with_project(history, scripts, targets)
             .withColumn("_expected", F.coalesce(F.lag("version").over(w) + 1, F.lit(1)).cast("int"))
-            .join(tp, "target_id")
-            .join(tuples, ["project", "version", "description", "md5_checksum"], "left")
-            .withColumn("_gap", checked & (F.col("version") != F.col("_expected")))
-            .withColumn("_drift", checked & F.col("success") & F.col("_local").isNull()))
+            .withColumn("_gap", F.col("_checked") & (F.col("version") != F.col("_expected"))))
 
 
 def _history_summary(history: DataFrame, scripts: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target latest version, failing rows and history mismatches (gaps +
-    drift, a row that is both counts twice): one aggregate over the flagged rows."""
-    return _flagged(history, scripts, targets).groupBy("target_id").agg(
-        F.max(F.when(F.col("success"), F.col("version"))).alias("latest"),
-        F.count_if(~F.col("success")).alias("n_failing"),
-        (F.count_if("_gap") + F.count_if("_drift")).alias("n_mismatch"))
+    drift, a row that is both counts twice).  One exchange of the history, on
+    target_id: rows become version words with their counts, words one row per
+    target; latest version and gaps are bit arithmetic."""
+    rows = _with_project(history, scripts, targets)
+    words = rows.groupBy("target_id", "_checked", F.shiftright("version", 6).alias("word")).agg(
+        *bitmaps.word_columns(), F.count_if(~F.col("success")).alias("n_failing"), F.count_if("_drift").alias("n_drift"))
+    lists = words.groupBy("target_id", "_checked").agg(
+        bitmaps.word_list(), F.sum("n_failing").alias("n_failing"), F.sum("n_drift").alias("n_drift"))
+    gaps = F.when(F.col("_checked"), bitmaps.n_gaps(F.col("words"))).otherwise(0)
+    return lists.select("target_id", bitmaps.latest_of(F.col("words")).alias("latest"), "n_failing",
+                        (gaps + F.col("n_drift")).alias("n_mismatch"))
 
 
 def gate(history: DataFrame, scripts: DataFrame, targets: DataFrame,

@@ -23,10 +23,6 @@ KEY = ["target_id", "version"]
 HISTORY_COLS = [f.name for f in schemas.HISTORY.fields]
 
 
-def empty_history(spark) -> DataFrame:
-    return spark.createDataFrame([], schemas.HISTORY)
-
-
 def _as_history(df: DataFrame) -> DataFrame:
     """Project to the history schema; ``repaired_at`` is optional on input."""
     if "repaired_at" not in df.columns:
@@ -68,8 +64,7 @@ def fold_history(log: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def merge_outcomes(last: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Apply per-key outcomes (``target_id, version, last, cleared`` as built by
-    the fold or by the streaming aggregation) to a stored history."""
+    """Apply per-key outcomes (:func:`last_outcomes`) to a stored history."""
     if history is None:
         return (last.where(F.col("last.direction") == "UP")
                 .select(*KEY, "last.description", "last.md5_checksum", "last.success",
@@ -153,22 +148,33 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     The targets x scripts product is the size of the result itself; it is
     joined to the history on the full ``(target_id, version)`` key.
     """
-    # text -> TIMESTAMP_NTZ is independent of the session time zone
-    now = as_of if isinstance(as_of, Column) else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    wanted = _repair_targets(targets).join(_recorded(scripts), "project").drop("project")
+    return _repaired(_as_history(history).alias("h").join(wanted.alias("s"), KEY, "full_outer"), as_of, reset_success)
+
+
+def _recorded(scripts: DataFrame) -> DataFrame:
+    """The UP script of each (project, version) that a repair records."""
     # versions above the stored range cannot be written; those upserts fail alone
     # copies of a version are upserted in path order, so the last one stays
     order = next(c for c in ("path", "file_name", "description") if c in scripts.columns)
-    local = (scripts.where((F.col("direction") == "UP") & (F.col("version") <= schemas.MAX_STORED_VERSION))
-             .groupBy("project", "version")
-             .agg(F.max_by(F.struct("description", "md5_checksum"), F.struct(order, "description", "md5_checksum"))
-                  .alias("_s"))
-             .select("project", "version", F.col("_s.description").alias("s_description"),
-                     F.col("_s.md5_checksum").alias("s_md5")))
+    return (scripts.where((F.col("direction") == "UP") & (F.col("version") <= schemas.MAX_STORED_VERSION))
+            .groupBy("project", "version")
+            .agg(F.max_by(F.struct("description", "md5_checksum"), F.struct(order, "description", "md5_checksum"))
+                 .alias("_s"))
+            .select("project", "version", F.col("_s.description").alias("s_description"),
+                    F.col("_s.md5_checksum").alias("s_md5")))
+
+
+def _repair_targets(targets: DataFrame) -> DataFrame:
     if "history_exists" in targets.columns:
         targets = targets.where(F.col("history_exists"))
-    wanted = targets.select("target_id", "project").join(local, "project").drop("project")
-    h = _as_history(history).alias("h")
-    j = h.join(wanted.alias("s"), KEY, "full_outer")
+    return targets.select("target_id", "project")
+
+
+def _repaired(j: DataFrame, as_of: _dt.datetime | Column, reset_success: bool) -> DataFrame:
+    """The rows of a repair from history rows ``h`` joined with scripts ``s``."""
+    # text -> TIMESTAMP_NTZ is independent of the session time zone
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     has_script = F.col("s.s_md5").isNotNull()
     existed = F.col("h.md5_checksum").isNotNull()
     differs = ((F.col("s.s_description") != F.col("h.description"))
@@ -185,3 +191,56 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
          .when(has_script & differs, now)
          .otherwise(F.col("h.repaired_at")).cast("timestamp_ntz").alias("repaired_at"),
     )
+
+
+def _fingerprint(rows: DataFrame, key: str, description: str, md5: str, prefix: str) -> DataFrame:
+    """Per ``key`` the fingerprint of its set of (version, description,
+    checksum): their number and two sums of 64-bit hashes.  Partial sums are
+    made in every task; two different sets agree with a probability of about
+    2^-128, and equal sets always do."""
+    hashes = [F.xxhash64("version", description, md5), F.xxhash64(F.lit(1), "version", description, md5)]
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"{prefix}n"), *[
+        F.sum(h.cast("decimal(20,0)")).alias(f"{prefix}{i}") for i, h in enumerate(hashes)])
+
+
+def differing_targets(history: DataFrame, scripts: DataFrame, targets: DataFrame,
+                      succeeded_only: bool = False) -> DataFrame:
+    """``target_id, project`` of the targets whose history isn't exactly their
+    project's UP scripts, told by the fingerprints of both sets: one row a
+    target meets one row a project, no history row meets a script.
+
+    ``succeeded_only``: a failed row counts as not there."""
+    rows = history.where(F.col("success")) if succeeded_only else history
+    have = _fingerprint(rows, "target_id", "description", "md5_checksum", "h")
+    want = _fingerprint(_recorded(scripts), "project", "s_description", "s_md5", "s")
+    same = F.lit(True)
+    for c in ("n", "0", "1"):
+        same = same & F.col(f"h{c}").eqNullSafe(F.col(f"s{c}"))
+    return (_repair_targets(targets).join(want, "project").join(have, "target_id", "left")
+            .where(~same).select("target_id", "project"))
+
+
+def repair_changes(history: DataFrame, scripts: DataFrame, targets: DataFrame,
+                   as_of: _dt.datetime | Column, reset_success: bool = True) -> DataFrame:
+    """The rows that :func:`repair` adds or changes, and only these; what it
+    leaves alone is not written again (see :func:`apply_changes`).
+
+    Targets whose history equals their scripts are found by fingerprints and
+    left out, so in a fleet where few targets differ the targets x scripts
+    product is that of these few.  A history with rows beyond its scripts
+    differs too; its rows are compared one by one.  Exact but for the
+    fingerprints' 2^-128 (see :func:`_fingerprint`)."""
+    differing = differing_targets(history, scripts, targets, reset_success)
+    wanted = differing.join(_recorded(scripts), "project").drop("project")
+    h = _as_history(history.join(differing.select("target_id"), "target_id", "left_semi")).alias("h")
+    j = wanted.alias("s").join(h, KEY, "left")
+    new = F.col("h.md5_checksum").isNull()
+    changed = ((F.col("s.s_description") != F.col("h.description")) | (F.col("s.s_md5") != F.col("h.md5_checksum")))
+    if reset_success:
+        changed = changed | ~F.col("h.success")
+    return _repaired(j.where(new | changed), as_of, reset_success)
+
+
+def apply_changes(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """A history with changed and new rows in place of those of the same key."""
+    return _as_history(history).join(changes.select(*KEY), KEY, "left_anti").unionByName(changes.select(*HISTORY_COLS))

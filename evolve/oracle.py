@@ -188,6 +188,31 @@ FROM breaks"""
 SQL["history_gap_ranges"] = _MAIN_CHECKS + """
 SELECT target_id, CAST(expected AS INTEGER) AS gap_from, CAST(version - 1 AS INTEGER) AS gap_to FROM breaks"""
 
+# Missing versions below a target's highest one, grouped into runs.
+def _missing_runs(h: str) -> str:
+    return f"""
+, top AS (SELECT target_id, max(version) AS top FROM {h} GROUP BY target_id),
+missing AS (
+  SELECT t.target_id, v FROM top t, LATERAL (SELECT unnest(generate_series(1, t.top)) AS v) s
+  WHERE NOT EXISTS (SELECT 1 FROM {h} h WHERE h.target_id = t.target_id AND h.version = v))
+SELECT target_id, CAST(min(v) AS INTEGER) AS gap_from, CAST(max(v) AS INTEGER) AS gap_to
+FROM (SELECT *, v - row_number() OVER (PARTITION BY target_id ORDER BY v) AS run FROM missing) m
+GROUP BY target_id, run"""
+
+
+SQL["gap_ranges_by_words"] = _with(*MAIN)[:-1] + _missing_runs("history")
+SQL["gap_ranges_merged"] = _with(_MINI)[:-1] + _missing_runs("mini_history")
+SQL["latest_by_words"] = SQL["latest_version"]
+
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN CAST({0} AS HUGEINT) - 18446744073709551616 ELSE {0} END AS BIGINT)"
+SQL["version_words"] = _with(*MAIN)[:-1] + f"""
+, bits AS (
+  SELECT target_id, CAST(version // 64 AS INTEGER) AS word, sum(DISTINCT CAST(2 AS HUGEINT) ** (version % 64)) AS p,
+         coalesce(sum(DISTINCT CAST(2 AS HUGEINT) ** (version % 64)) FILTER (WHERE success), 0) AS s
+  FROM history GROUP BY ALL)
+SELECT target_id, word, {_SIGNED.format("CAST(p AS HUGEINT)")} AS present,
+       {_SIGNED.format("CAST(s AS HUGEINT)")} AS succeeded FROM bits"""
+
 SQL["drift"] = _MAIN_CHECKS + """
 SELECT target_id, version, description, md5_checksum FROM drift"""
 
@@ -228,6 +253,9 @@ SELECT t.target_id, t.project, CAST(COALESCE(f.stage, 0) AS INTEGER) AS stage,
          AS problems
 FROM mini_targets t LEFT JOIN firsts f ON f.target_id = t.target_id"""
 
+SQL["all_problems"] = _MINI_CHECKS + """
+SELECT target_id, CAST(stage AS INTEGER) AS stage, kind, CAST(version AS INTEGER) AS version, message FROM problems"""
+
 SQL["gate_problems"] = _MINI_CHECKS + """
 SELECT p.target_id, CAST(p.stage AS INTEGER) AS stage, p.kind, CAST(p.version AS INTEGER) AS version, p.message
 FROM problems p
@@ -423,6 +451,8 @@ SELECT h.target_id, h.version FROM history h JOIN acts a ON a.target_id = h.targ
 WHERE a.action = 'run' AND a.down AND h.version > a.destination AND h.version <= a.latest_version
   AND NOT EXISTS (SELECT 1 FROM down_scripts d WHERE d.project = a.project AND d.version = h.version)"""
 
+SQL["missing_down_by_words"] = SQL["missing_down"]
+
 SQL["plan_up"] = _plan_ctes(False) + """,
 steps AS (
   SELECT a.target_id, 0 AS blk, CAST(NULL AS INTEGER) AS version, CAST(NULL AS VARCHAR) AS sk, 0 AS phase,
@@ -541,6 +571,30 @@ def _repair(reset: bool) -> str:
     return _with(*MAIN)[:-1] + _repaired("history", "2024-02-01 00:00:00", reset) + "\nSELECT * FROM repaired"
 
 
+def _repair_difference(h: str, before: str, reset: bool) -> str:
+    """The rows of a repair that aren't in the history before it."""
+    return before + _repaired(h, "2024-02-01 00:00:00", reset) + f"""
+SELECT * FROM repaired EXCEPT
+SELECT target_id, version, description, md5_checksum, success, executed_at, repaired_at FROM {h}"""
+
+
+# The history after an earlier repair of every second target.
+_HALF_REPAIRED = """,
+early_wanted AS (SELECT t.target_id, s.version, s.description, s.md5_checksum
+                 FROM targets t JOIN scripts s ON s.project = t.project WHERE t.target_id % 2 = 0),
+half_repaired AS (
+SELECT COALESCE(h.target_id, w.target_id) AS target_id, COALESCE(h.version, w.version) AS version,
+  COALESCE(w.description, h.description) AS description, COALESCE(w.md5_checksum, h.md5_checksum) AS md5_checksum,
+  CASE WHEN w.version IS NULL THEN h.success ELSE true END AS success,
+  COALESCE(h.executed_at, TIMESTAMP '2024-01-20 00:00:00') AS executed_at,
+  CASE WHEN w.version IS NOT NULL AND (h.version IS NULL OR w.md5_checksum <> h.md5_checksum)
+       THEN TIMESTAMP '2024-01-20 00:00:00' ELSE h.repaired_at END AS repaired_at
+FROM history h FULL OUTER JOIN early_wanted w ON w.target_id = h.target_id AND w.version = h.version)"""
+
+SQL["repair_changes_reset"] = _repair_difference("history", _with(*MAIN)[:-1], True)
+SQL["repair_changes_keep"] = _repair_difference("half_repaired", _with(*MAIN)[:-1] + _HALF_REPAIRED, False)
+SQL["stored_history"] = SQL["fold_history"]
+
 SQL["repair_reset"] = _repair(True)
 SQL["repair_keep"] = _repair(False)
 
@@ -671,6 +725,17 @@ FROM flat l LEFT JOIN invalid i ON i.project = l.project LEFT JOIN fmax m ON m.p
 
 _FOLDER_CHECKS = _FOLDERS + _check_ctes("history", "fscripts", "ftargets", "f")
 
+# With the gate: a project whose load failed, then the validation stages.
+SQL["run_action_gate_loaded"] = _FOLDER_CHECKS + """,
+fprob AS (SELECT target_id, min(stage) AS stage FROM fproblems GROUP BY target_id)
+SELECT l.target_id, l.project, l.latest_version, m.max_up AS destination,
+  CASE WHEN i.n > 0 THEN 'load_failed' WHEN m.max_up IS NULL THEN 'no_scripts'
+       WHEN p.stage IS NOT NULL THEN 'blocked'
+       WHEN l.latest_version = m.max_up THEN 'up_to_date'
+       WHEN m.max_up < l.latest_version THEN 'up_below_current' ELSE 'run' END AS action
+FROM flat l LEFT JOIN invalid i ON i.project = l.project LEFT JOIN fmax m ON m.project = l.project
+LEFT JOIN fprob p ON p.target_id = l.target_id"""
+
 SQL["gate_loaded"] = _FOLDER_CHECKS + """
 , per AS (SELECT target_id, stage, count(*) AS n FROM fproblems GROUP BY target_id, stage),
 fst AS (SELECT target_id, min(stage) AS stage FROM per GROUP BY target_id)
@@ -699,3 +764,12 @@ every AS (
   FROM ftargets t JOIN folders f ON f.project = t.project WHERE NOT f.valid)
 SELECT e.target_id, CAST(e.stage AS INTEGER) AS stage, e.kind, CAST(e.version AS INTEGER) AS version, e.message
 FROM every e WHERE e.stage = (SELECT min(o.stage) FROM every o WHERE o.target_id = e.target_id)"""
+
+SQL["all_problems_loaded"] = _FOLDER_CHECKS + """
+SELECT target_id, CAST(stage AS INTEGER) AS stage, kind, CAST(version AS INTEGER) AS version, message FROM fproblems
+UNION ALL
+SELECT t.target_id, -1, 'load', NULL,
+       printf('strconv.ParseUint: parsing "%s": value out of range',
+              CASE WHEN f.category = 'hook' AND TRY_CAST(f.number_text AS BIGINT) <= 255 THEN f.version_text
+                   ELSE f.number_text END)
+FROM ftargets t JOIN folders f ON f.project = t.project WHERE NOT f.valid"""

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evolve import schemas
+from evolve.operators.checks import STAGE_LOAD
 from evolve.operators.history import latest_version
 from evolve.operators.scripts import select_hooks
 
@@ -45,7 +46,7 @@ def run_action(targets: DataFrame, history: DataFrame, scripts: DataFrame,
     Destination: up -> given or the highest local UP version; down -> given
     or 0.  Action, first match wins: ``load_failed`` (the project has an
     ``invalid`` file, as :func:`evolve.functions.classify.invalid_files` gives
-    them; only with ``invalid``), ``no_scripts`` (none in the run's
+    them, or its ``gate`` stopped at the load), ``no_scripts`` (none in the run's
     direction), ``blocked`` (validation stage failed; only with ``gate``),
     ``up_to_date``, ``up_below_current``, ``down_above_current``, ``run``.
     Only ``run`` executes anything; ``load_failed`` and ``blocked`` are errors.
@@ -59,14 +60,14 @@ def run_action(targets: DataFrame, history: DataFrame, scripts: DataFrame,
         .otherwise(F.coalesce("destination", "max_up")).cast("int")
     t = t.withColumn("resolved", dest)
     no_scripts = F.when(down, F.coalesce("n_down", F.lit(0)) < 1).otherwise(F.coalesce("n_up", F.lit(0)) < 1)
-    blocked = F.lit(False)
+    blocked = broken = F.lit(False)
     if gate is not None:
         t = t.join(gate.select("target_id", F.col("stage").alias("_stage")), "target_id", "left")
         blocked = F.coalesce(F.col("_stage"), F.lit(0)) > 0
-    broken = F.lit(False)
+        broken = F.coalesce(F.col("_stage") == STAGE_LOAD, F.lit(False))
     if invalid is not None:
         t = t.join(invalid.select("project").distinct().withColumn("_broken", F.lit(True)), "project", "left")
-        broken = F.coalesce("_broken", F.lit(False))
+        broken = broken | F.coalesce("_broken", F.lit(False))
     latest_c = F.col("latest_version")
     action = (F.when(broken, "load_failed")
               .when(no_scripts, "no_scripts")

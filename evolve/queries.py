@@ -8,6 +8,7 @@ matching DuckDB statement under the same name.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,14 @@ from pyspark.sql import functions as F
 from evolve import fixtures as fx
 from evolve.functions import classify as cls
 from evolve.functions.templates import expand_templates
-from evolve.operators import checks
+from evolve.operators import bitmaps, checks
 from evolve.operators import history as hist
 from evolve.operators import scripts as scr
 from evolve.plans import planning as pl
 from evolve.plans.effects import effective_steps
 from evolve.plans.migrate import migrate_table
 from evolve.session import checkpoint_dir
+from evolve.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +70,28 @@ def q_history_gap_ranges(spark, sf):
     return checks.history_gap_ranges(*_main(spark, sf))
 
 
+@register("version_words")
+def q_version_words(spark, sf):
+    return bitmaps.version_words(fx.history(spark, sf))
+
+
+@register("gap_ranges_by_words")
+def q_gap_ranges_by_words(spark, sf):
+    return bitmaps.history_gap_ranges(bitmaps.version_words(fx.history(spark, sf)))
+
+
+@register("gap_ranges_merged")
+def q_gap_ranges_merged(spark, sf):
+    h = fx.mini_history(spark, sf)
+    two = [bitmaps.version_words(h.where(F.col("version") % 3 == 0)), bitmaps.version_words(h.where(F.col("version") % 3 != 0))]
+    return bitmaps.history_gap_ranges(bitmaps.merge_words(*two))
+
+
+@register("latest_by_words")
+def q_latest_by_words(spark, sf):
+    return bitmaps.latest_versions(bitmaps.version_words(fx.history(spark, sf)), fx.targets(spark, sf))
+
+
 @register("drift")
 def q_drift(spark, sf):
     return checks.drift(*_main(spark, sf))
@@ -93,6 +117,11 @@ def q_gate(spark, sf):
     return checks.gate(*_mini(spark, sf))
 
 
+@register("all_problems")
+def q_all_problems(spark, sf):
+    return checks.problems(*_mini(spark, sf))
+
+
 @register("gate_problems")
 def q_gate_problems(spark, sf):
     return checks.gate_problems(*_mini(spark, sf))
@@ -212,6 +241,19 @@ def q_run_action_loaded(spark, sf):
             .select("target_id", "project", "latest_version", "destination", "action"))
 
 
+@register("run_action_gate_loaded")
+def q_run_action_gate_loaded(spark, sf):
+    """The load failure passed on by the gate alone."""
+    h, s, t, invalid = _folders(spark, sf)
+    return (pl.run_action(t, h, s, gate=checks.gate(h, s, t, invalid))
+            .select("target_id", "project", "latest_version", "destination", "action"))
+
+
+@register("all_problems_loaded")
+def q_all_problems_loaded(spark, sf):
+    return checks.problems(*_folders(spark, sf))
+
+
 @register("gate_loaded")
 def q_gate_loaded(spark, sf):
     return checks.gate(*_folders(spark, sf))
@@ -253,6 +295,12 @@ def q_missing_down(spark, sf):
     return pl.missing_down(_actions(spark, sf, True), _fleet_scripts(spark, sf, True), fx.history(spark, sf))
 
 
+@register("missing_down_by_words")
+def q_missing_down_by_words(spark, sf):
+    return bitmaps.missing_downs(bitmaps.version_words(fx.history(spark, sf)), _actions(spark, sf, True),
+                                 _fleet_scripts(spark, sf, True))
+
+
 @register("plan_up")
 def q_plan_up(spark, sf):
     return pl.plan_up(_actions(spark, sf), _fleet_scripts(spark, sf), fx.hooks(spark, sf))
@@ -314,6 +362,26 @@ def q_repair_keep(spark, sf):
     return hist.repair(fx.history(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf), REPAIR_AT, False)
 
 
+@register("repair_changes_reset")
+def q_repair_changes_reset(spark, sf):
+    return hist.repair_changes(fx.history(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf), REPAIR_AT, True)
+
+
+@register("repair_changes_keep")
+def q_repair_changes_keep(spark, sf):
+    return hist.repair_changes(fx.half_repaired(spark, sf), fx.scripts(spark, sf), fx.targets(spark, sf), REPAIR_AT, False)
+
+
+@register("stored_history")
+def q_stored_history(spark, sf):
+    """Two batches of the log applied to a history stored in buckets."""
+    name = f"stored_history_{uuid.uuid4().hex}"
+    tables.ensure_bucketed_history(spark, name, 16, f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+    for batch in _halves(spark, sf):
+        tables.apply_log(spark, batch, name)
+    return spark.table(name).drop(tables.BUCKET)
+
+
 @register("effective_failfast")
 def q_effective_failfast(spark, sf):
     return effective_steps(fx.log(spark, sf)).select(*LOG_COLS)

@@ -593,7 +593,7 @@ FROM history h FULL OUTER JOIN early_wanted w ON w.target_id = h.target_id AND w
 
 SQL["repair_changes_reset"] = _repair_difference("history", _with(*MAIN)[:-1], True)
 SQL["repair_changes_keep"] = _repair_difference("half_repaired", _with(*MAIN)[:-1] + _HALF_REPAIRED, False)
-SQL["stored_history"] = SQL["fold_history"]
+SQL["stored_history"] = SQL["imported_history"] = SQL["fold_history"]
 
 SQL["repair_reset"] = _repair(True)
 SQL["repair_keep"] = _repair(False)

@@ -24,7 +24,7 @@ from evolve.plans import planning as pl
 from evolve.plans.effects import effective_steps
 from evolve.plans.migrate import migrate_table
 from evolve.session import checkpoint_dir
-from evolve.sources import tables
+from evolve.sources import databases, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,6 +382,24 @@ def q_stored_history(spark, sf):
     return spark.table(name).drop(tables.BUCKET)
 
 
+@register("imported_history")
+def q_imported_history(spark, sf):
+    """Every target's history, stored on its own, read back as one fleet: a
+    target's Parquet folder stands for its database."""
+    def rows_of(folder):
+        import pyarrow.parquet as pq
+        columns = ["version", "description", "md5_checksum", "success", "executed_at", "repaired_at"]
+        return zip(*(c.to_pylist() for c in pq.read_table(folder, columns=columns, partitioning=None).columns))
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/histories-{uuid.uuid4().hex}"
+    h = fx.history(spark, sf)
+    h.repartition("target_id").write.partitionBy("target_id").parquet(path)
+    folder = path.removeprefix("file:")
+    ids = [r.target_id for r in h.select("target_id").distinct().collect()]  # the configuration of an import
+    found = databases.read_histories(spark, [(i, f"{folder}/target_id={i}") for i in ids], rows_of, 16)
+    return databases.imported_history(found)
+
+
 @register("effective_failfast")
 def q_effective_failfast(spark, sf):
     return effective_steps(fx.log(spark, sf)).select(*LOG_COLS)

@@ -198,26 +198,3 @@ def apply_log(spark: SparkSession, log: DataFrame, table: str) -> list[int]:
             spark.sql(f"ALTER TABLE {table} DROP PARTITION ({BUCKET}={b})")
     spark.catalog.refreshTable(table)
     return touched
-
-
-def import_histories_jdbc(spark: SparkSession, sources: list[tuple[int, str, str, dict]],
-                          num_partitions: int = 4) -> DataFrame:
-    """Read the history tables of live databases into one fleet history.
-
-    ``sources``: (target_id, jdbc_url, table, connection properties) per
-    database.  Each table is read with ``spark.read.jdbc`` split on ``version``
-    into ``num_partitions`` ranges, tagged with its target_id and unioned.
-    Not exercised by the tests: that needs a database server.
-    """
-    parts = []
-    for target_id, url, table, props in sources:
-        df = spark.read.jdbc(url, table, column="version", lowerBound=0, upperBound=65535,
-                             numPartitions=num_partitions, properties=props)
-        parts.append(df.select(F.lit(target_id).cast("long").alias("target_id"),
-                               *[F.col(f.name).cast(f.dataType) for f in schemas.HISTORY.fields[1:]]))
-    if not parts:
-        return spark.createDataFrame([], schemas.HISTORY)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

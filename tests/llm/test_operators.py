@@ -277,6 +277,52 @@ def test_novelty_of_letters_and_beside_base_spans():
     assert secrets.joined(secrets.scan(text)) == "hex:12:44,novel:44:66"
 
 
+def test_words_in_prose_are_no_secrets():
+    """Whole identifier parts make a word sensitive; what is spelled like words stays."""
+    for text in ["The author discussed internationalization", "He passed the Oberverwaltungsgericht.",
+                 "public key rotation: /usr/local/share/ca-certificates/mozilla/Root_CA.crt",
+                 "The monkey saw keyboard-accessibility-guidelines-2019", "key: Donaudampfschifffahrtsgesellschaft",
+                 "my key idea about interdisciplinarity-and-education-2024", "login: src/components/LoginForm/index.tsx",
+                 "Access to https://www.example.org/research/publications/2021/annual-report.html",
+                 "the secret of counterrevolutionaries, the token antidisestablishmentarianism"]:
+        assert secrets.scan(text) == [], text
+
+
+def test_short_values_and_context():
+    assert novel("bearer: abc123def456ghi") == ["abc123def456ghi"]
+    assert novel("api key 'x9f8Ks0qLm2'") == ["x9f8Ks0qLm2"]
+    assert novel("the key to room 9f8Ks0qLmZx72TtWqPe1Hh3B") == ["9f8Ks0qLmZx72TtWqPe1Hh3B"]
+    assert novel("the key to aFewWordsThatAreJoinedHere") == novel("key: 2019-2020-2021") == []
+
+
+def test_words_against_keys(spark):
+    """The threshold: random keys of several alphabets are found, words of the given corpus aren't."""
+    rnd = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = secrets.identifier_dictionary(docs)
+    assert 1000 < len(words) <= secrets.DICTIONARY_BYTES
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+                 "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    keys = ["".join(rnd.choice(a) for _ in range(rnd.randint(20, 40))) for a in alphabets for _ in range(100)]
+    found = [bool([s for s in secrets.scan(f"signing key: {k}", words) if s[0] == "novel"]) for k in keys
+             if not secrets.base_spans(f"signing key: {k}")]
+    assert sum(found) >= 0.98 * len(found)
+    texts_ = [r.text or "" for r in docs.select("text").collect()]
+    long_words = sorted({w for t in texts_ for w in re.findall(r"[A-Za-z]{12,}", t)})
+    joined_words = ["_".join(rnd.sample(long_words, 3)) for _ in range(300)]
+    wrong = [w for w in long_words + joined_words if secrets.scan(f"signing key: {w}", words)]
+    assert len(wrong) <= 0.04 * len(long_words + joined_words)
+
+
+def test_every_span_is_measured(docs):
+    """Base values too: one novelty a span, low for what the surroundings explain."""
+    for r in secrets.secret_scans(docs).collect():
+        assert len(r.novelty) == len([s for s in r.spans.split(",") if s])
+    (a, b) = secrets.measured('password = "authorization_authentication" secret: 9f8Ks0qLmZx72Tt')
+    assert a[0] == b[0] == "assign" and a[3] < .6 < b[3]
+    assert secrets.identifier_dictionary(docs.limit(0)) == ""
+
+
 def test_redaction(docs):
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -11,7 +11,9 @@ with at most ``edits`` edits.  By the pigeonhole principle, a notice split
 into edits + 1 pieces has one piece without an edit, so plain substring
 search for the pieces finds every place a match can be; the regex library's
 bounded-error matching then verifies a window around each, and gives the
-span and the edits.  ``score`` is 1 - edits / length of the best match (1 for
+span and the edits.  Edits don't decide the licence: the words of a notice that
+tell it from its relatives (a version, ``nc``, ``lesser``) must stand in the match
+unchanged (:class:`Notice`).  ``score`` is 1 - edits / length of the best match (1 for
 a fixed phrase, 0 without any).
 
 Every text is scanned whole, in place: no shuffle, and memory is that of about
@@ -37,19 +39,42 @@ from evolve.llm.common import ship, slices, utf8
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Notices that name a licence, as words joined by spaces, and their labels.
-NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under the creative commons attribution": "cc-by",
-    "licensed under the gnu general public license version 3": "gpl-3.0",
-    "redistribution and use in source and binary forms": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
-    "licensed under the gnu lesser general public license": "lgpl",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-}
+@dataclass(frozen=True)
+class Notice:
+    """A notice that names a licence, as words joined by spaces.  Edits may
+    fall anywhere but on ``exact``, the words that tell its licence from its
+    relatives, which must stand in the match as they are; a match that one of
+    ``not_before`` follows is a relative's."""
+    label: str
+    text: str
+    exact: tuple[str, ...] = ()
+    not_before: tuple[str, ...] = ()
+
+
+_CC_PARTS = ("nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike", "non", "no", "share")
+_GNU = "licensed under the gnu {}general public license version {}"
+
+# The default notices; every function takes others.
+NOTICES = (
+    Notice("apache-2.0", "licensed under the apache license version 2 0", ("2",)),
+    Notice("apache-1.1", "licensed under the apache license version 1 1", ("1", "1")),
+    Notice("mit", "released under the mit license", ("mit",)),
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    *(Notice(f"cc-by{''.join('-' + p for p in parts)}-4.0", " ".join(("licensed under cc by", *parts, "4 0")),
+             ("cc", "by", *parts, "4"))
+      for parts in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd"))),
+    Notice("cc-by", "licensed under the creative commons attribution", (), _CC_PARTS),
+    Notice("cc-by-nc", "licensed under the creative commons attribution noncommercial", ("noncommercial",), _CC_PARTS),
+    Notice("cc-by-sa", "licensed under the creative commons attribution sharealike", ("sharealike",)),
+    Notice("cc-by-nd", "licensed under the creative commons attribution noderivatives", ("noderivatives",)),
+    *(Notice(f"{name}-{version}.0", _GNU.format(word, version), (*word.split(), version))
+      for name, word, versions in (("gpl", "", "23"), ("lgpl", "lesser ", "23"), ("agpl", "affero ", "3"))
+      for version in versions),
+    Notice("lgpl", "licensed under the gnu lesser general public license", ("lesser",), ("version", "v2", "v3")),
+    Notice("bsd", "redistribution and use in source and binary forms"),
+    Notice("mpl", "subject to the terms of the mozilla public license", ("mozilla",)),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain"),
+)
 CHARS_PER_EDIT = 12
 
 WORD_BYTE = np.zeros(256, bool)
@@ -117,7 +142,7 @@ def fuzzy(body: bytes, notice: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan_batch(column) -> list[tuple[int, list[tuple[int, str]], list[Match]]]:
+def scan_batch(column, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, list[tuple[int, str]], list[Match]]]:
     """(n_words, base places as (word number, label), notice matches) per row."""
     data, offsets = utf8(column)
     # a separator after each row: no word or phrase end runs into the next row
@@ -146,22 +171,36 @@ def scan_batch(column) -> list[tuple[int, list[tuple[int, str]], list[Match]]]:
     for row in range(len(offsets) - 1):
         part = normal[cut[row]:cut[row + 1]]
         matches = []
-        for notice, label in NOTICES.items():
-            for a, b, edits in fuzzy(part, notice):
+        for notice in notices:
+            for a, b, edits in fuzzy(part, notice.text):
+                if not is_that(part, a, b, notice):
+                    continue
                 lo, hi = int(kept[cut[row] + a]), int(kept[cut[row] + b - 1]) + 1
                 text = data[offsets[row]:lo].tobytes().decode("utf-8", "ignore")
                 span = data[lo:hi].tobytes().decode("utf-8", "ignore")
                 at = max(0, int(np.searchsorted(starts, lo, side="right")) - 1 - int(first[row]))
-                matches.append(Match(label, at, len(text), len(text) + len(span), edits, len(notice)))
+                matches.append(Match(notice.label, at, len(text), len(text) + len(span), edits, len(notice.text)))
         out.append((int(first[row + 1] - first[row]), sorted(base.get(row, [])), matches))
     return out
 
 
+def is_that(part: bytes, start: int, end: int, notice: Notice) -> bool:
+    """Whether a match in normalised bytes holds the notice's exact words, and
+    none follows that makes it another licence's."""
+    while start and part[start - 1:start] != b" ":   # whole words
+        start -= 1
+    stop = part.find(b" ", end - 1)
+    stop = len(part) if stop < 0 else stop
+    words = part[start:stop].decode("utf-8", "ignore").split()
+    after = part[stop:stop + 40].decode("utf-8", "ignore").split()[:1]
+    return all(words.count(w) >= notice.exact.count(w) for w in notice.exact) and not set(after) & set(notice.not_before)
+
+
 def score(base, matches: list[Match]) -> float:
     return max([1.0 if base else 0.0] + [1 - m.edits / m.length for m in matches])
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """``doc_id, found``: every place with its label, span and edits."""
     ship(docs.sparkSession)
     kind = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("start", pa.int64()),
@@ -170,7 +209,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             found = [[dict(label=m.label, first_word=m.first_word, start=m.start, end=m.end, edits=m.edits)
-                      for m in matches] for _, _, matches in scan_batch(b.column(1))]
+                      for m in matches] for _, _, matches in scan_batch(b.column(1), notices)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "found"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -178,7 +217,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def license_scans(docs: DataFrame) -> DataFrame:
-    """The query's rows for every document."""
+    """The query's rows for every document; ``spans`` lists the notices as
+    label:start:end:edits, comma-joined."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -189,13 +229,15 @@ def license_scans(docs: DataFrame) -> DataFrame:
                 labels = {x for _, x in base}
                 rows.append((n, len(base), min(places, default=None), max(places, default=None),
                              ",".join(sorted(labels)), ",".join(sorted(labels | {m.label for m in matches})),
-                             score(base, matches)))
-            columns = list(zip(*rows)) or [()] * 7
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+                             score(base, matches),
+                             ",".join(f"{m.label}:{m.start}:{m.end}:{m.edits}"
+                                      for m in sorted(matches, key=lambda m: (m.start, m.end, m.label)))))
+            columns = list(zip(*rows)) or [()] * 8
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)] + [pa.array(c, t) for c, t in zip(columns, types)],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-             "labels string, score double")
+             "labels string, score double, spans string")

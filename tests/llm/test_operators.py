@@ -368,6 +368,55 @@ def test_fuzzy_notice_finds_every_match_within_the_bound():
     assert [(m.label, m.start, m.edits) for m in found] == [("apache-2.0", 5, 2)]
 
 
+def test_notices_of_relatives_keep_their_own_label():
+    """A version or a part of the name is never an edit away."""
+    for text, want in [("Licensed under the GNU General Public License, version 2", {"gpl-2.0"}),
+                       ("licenced under the GNU General Public Licence, version 3.", {"gpl-3.0"}),
+                       ("Licensed under the GNU Lesser General Public License version 3", {"lgpl-3.0"}),
+                       ("Licensed under the GNU Affero General Public License version 3", {"agpl-3.0"}),
+                       ("Licensed under the Apache License, Version 1.1", {"apache-1.1"}),
+                       ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
+                       ("licensed under CC BY-SA 4.0", {"cc-by-sa-4.0"}), ("licensed under CC BY-ND 4.0", {"cc-by-nd-4.0"}),
+                       ("licensed under CC BY-NC 4.0", {"cc-by-nc-4.0"}), ("licensed under CC BY 4.0", {"cc-by-4.0"}),
+                       ("licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa-4.0"}),
+                       ("licensed under the Creative Commons Attribution license", {"cc-by"}),
+                       ("licensed under the Creative Commons Attribution-ShareAlike license", {"cc-by-sa"}),
+                       ("released under the MTI license", set()), ("released under the MIT licence", {"mit"})]:
+        (_, _, found), = licenses.scan_batch(pa.array([text]))
+        assert {m.label for m in found} == want, (text, found)
+
+
+def test_notices_against_a_plain_search():
+    """Every notice in random surroundings with random edits, against the
+    error-bounded pattern over the whole text, exact words checked the same way."""
+    rnd = random.Random(12)
+    for notice in licenses.NOTICES:
+        edits, _, pattern = licenses._compiled(notice.text)
+        for _ in range(25):
+            s = list(notice.text)
+            for _ in range(rnd.randint(0, edits + 2)):
+                i = rnd.randrange(len(s))
+                s[i:i + 1] = rnd.choice([[], ["q"], [s[i], "q"]])
+            filler = [" ".join(rnd.choice(["some", "licensed", "words", "license", "2", "public"])
+                               for _ in range(rnd.randint(0, 8))) for _ in range(2)]
+            body = " ".join(filter(None, [filler[0], "".join(s), filler[1]])).encode()
+            m = pattern.search(body)
+            assert bool(licenses.fuzzy(body, notice.text)) == bool(m), body
+            if m:
+                best = min(e for _, _, e in licenses.fuzzy(body, notice.text))
+                assert best == sum(m.fuzzy_counts), body
+
+
+def test_other_notices(spark):
+    mine = (licenses.Notice("house", "only for use inside this house"),)
+    df = spark.createDataFrame([(1, "x ONLY for use insid this house, y"), (2, "released under the mit license")],
+                               "doc_id long, text string")
+    got = {r.doc_id: [(f.label, f.start, f.end, f.edits) for f in r.found] for r in licenses.scanned(df, mine).collect()}
+    assert got == {1: [("house", 2, 31, 1)], 2: []}
+    rows = {r.doc_id: r.spans for r in licenses.license_scans(df).collect()}
+    assert rows == {1: "", 2: "mit:0:30:0"}
+
+
 def test_fuzzy_notices_side_by_side():
     notice = "licensed under the apache license version 2 0"
     one, two = notice.replace("apache", "apche"), notice.replace("license version", "licence vrsion")

@@ -10,11 +10,18 @@ bucket, unlinks the right part and files the two new pairs; entries whose
 parts have changed since are stale and skipped.  So a pre-token of n bytes
 takes about n log n steps, where a scan for the smallest rank takes n * n.
 
+Pre-tokens are those of the tiktoken library.  The regex library knows a newer
+Unicode, so some code points are letters or numbers to it and not to tiktoken;
+they are found once on the driver, from tiktoken's own answers
+(:func:`unlike_classes`).  A text in which one shows up in a pre-token is split
+again with these code points taken out of the classes.
+
 Pre-tokens repeat, so a worker remembers their ids, in two generations of at
 most ``REMEMBER`` entries each: memory is bounded and results don't depend on
 what is remembered.
 
-Defined results: null text is the empty text (0 ids, digest of nothing);
+Defined results: null text is the empty text (0 ids, digest of nothing); a very
+long text is encoded whole, its ids in memory at once;
 repeated rows are encoded one by one; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -31,6 +38,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +55,11 @@ IN_BLOCK = (1 << BLOCK) - 1
 class BytePairs:
     """An encoder and decoder for one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, unlike: str = ""):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        self.unlike = regex.compile(f"[{unlike}]").search if unlike else lambda piece: None
+        self.exact_split = regex.compile(without(pattern, unlike), regex.V1).findall
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -137,18 +147,49 @@ class BytePairs:
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
+                    if self.unlike(pieces[i]):  # such a piece is never remembered
+                        return b"".join(map(self._exact, self.exact_split(text)))
                     found[i] = self.young.get(pieces[i]) or self.packed(pieces[i])
         return b"".join(found)
 
+    def _exact(self, piece: str) -> bytes:
+        if self.unlike(piece):
+            merged = self.merge(piece.encode())
+            return struct.pack(f"<{len(merged)}I", *merged)
+        return self.young.get(piece) or self.packed(piece)
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.cache
-def load_ranks(path: str) -> BytePairs:
+def unlike_classes() -> str:
+    """The code points that the regex library counts as letters or numbers and
+    tiktoken doesn't, as the inside of a character class."""
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    unlike: set[str] = set()
+    for group in (r"\p{L}", r"\p{N}"):
+        byte = tiktoken.Encoding("class", pat_str=group, mergeable_ranks={bytes([i]): i for i in range(256)},
+                                 special_tokens={})
+        theirs = byte.decode_bytes(byte.encode_ordinary(everything)).decode()  # what doesn't match has no ids
+        unlike |= set(regex.findall(group, everything)) - set(theirs)
+    points = np.array(sorted(map(ord, unlike)), np.int64)
+    runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1) if len(points) else []
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
+
+def without(pattern: str, unlike: str) -> str:
+    """The pattern (for regex.V1) with letters and numbers without some code points."""
+    if not unlike:
+        return pattern
+    return regex.sub(r"\\p\{([LN])\}", lambda m: rf"[\p{{{m[1]}}}--[{unlike}]]", pattern)
+
+
+@functools.cache
+def load_ranks(path: str, unlike: str = "") -> BytePairs:
     with open(path, "rb") as f:
         lines = [line.split() for line in f if line.strip()]
-    return BytePairs({base64.b64decode(token): int(rank) for token, rank in lines})
+    return BytePairs({base64.b64decode(token): int(rank) for token, rank in lines}, unlike=unlike)
 
 
 def encoded(docs: DataFrame, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -157,9 +198,10 @@ def encoded(docs: DataFrame, ranks_path: str | None = None, with_ids: bool = Fal
     ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" if with_ids else ""
+    unlike = unlike_classes()
 
     def run(batches):
-        bpe = load_ranks(path)
+        bpe = load_ranks(path, unlike)
         for b in slices(batches):
             count, sent, back, kept = [], [], [], []
             for text in b.column(1):

@@ -233,6 +233,23 @@ def test_little_padding():
     assert sum(sizes) / (2048 * len(packing.pack(sizes, 2048))) > 0.99
 
 
+def test_bpe_splits_as_tiktoken_for_every_code_point():
+    """Each code point between letters, digits, spaces and signs."""
+    path = tokens.public_path(bpe.RANKS)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mine = bpe.load_ranks(path, bpe.unlike_classes())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for around in ("a{}b {}1", ".{} {}\n"):
+        # many in one text, apart from each other; a text that differs is looked at one by one
+        for at in range(0, len(points), 4096):
+            text = "\u0001".join(around.replace("{}", chr(c)) for c in points[at:at + 4096])
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode_ordinary(text), (around, hex(points[at]))
+    text = "\U00010ee7a and \U00010ee7 1\u124752 a"
+    assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_secrets(docs):
     for r in secrets.secret_scans(docs).collect():
         (t,) = {t or "" for d, t in texts(docs) if d == r.doc_id}

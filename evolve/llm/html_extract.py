@@ -3,8 +3,10 @@
 A page's text is cut into lines at block elements.  Lines inside elements
 that say they aren't the article (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts: by tag, role, class or id) are dropped.
-Inside a main or article only adverts, forms and comments are dropped by
-class or id; under the other names the lines are open.
+Inside a main or article only forms, and adverts and reader comments by a whole
+class or id (``ad``, ``comment-list``; not ``ad-hoc-networks``, nor the comments of
+highlighted code), are dropped; under the other names, and in an article's own
+``aside`` and ``footer``, the lines are open.  Formulas keep their text.
 Where the page marks its article, or its ``main``, the text is that of the
 element that holds the most of it, or of the whole page if more stands in
 neither.  A single article that is most of that element is kept whole; lines
@@ -31,7 +33,8 @@ hashes; the lines are shuffled once, to meet the indexes of the shared ones.
 The html itself is never shuffled.
 
 Defined results: null or empty html gives an empty text; a null or unusual
-url has no host and no neighbour; repeated rows are one page among neighbours
+url has no host and no neighbour; a very long page is worked through whole (its
+alignment in linear memory); repeated rows are one page among neighbours
 and each give their row; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -55,7 +58,7 @@ REACH = 2     # neighbours on each side
 AT_ONCE = 64  # pages whose line hashes are Python objects at a time
 
 # Element names of HTML and the names that pages give to parts.
-RAW = "script style noscript template textarea iframe svg math object title xmp noembed noframes"
+RAW = "script style noscript template textarea iframe svg object title xmp noembed noframes"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt
 fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
@@ -71,24 +74,39 @@ sharing social popup modal overlay widget widgets toolbar pagination pager paywa
 # Of these, what goes inside a main or article whatever the neighbours say.
 NOT_ARTICLE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo
 promos comment comments commentlist disqus""".split())
+# With these, such a name makes a compound name: ad-slot, comments_section.
+PLACES = frozenset("""area bar block body bottom box container form google holder inline inner item items left list main
+outer right section slot thread top unit wrap wrapper""".split())
+INLINE = frozenset("a abbr b bdi cite code dfn em i kbd mark pre q s samp small span strong sub sup u var".split())
 CONTENT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?:svg|math)\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*)"
+    r"<!--(?:.*?-->|.*)|<svg\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAMES = re.compile(r"[A-Za-z0-9]+")
 
 
+def _names_one(tag: str, value: str, names: frozenset[str]) -> bool:
+    """Whether a whole class or id is one of the names, alone or with a place;
+    comments in inline elements and code are those of highlighted source text."""
+    for name in value.split():
+        words = set(_NAMES.findall(name))
+        if words & names and words <= names | PLACES:
+            if tag not in INLINE or not words & {"comment", "comments"}:
+                return True
+    return False
+
+
 def _says_not_text(tag: str, attributes: str, in_content: bool, in_article: bool) -> tuple[bool, bool]:
     """Whether an element isn't text, and whether that is in doubt: inside a
     main or article most names are also those of the article's own parts."""
-    if tag in NOT_TEXT or (tag == "header" and not in_article):
+    doubt = in_article and tag in ("aside", "footer")
+    if tag in NOT_TEXT and not doubt or (tag == "header" and not in_article):
         return True, False
-    doubt = False
     if not attributes.strip():
-        return False, False
+        return False, doubt
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -99,9 +117,10 @@ def _says_not_text(tag: str, attributes: str, in_content: bool, in_article: bool
             return True, False
         if name in ("class", "id") and tag not in CONTENT - {"article"}:
             names = set(_NAMES.findall(value))
-            if names & (NOT_ARTICLE_NAMES if in_content else NOT_TEXT_NAMES) or ("header" in names and not in_article):
+            said = _names_one(tag, value, NOT_ARTICLE_NAMES) if in_content else names & NOT_TEXT_NAMES
+            if said or ("header" in names and not in_article):
                 return True, False
-            doubt = doubt or bool(names & NOT_TEXT_NAMES)
+            doubt = doubt or _names_one(tag, value, NOT_TEXT_NAMES)
     return False, doubt
 
 

@@ -45,7 +45,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evolve.llm.common import ship, slices, texts_of
@@ -109,7 +109,7 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", max_bytes: in
     """The words of 6 to 32 characters that the most documents hold (two at
     least), as many as ``max_bytes`` take, the most common last, where a match
     costs least.  All texts are counted, with partial sums in every task; the
-    driver receives ``max_bytes`` / 6 words at most."""
+    driver receives 64 x ``max_bytes`` / 6 words at most."""
     ship(docs.sparkSession)
 
     def words(batches):
@@ -121,9 +121,13 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", max_bytes: in
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
                                              ["word", "n"])
 
-    top = (docs.select(F.col(text_col).alias("text")).mapInArrow(words, "word string, n long")
-           .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-           .orderBy(F.desc("n"), "word").limit(max_bytes // 6).collect())
+    most = max_bytes // 6
+    counts = (docs.select(F.col(text_col).alias("text")).mapInArrow(words, "word string, n long")
+              .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # the first of each of 64 parts, so that what the driver merges doesn't grow with the partitions
+    part = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
+    top = (counts.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= most)
+           .orderBy(F.desc("n"), "word").limit(most).collect())
     kept, size = [], 0
     for r in top:
         size += len(r.word) + 1

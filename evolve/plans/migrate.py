@@ -62,6 +62,7 @@ class Outcome:
     table: DataFrame
     log: list[tuple] = field(default_factory=list)
     checksums: dict[int, str] = field(default_factory=dict)  # of the UP changes
+    rows: dict[int, int] = field(default_factory=dict)       # written per published version, if the publisher counts
     rolled_back: bool = False
 
     @property
@@ -76,8 +77,10 @@ class Outcome:
         schema = T.StructType([
             T.StructField("step", T.IntegerType()), T.StructField("kind", T.StringType()),
             T.StructField("version", T.IntegerType()), T.StructField("name", T.StringType()),
-            T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType())])
-        return spark.createDataFrame(self.log, schema)
+            T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType()),
+            T.StructField("rows", T.LongType())])
+        written = [self.rows.get(v) if k in ("UP", "DOWN") and ok else None for _, k, v, _, ok, _ in self.log]
+        return spark.createDataFrame([(*entry, n) for entry, n in zip(self.log, written)], schema)
 
 
 @dataclass(frozen=True)
@@ -249,8 +252,11 @@ def migrate_table(spark: SparkSession, df: DataFrame, changes: list[Change], sta
         if idle():            # the version that was due turned out to fail
             return table
         row = due()
-        back = publish(table, out.log[row][2])
+        version = out.log[row][2]
+        back = publish(table, version)
         done = row
+        if version in getattr(publish, "rows", {}):
+            out.rows[version] = publish.rows[version]
         return table if back is None else back
 
     def published() -> bool:

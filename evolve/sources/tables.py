@@ -16,7 +16,7 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,10 +131,14 @@ def publish_table(spark: SparkSession, df: DataFrame, table: str) -> None:
 def publisher(spark: SparkSession, table: str):
     """``publish`` callback for :func:`evolve.plans.migrate.migrate_table`: write
     the table after every version (the non-transactional mode) and go on from
-    the written files."""
+    the written files.  ``publish.rows`` holds the rows written per version,
+    counted by the write job itself."""
     def publish(df: DataFrame, version: int) -> DataFrame:
-        publish_table(spark, df, table)
+        counted = Observation()
+        publish_table(spark, df.observe(counted, F.count(F.lit(1)).alias("rows")), table)
+        publish.rows[version] = counted.get["rows"]
         return spark.read.parquet(_table_info(spark, table)["Location"])
+    publish.rows = {}
     return publish
 
 

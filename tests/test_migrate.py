@@ -129,3 +129,20 @@ def test_failing_hooks_and_rollbacks_have_their_texts_and_reach_the_log(spark):
     assert [r.direction for r in effective_steps(events).collect()] == ["BEFORE_VERSION"]
     rows = fold_history(effective_steps(events, force=True)).collect()
     assert [(r.version, r.success) for r in rows] == [(1, True)] and rows[0].md5_checksum == out.checksums[1]
+
+
+def test_rows_written_are_counted_by_the_write(spark):
+    """One job writes and counts each version; the log carries the numbers."""
+    from evolve.sources.tables import publisher
+    df = spark.range(100).withColumnRenamed("id", "a")
+    changes = [Change(1, "SELECT a, a % 7 AS b FROM {t}"), Change(2, "SELECT * FROM {t} WHERE b < 3"),
+               Change(3, "SELECT nope FROM {t}"), Change(4, "SELECT * FROM {t} WHERE a < 10")]
+    out = migrate_table(spark, df, changes, 0, 4, force=True, publish=publisher(spark, "counted_each"))
+    want = {1: 100, 2: sum(a % 7 < 3 for a in range(100)), 4: sum(a % 7 < 3 for a in range(10))}
+    assert out.rows == want
+    assert [(r.version, r.success, r.rows) for r in out.log_frame(spark).collect()] == [
+        (1, True, want[1]), (2, True, want[2]), (3, False, None), (4, True, want[4])]
+    assert spark.table("counted_each").count() == want[4]
+    # without a publisher that counts there are no numbers
+    plain = migrate_table(spark, df, changes[:2], 0, 2)
+    assert plain.rows == {} and [r.rows for r in plain.log_frame(spark).collect()] == [None, None]

@@ -1,6 +1,7 @@
 """Folder loading, templates, history tables."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,31 @@ def test_checksum_of_a_file_that_is_not_utf8(spark, tmpdir_path):
     got = {r.version: r.md5_checksum for r in load_scripts(classify_files(
         read_script_files(spark, {"p": [tmpdir_path]}))).collect()}
     assert got == {1: hashlib.md5(raw).hexdigest(), 2: hashlib.md5(b"SELECT 1").hexdigest()}
+
+
+def test_locations_as_a_relation(spark, tmpdir_path):
+    """Roots scanned once, folders met by a join: sub-folders, shared, silent and unlisted folders."""
+    import os
+
+    from evolve.sources.files import read_script_files, read_script_roots, silent_locations
+    texts = {"a/V1_x.sql": "one", "a/sub/V2_y.sql": "two", "a/notes.md": "no", "b/V1_z.sql": "é", "c/V9_unlisted.sql": "nine"}
+    for name, text in texts.items():
+        os.makedirs(os.path.join(tmpdir_path, os.path.dirname(name)), exist_ok=True)
+        with open(os.path.join(tmpdir_path, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    os.makedirs(os.path.join(tmpdir_path, "empty"))
+    listed = [("p", f"{tmpdir_path}/a"), ("p", f"file://{tmpdir_path}//a/sub/"), ("q", f"{tmpdir_path}/b/"),
+              ("r", f"{tmpdir_path}/b"), ("r", f"{tmpdir_path}/empty"), ("r", f"{tmpdir_path}/missing"), ("q", f"{tmpdir_path}/b")]
+    locations = spark.createDataFrame(listed, "project string, location string")
+    files = read_script_roots(spark, [tmpdir_path], locations)
+    rows = lambda df: sorted((r.project, r.file_name, r.content) for r in df.collect())
+    assert rows(files) == [("p", "V1_x.sql", "one"), ("p", "V2_y.sql", "two"), ("q", "V1_z.sql", "é"), ("r", "V1_z.sql", "é")]
+    assert sorted(map(tuple, silent_locations(spark, files, locations).collect())) == [
+        ("r", f"{tmpdir_path}/empty"), ("r", f"{tmpdir_path}/missing")]
+    # the same as the folder lists of a single project
+    plain = read_script_files(spark, {"p": [f"{tmpdir_path}/a", f"{tmpdir_path}/a/sub"]})
+    assert rows(plain) == [r for r in rows(files) if r[0] == "p"]
+    # the scan that meets the folders reads names alone
+    plan = read_script_roots(spark, [tmpdir_path], locations)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan binaryFile.*?ReadSchema: (\S+)", plan)
+    assert sorted(scans) == ["struct<path:string,content:binary>", "struct<path:string>"], plan

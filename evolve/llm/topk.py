@@ -23,7 +23,9 @@ No bitmaps or vectors go to the driver.
 Defined results: rows whose vec_id or vector is null, or whose vector holds
 null or non-finite components, take no part; vectors of another length than
 the query's aren't its candidates; repeated rows (same vec_id and vector) of
-a query ask once, of a candidate count once each; an empty table gives an
+a query ask once, of a candidate count once each; floor(1024 * x) beyond 64 bits
+is the nearest long, and so is a score beyond them (large values are scored
+row by row, in whole numbers of any size); an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -45,6 +47,7 @@ BLOCK = 16384
 QUERY_BLOCK = 128
 SLICES = 8
 DIGITS = 3
+LARGE = 1 << 61  # products of larger sums are taken in whole numbers of any size
 
 
 def _signed_digits(value: int, digits: int) -> list[tuple[int, int]]:
@@ -67,6 +70,9 @@ class Block:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
         self.rows, dims = values.shape
+        self.top = max((abs(int(x)) for x in (values.max(), values.min())), default=0) if values.size else 0
+        if self.top >= LARGE:
+            return   # differences may pass 64 bits: such a block is scored exactly
         self.low = values.min(axis=0) if self.rows else np.zeros(dims, np.int64)
         self.spread = (values.max(axis=0) - self.low) if self.rows else self.low
         top = int(self.spread.max()) if self.rows and dims else 0
@@ -160,6 +166,8 @@ class Block:
         own = int(np.count_nonzero(self.ids == own_id))
         if self.rows - own <= 0:
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        if self.top >= LARGE or self.top * sum(map(abs, query.tolist())) >= LARGE:
+            return self._exact(own_id, query, k)
         sums, width = self.sums(query)
         wanted = min(k + own, self.rows)
         bound = self.kth(sums, wanted) - width if sums else 0
@@ -170,6 +178,16 @@ class Block:
         return self.ids[rows][order], scores[order]
 
 
+    def _exact(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``best``, in whole numbers of any size: scores beyond 64 bits
+        count as the nearest long."""
+        others = np.flatnonzero(self.ids != own_id)
+        q = query.tolist()
+        scores = [max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(v, q)))) for v in self.values[others].tolist()]
+        order = sorted(range(len(others)), key=lambda i: (-scores[i], self.ids[others[i]]))[:k]
+        return self.ids[others[order]], np.array([scores[i] for i in order], np.int64)
+
+
 def quantised(vectors: DataFrame) -> DataFrame:
     """``vec_id, dims, v`` (integers) of the rows that take part."""
     e = F.col("embedding")

@@ -464,6 +464,32 @@ def test_token_counts(docs, library, tmpdir_path, spark, monkeypatch):
     assert spark.read.parquet(path).count() == 2 * stored and len(other) == len(want)
 
 
+def test_token_counts_of_a_sentencepiece_model(docs, tmpdir_path):
+    import sentencepiece
+    path = tokens.public_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = token_counts.counted(docs, "file://" + tmpdir_path + "/pieces", path)
+    want = [(d, len((t or "").encode()), len(library.encode(t or ""))) for d, t in texts(docs)]
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_topk_of_large_values(spark):
+    """Components and products beyond 64 bits: exact below, the nearest long beyond."""
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([-1, 1]) * 2.0 ** rnd.choice([0, 10, 20, 30, 40, 52, 70]) for _ in range(3)]) for i in range(300)]
+    rows += [(400, [2.0 ** 30, -2.0 ** 30, 1.0]), (500, [1e300, -1e308, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clamp = lambda x: max(-2 ** 63, min(2 ** 63 - 1, x))
+    whole = lambda x: clamp(int(1024 * x) if abs(x) < 1e300 else (2 ** 63 if x > 0 else -2 ** 63))
+    v = {i: [whole(x) for x in e] for i, e in rows}
+    want = []
+    for q in [i for i in v if i % 100 == 0]:
+        scores = sorted((-clamp(sum(a * b for a, b in zip(v[q], v[c]))), c) for c in v if c != q)
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(scores[:10], 1)]
+    assert rows_of(topk.exact_topk(df)) == sorted(want, key=repr)
+    assert rows_of(topk.top_k(df, block=50)) == sorted(want, key=repr)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(7)
     rows = [(int(i), [float(x) for x in rng.normal(0, .2, 8)]) for i in rng.permutation(500)]

@@ -31,6 +31,7 @@ from evolve.operators.history import fold_history, repair
 BLOCK = 10_000  # documents of one source in one project
 
 _MEMO: dict = {}
+MEMO_SIZE = 256  # plans kept; the oldest goes first
 
 
 def memo(fn):
@@ -41,7 +42,10 @@ def memo(fn):
     def wrapper(spark, *args, **kwargs):
         key = (fn.__name__, spark.sparkContext.applicationId, id(spark), args, tuple(sorted(kwargs.items())))
         if key not in _MEMO:
-            _MEMO[key] = fn(spark, *args, **kwargs)
+            made = fn(spark, *args, **kwargs)
+            while len(_MEMO) >= MEMO_SIZE:
+                del _MEMO[next(iter(_MEMO))]
+            _MEMO[key] = made
         return _MEMO[key]
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__

@@ -1,8 +1,8 @@
-"""The reference's whole-pipeline scenario, on one target, end to end:
-folder -> load -> gate / action / plan -> outcomes -> effective steps ->
-stored history -> status / repair -> new versions -> down and up again.
+"""One project over its life, end to end: folder -> load -> gate / action /
+plan -> outcomes -> effective steps -> stored history -> repair -> renamed and
+new scripts -> down as far as there are DOWN scripts -> a failing transaction.
 
-Executing a script is simulated: a step fails when its text is INVALID SQL.
+Executing a script is simulated: a step fails when its text says so.
 """
 
 import datetime as dt
@@ -58,7 +58,7 @@ def _run(spark, folder, run_no, down=False, destination=None, force=False, in_tr
     log = steps.select(
         (F.lit(run_no * 1000) + F.col("step")).cast("long").alias("event_id"), "target_id", "version",
         F.col("kind").alias("direction"), "description", "md5_checksum",
-        (F.col("content") != "INVALID SQL").alias("success"),
+        (~F.col("content").contains("-- fails")).alias("success"),
         (F.lit(T0 + dt.timedelta(days=run_no)).cast("timestamp_ntz")
          + F.make_dt_interval(secs=F.col("step").cast("decimal(18,6)"))).alias("executed_at"))
     kept = effective_steps(log, force=force, in_transaction=in_transaction)
@@ -67,34 +67,54 @@ def _run(spark, folder, run_no, down=False, destination=None, force=False, in_tr
     return ("failed" if failed else "ok"), read_history(spark, TABLE).count()
 
 
-def test_whole_pipeline(spark, tmpdir_path):
-    folder = tmpdir_path
+def test_a_project_over_its_life(spark, tmpdir_path):
     spark.sql(f"DROP TABLE IF EXISTS {TABLE}")
-    _write(folder, "V001_example.sql", "INVALID SQL")
-    _write(folder, "V002_test2.sql", "CREATE TABLE test2 (id INT)")
-    # in a transaction the failure rolls everything back
-    assert _run(spark, folder, 1) == ("failed", 0)
-    # forced, without a transaction: both recorded, one failing
-    assert _run(spark, folder, 2, force=True, in_transaction=False) == ("failed", 2)
-    assert hist.failing(read_history(spark, TABLE)).count() == 1
-    # the failing row blocks the next run
-    assert _run(spark, folder, 3)[0] == "blocked"
-    # fix the script, repair: nothing failing, no drift
-    _write(folder, "V001_example.sql", "CREATE TABLE test1 (id INT)")
+    folder = tmpdir_path
+    texts = {"V1_accounts.sql": "SELECT 'accounts'", "V2_ledger.sql": "SELECT 'ledger'"}
+    for name, text in texts.items():
+        _write(folder, name, text)
+
+    # one version at a time, then nothing to do for that destination
+    assert _run(spark, folder, 1, destination=1) == ("ok", 1)
+    assert _run(spark, folder, 2, destination=1) == ("up_to_date", 1)
+
+    # version 3 fails outside a transaction: 2 stays, 3 is recorded as failed and blocks what follows
+    _write(folder, "V3_fees.sql", "SELECT 'fees' -- fails")
+    assert _run(spark, folder, 3, in_transaction=False) == ("failed", 3)
+    assert [(r.version, r.success) for r in read_history(spark, TABLE).orderBy("version").collect()] == [
+        (1, True), (2, True), (3, False)]
+    assert _run(spark, folder, 4)[0] == "blocked"
+
+    # a repair that keeps the recorded success doesn't help, one that resets it does, with the new text
+    _write(folder, "V3_fees.sql", "SELECT 'fees'")
     scripts, t = _scripts(spark, folder), _targets(spark)
-    write_history(spark, hist.repair(read_history(spark, TABLE), scripts, t, T0 + dt.timedelta(days=4)), TABLE)
-    h = read_history(spark, TABLE)
-    assert hist.failing(h).count() == 0 and checks.drift(h, scripts, t).count() == 0
-    # an edited script is drift and blocks the run at stage 3
-    _write(folder, "V001_example.sql", "CHANGED SQL")
-    assert checks.gate(h, _scripts(spark, folder), t).first().stage == 3
-    # restore, add version 3 and the DOWN scripts, run up: 3 rows
-    _write(folder, "V001_example.sql", "CREATE TABLE test1 (id INT)")
-    _write(folder, "V003_example.sql", "CREATE TABLE test3 (id INT)")
-    for v in (1, 2, 3):
-        _write(folder, f"V00{v}_example.down.sql", f"DROP TABLE test{v}")
-    assert _run(spark, folder, 5) == ("ok", 3)
-    # down to 0, up to 2, down to 1
-    assert _run(spark, folder, 6, down=True) == ("ok", 0)
-    assert _run(spark, folder, 7, destination=2) == ("ok", 2)
-    assert _run(spark, folder, 8, down=True, destination=1) == ("ok", 1)
+    for reset, failing in ((False, 1), (True, 0)):
+        h = read_history(spark, TABLE)
+        write_history(spark, hist.repair(h, scripts, t, T0 + dt.timedelta(days=5), reset), TABLE)
+        assert hist.failing(read_history(spark, TABLE)).count() == failing
+    assert checks.drift(read_history(spark, TABLE), scripts, t).count() == 0
+
+    # a renamed script is drift under its old description
+    os.rename(os.path.join(folder, "V2_ledger.sql"), os.path.join(folder, "V2_book.sql"))
+    renamed = _scripts(spark, folder)
+    assert checks.gate(read_history(spark, TABLE), renamed, t).first().stage == 3
+    assert [(r.version, r.reason) for r in checks.drift_detail(read_history(spark, TABLE), renamed, t).collect()] == [
+        (2, "description")]
+    os.rename(os.path.join(folder, "V2_book.sql"), os.path.join(folder, "V2_ledger.sql"))
+
+    # version 4 and two DOWN scripts: down to 0 leaves what has none
+    _write(folder, "V4_audit.sql", "SELECT 'audit'")
+    for v, name in ((3, "fees"), (4, "audit")):
+        _write(folder, f"V{v}_{name}.down.sql", f"SELECT 'no {name}'")
+    assert _run(spark, folder, 6) == ("ok", 4)
+    acts = pl.run_action(_targets(spark, True), read_history(spark, TABLE), _scripts(spark, folder, down=True))
+    left = pl.missing_down(acts, _scripts(spark, folder, down=True), read_history(spark, TABLE))
+    assert sorted(r.version for r in left.collect()) == [1, 2]
+    assert _run(spark, folder, 7, down=True) == ("ok", 2)
+
+    # destinations on the wrong side, and a transaction that leaves nothing of its run
+    assert _run(spark, folder, 8, destination=1) == ("up_below_current", 2)
+    assert _run(spark, folder, 9, down=True, destination=3) == ("down_above_current", 2)
+    _write(folder, "V4_audit.sql", "SELECT 'audit' -- fails")
+    assert _run(spark, folder, 10) == ("failed", 2)
+    assert _run(spark, folder, 11, destination=3) == ("ok", 3)

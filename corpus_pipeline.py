@@ -6,6 +6,14 @@ and returns a DataFrame.  ``run`` writes every stage's result as Parquet into
 the session's shared checkpoint folder and hands the reread table to the next
 stage, so a stage never runs twice and lost executors cost one stage's tasks
 at most.
+
+Defined results: a null or empty text has no word, so the quality rules reject
+it; a null doc_id keeps its lines, is linked with nothing and is packed; of
+rows that share a doc_id all stay or go together in the near-copy stage, and
+each is packed; very long texts go through every stage whole; among copies the
+smallest doc_id stays; an empty table gives an empty result; other columns,
+whatever their names, come through all stages but the last unchanged
+(``n_chars`` is counted anew).
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evolve.functions.classify import invalid_files
-from evolve.functions.ranking import rank_by_sort
+from evolve.functions.ranking import rank_by_counts
 from evolve.functions.templates import expand_templates
 
 HOOK_FLAGS = {
@@ -92,17 +92,16 @@ def select_hooks(hooks: DataFrame, down: bool = False, use_repeatable: bool = Tr
 
 def ordered_scripts(scripts: DataFrame) -> DataFrame:
     """Position of each script in its run order (O1): UP ascending, DOWN
-    descending by version; copies of a version ordered by path.  Positions come
-    from a range-partitioned sort (one pass for both directions: DOWN sorts on
-    the negated version), so many copies of one version still spread over
-    tasks."""
+    descending by version; copies of a version ordered by path.  A counting
+    sort over the versions (one pass for both directions: DOWN counts on the
+    negated version), so many copies of one version still spread over tasks."""
     signed = F.when(F.col("direction") == "DOWN", -F.col("version")).otherwise(F.col("version"))
-    return rank_by_sort(scripts, ["project", "direction"], [signed, F.col("path")], "position")
+    return rank_by_counts(scripts, ["project", "direction"], signed, "path", "position")
 
 
 def ordered_hooks(hooks: DataFrame) -> DataFrame:
     """Position of each hook inside its type (O2): by order, ties by path."""
-    return rank_by_sort(hooks, ["project", "hook_type"], ["hook_order", "path"], "position")
+    return rank_by_counts(hooks, ["project", "hook_type"], "hook_order", "path", "position")
 
 
 def next_version(classified: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,10 @@ sequence as one).  Two documents link when 100 * intersection >=
    with their counts in the blob, the bucket adds them up over all blobs, and
    answers each blob with the frequencies of those that others hold too.  A
    shingle is one entry per blob, so a frequent one never makes a large group.
+   A blob holds about ``BLOB_BYTES`` of text at most and a bucket about
+   ``BUCKET_KEYS`` entries, however large the table.  Documents are dealt by
+   doc_id and text hash, so rows that share a doc_id spread like others; of
+   equal texts a task sends on only those with a new smallest doc_id.
 3. *Prefixes*: a set in rare-first order can only link if one of its first
    n - ceil(percent * n) + 1 shingles is in the other's.  A set whose whole
    prefix is held by no one else has no link and leaves here (most do).
@@ -36,7 +40,7 @@ Defined results: null or blank text has an empty set and is linked with
 nothing; a null doc_id is linked with nothing (component null); rows that
 share a doc_id each get the component of their own set (sets with the same
 smallest doc_id are one node); an empty table gives an empty result; other
-columns are ignored.
+columns are ignored; a very long text is one set, and a blob or two of its own size.
 """
 
 from __future__ import annotations
@@ -55,6 +59,9 @@ from evolve.llm.components import components
 
 WIDTH = 4
 PERCENT = 85
+BLOB_BYTES = 128 << 20
+BUCKET_KEYS = 16 << 20
+SEEN_TEXTS = 1 << 20
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -115,8 +122,13 @@ def shingle_sets(column, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_key``: the documents with a hash of their text."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+
+
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, class`` of every document."""
+    """``doc_id, n_shingles, class, text_key, n_bytes`` of every document."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -124,10 +136,42 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             sets = shingle_sets(b.column(1), width)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "class"])
+                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                 b.column(2), b.column(3)],
+                ["doc_id", "n_shingles", "class", "text_key", "n_bytes"])
+
+    return (keyed(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+            .mapInArrow(run, "doc_id long, n_shingles long, class binary, text_key long, n_bytes long"))
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """``class, doc_id, text_key``: the smallest doc_id of every class that can
+    link, and of its texts the one with the smallest hash."""
+    return (found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class")
+            .agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("class", "r.doc_id", "r.text_key"))
+
+
+def first_of_texts(batches):
+    """The rows (doc_id, text, text_key) that can stand for their text: those
+    whose doc_id is below every one that the task has sent on with the same
+    text.  What is forgotten of very many texts is sent on again."""
+    least: dict = {}
+    for b in batches:
+        stay = []
+        for i, (d, k) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+            if d < least.get(k, d + 1):
+                least[k] = d
+                stay.append(i)
+        if len(least) > SEEN_TEXTS:
+            least.clear()
+        yield b if len(stay) == b.num_rows else b.take(pa.array(stay, pa.int64()))
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary")
+def blob_counts(rows: int, n_bytes: int, shingles: int) -> tuple[int, int]:
+    """Numbers of blobs and buckets: both grow with the root of the table, and
+    with the table where a blob or bucket would exceed its bound."""
+    blobs = max(1, -(-rows // max(2 * math.isqrt(rows), 500)), -(-n_bytes // BLOB_BYTES))
+    return blobs, max(1, blobs // 2, -(-shingles // BUCKET_KEYS))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -172,15 +216,13 @@ def _blob_keys(sets, buckets: int):
     return keys, counts, np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << _U(32))
 
 
-def prefix_table(docs: DataFrame, reps: DataFrame, rows: int, width: int, percent: int) -> DataFrame:
+def prefix_table(docs: DataFrame, reps: DataFrame, blobs: int, buckets: int, width: int, percent: int) -> DataFrame:
     """``doc_id, n, singles, ordered, prefix`` of the representatives that may
     link: the set's sorted hashes, and the prefix hashes held by others too,
     in rare-first order from position ``singles`` on."""
-    per_blob = min(max(2 * math.isqrt(rows), 500), 100_000)
-    blobs = max(1, math.ceil(rows / per_blob))
-    buckets = max(1, blobs // 2)
-    dealt = lambda df: df.withColumn("blob", F.pmod(F.xxhash64("doc_id"), F.lit(blobs)).cast("int"))
-    base = dealt(docs)
+    dealt = lambda df: df.withColumn(
+        "blob", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(blobs)).cast("int"))
+    base = dealt(keyed(docs).mapInArrow(first_of_texts, "doc_id long, text string, text_key long"))
     members = dealt(reps).select("blob", "doc_id", "class")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -303,9 +345,10 @@ class Join:
         ship(docs.sparkSession)
         base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.classes = cut(classes(base, width))
-        self.reps = (self.classes.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class")
-                     .agg(F.min("doc_id").alias("doc_id")))
-        self.sets = cut(prefix_table(base.where("doc_id IS NOT NULL"), self.reps, docs.count(), width, percent))
+        self.reps = representatives(self.classes)
+        size = self.classes.agg(F.count(F.lit(1)), F.sum("n_bytes"), F.sum("n_shingles")).first()
+        self.sets = cut(prefix_table(base.where("doc_id IS NOT NULL AND text IS NOT NULL"), self.reps,
+                                     *blob_counts(*(v or 0 for v in size)), width, percent))
         self.postings = self.sets.select(
             "doc_id", "n", (1000 * F.col("singles") / F.col("n")).cast("int").alias("edge"),
             F.col("singles"), F.posexplode("prefix").alias("k", "shingle")).select(

@@ -34,6 +34,7 @@ def summarise(plan: str) -> dict:
 def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("names", nargs="*", help="queries; all if none is named")
     args = ap.parse_args()
     from evolve.queries import QUERIES
     from evolve.session import get_spark
@@ -47,11 +48,11 @@ def main() -> None:
           "broadcast exchanges (AQE turns a join into one only after measuring the side).\n")
     print("Broadcasts are switched off, so these are the plans of sides too large to broadcast: sort-merge joins on the\n"
           "same keys (skew-split by AQE). The scans and exchanges of the fixtures are included. No plan contains a\n"
-          "nested-loop or cartesian join. `ordered_*` read their checkpointed range pieces, so they show no file scan.\n")
+          "nested-loop or cartesian join.\n")
     print("| query | " + " | ".join(cols) + " |")
     print("|---|" + "---|" * len(cols))
-    for name, q in QUERIES.items():
-        df = q(spark, args.sf)
+    for name in args.names or QUERIES:
+        df = QUERIES[name](spark, args.sf)
         df.collect()  # runs this DataFrame's own execution, so its adaptive plan is final
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         s = summarise(plan)

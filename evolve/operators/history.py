@@ -18,9 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evolve import schemas
+from evolve.operators import bitmaps
+from evolve.session import checkpoint_dir
 
 KEY = ["target_id", "version"]
 HISTORY_COLS = [f.name for f in schemas.HISTORY.fields]
+BLOCK_WORDS = 4                # a target meets its scripts in blocks of 4 words, 256 versions
+SALTS = 8                      # tasks over which the targets of one project and block are dealt
+BROADCAST_TARGETS = 1_000_000  # 8 bytes each
 
 
 def _as_history(df: DataFrame) -> DataFrame:
@@ -145,11 +150,68 @@ def repair(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     history table does not exist is left alone (optional ``history_exists``
     column of ``targets``; without it every target has a table).
 
-    The targets x scripts product is the size of the result itself; it is
-    joined to the history on the full ``(target_id, version)`` key.
+    The targets x scripts product is the size of the result itself, so its
+    rows are made where they are written (see :func:`_lacking`); what is
+    shuffled grows with the history, the scripts and the targets' blocks of
+    versions.
     """
-    wanted = _repair_targets(targets).join(_recorded(scripts), "project").drop("project")
-    return _repaired(_as_history(history).alias("h").join(wanted.alias("s"), KEY, "full_outer"), as_of, reset_success)
+    met, lacking = _repair_parts(history, scripts, targets)
+    return _repaired(met, as_of, reset_success).unionByName(_repaired(lacking, as_of, reset_success))
+
+
+def fold_after_repair(log: DataFrame, history: DataFrame, scripts: DataFrame, targets: DataFrame,
+                      as_of: _dt.datetime | Column, reset_success: bool = True) -> DataFrame:
+    """``fold_history(log, repair(history, scripts, targets, as_of))``: the log
+    is folded into those rows of the repair whose key the history or the log
+    holds, and no other row of the repair goes through a shuffle."""
+    met, lacking = _repair_parts(history, scripts, targets, log.select(*KEY))
+    return (fold_history(log, _repaired(met, as_of, reset_success))
+            .unionByName(_repaired(lacking, as_of, reset_success)))
+
+
+def _repair_parts(history: DataFrame, scripts: DataFrame, targets: DataFrame,
+                  others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The full outer join of the history ``h`` and the targets' scripts ``s``
+    on KEY, in two parts: the keys that the history (or ``others``) holds, and
+    the rows of all other scripts."""
+    h, recorded, t = _as_history(history), _recorded(scripts), _repair_targets(targets)
+    keys = h.select(*KEY) if others is None else h.select(*KEY).unionByName(others.select(*KEY))
+    wanted = _wanted_at(keys, recorded, t).alias("s")
+    return h.alias("h").join(wanted, KEY, "full_outer"), _lacking(keys, recorded, t)
+
+
+def _wanted_at(keys: DataFrame, recorded: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets' scripts at the given keys only."""
+    return (keys.distinct().join(targets, "target_id").join(recorded, ["project", "version"])
+            .select(*KEY, "s_description", "s_md5"))
+
+
+def _lacking(keys: DataFrame, recorded: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets' scripts ``s`` at all but the given keys, beside an empty
+    history row ``h``.
+
+    A target's keys are reduced to version words, and each of its blocks of
+    versions is one row with these words.  Such rows meet the scripts of their
+    project's block, dealt by a salt so that a project of very many targets is
+    no hot key; the product comes out of this join and isn't shuffled again."""
+    block = F.shiftright("version", 6 + BLOCK_WORDS.bit_length() - 1).alias("_block")
+    place = F.shiftright("version", 6).bitwiseAND(F.lit(BLOCK_WORDS - 1))
+    words = [F.bit_or(F.when(place == i, bitmaps._bit("version"))).alias(f"_word{i}") for i in range(BLOCK_WORDS)]
+    held = keys.groupBy("target_id", block).agg(*words)
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make many rows: not coalesced
+    rows = (targets.join(recorded.select("project", block).distinct(), "project")
+            .join(held, ["target_id", "_block"], "left")
+            .withColumn("_salt", F.pmod(F.xxhash64("target_id"), F.lit(SALTS)).cast("int"))
+            .repartition(tasks, "project", "_block", "_salt"))
+    dealt = recorded.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    word = F.lit(0).cast("long")
+    for i in range(BLOCK_WORDS):
+        word = F.when(place == i, F.col(f"_word{i}")).otherwise(word)
+    there = F.getbit(F.coalesce(word, F.lit(0).cast("long")), F.col("version").bitwiseAND(F.lit(bitmaps.WORD - 1))) == 1
+    new = rows.join(dealt, ["project", "_block", "_salt"]).where(~there)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.HISTORY.fields if f.name not in KEY]
+    s = F.struct("s_description", "s_md5").alias("s")
+    return new.select(*KEY, s, F.struct(*none).alias("h"))
 
 
 def _recorded(scripts: DataFrame) -> DataFrame:
@@ -229,16 +291,25 @@ def repair_changes(history: DataFrame, scripts: DataFrame, targets: DataFrame,
     left out, so in a fleet where few targets differ the targets x scripts
     product is that of these few.  A history with rows beyond its scripts
     differs too; its rows are compared one by one.  Exact but for the
-    fingerprints' 2^-128 (see :func:`_fingerprint`)."""
-    differing = differing_targets(history, scripts, targets, reset_success)
-    wanted = differing.join(_recorded(scripts), "project").drop("project")
-    h = _as_history(history.join(differing.select("target_id"), "target_id", "left_semi")).alias("h")
-    j = wanted.alias("s").join(h, KEY, "left")
+    fingerprints' 2^-128 (see :func:`_fingerprint`).
+
+    Runs one job when called: the differing targets go into the shared
+    checkpoint folder, so that the history is compared once, and up to
+    ``BROADCAST_TARGETS`` of them are sent to its rows."""
+    checkpoint_dir(history.sparkSession)
+    differing = differing_targets(history, scripts, targets, reset_success).checkpoint(eager=True)
+    recorded, ids = _recorded(scripts), differing.select("target_id")
+    if ids.count() <= BROADCAST_TARGETS:
+        ids = F.broadcast(ids)
+    h = _as_history(history.join(ids, "target_id", "left_semi"))
+    j = _wanted_at(h.select(*KEY), recorded, differing).alias("s").join(h.alias("h"), KEY)
     new = F.col("h.md5_checksum").isNull()
     changed = ((F.col("s.s_description") != F.col("h.description")) | (F.col("s.s_md5") != F.col("h.md5_checksum")))
     if reset_success:
         changed = changed | ~F.col("h.success")
-    return _repaired(j.where(new | changed), as_of, reset_success)
+    lacking = _lacking(h.select(*KEY), recorded, differing)
+    return (_repaired(j.where(new | changed), as_of, reset_success)
+            .unionByName(_repaired(lacking, as_of, reset_success)))
 
 
 def apply_changes(history: DataFrame, changes: DataFrame) -> DataFrame:

@@ -348,8 +348,7 @@ def q_fold_incremental(spark, sf):
 @register("fold_after_repair")
 def q_fold_after_repair(spark, sf):
     first, second = _halves(spark, sf)
-    repaired = hist.repair(hist.fold_history(first), fx.scripts(spark, sf), fx.targets(spark, sf), SPLIT)
-    return hist.fold_history(second, repaired)
+    return hist.fold_after_repair(second, hist.fold_history(first), fx.scripts(spark, sf), fx.targets(spark, sf), SPLIT)
 
 
 @register("repair_reset")

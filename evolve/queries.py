@@ -392,7 +392,9 @@ def q_imported_history(spark, sf):
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/histories-{uuid.uuid4().hex}"
     h = fx.history(spark, sf)
-    h.repartition("target_id").write.partitionBy("target_id").parquet(path)
+    # tasks move their own folders into place; nobody else knows this path before the job has ended
+    (h.repartition("target_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy("target_id").parquet(path))
     folder = path.removeprefix("file:")
     ids = [r.target_id for r in h.select("target_id").distinct().collect()]  # the configuration of an import
     found = databases.read_histories(spark, [(i, f"{folder}/target_id={i}") for i in ids], rows_of, 16)

@@ -1,8 +1,8 @@
 """The histories of many live databases as one DataFrame (S3).
 
-A Python data source with one input partition per group of databases: the
-executors connect, each task to its own databases, and the driver only knows
-their list.  A database that can't be read doesn't end the job: it gives one
+One task per group of databases: the executors connect, each task to its own
+databases, and only the driver knows their whole list; a task gets the entries
+of its group, so that tasks don't grow with the fleet.  A database that can't be read doesn't end the job: it gives one
 row with its error, so a fleet's import says which databases it lacks.
 
 ``connect(source)`` is called on the executors.  It gets one entry of
@@ -19,14 +19,12 @@ script, else its module must be there on the executors.  With psycopg it would b
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from evolve import schemas
 
@@ -34,42 +32,18 @@ IMPORT = T.StructType([T.StructField(f.name, f.dataType, True) for f in schemas.
                       + [T.StructField("error", T.StringType(), True)])
 
 
-def _source_class(format_name: str, sources: list[tuple[int, Any]], connect: Callable[[Any], Iterable[tuple]],
-                  per_partition: int) -> type[DataSource]:
-    """The data source over these databases.  The classes are made here so that
-    they travel to the executors by value, whatever is installed there."""
-    schema = IMPORT
-
-    class Group(InputPartition):
-        def __init__(self, first: int, last: int):
-            super().__init__((first, last))
-
-    class Reader(DataSourceReader):
-        def partitions(self):
-            return [Group(i, min(i + per_partition, len(sources))) for i in range(0, len(sources), per_partition)]
-
-        def read(self, partition):
-            first, last = partition.value
-            for target_id, source in sources[first:last]:
-                try:
-                    # a database counts whole or not at all: its rows (at most one a version) are held until read
-                    rows = [(target_id, *row, None) for row in connect(source)]
-                except Exception as cause:  # whatever the caller's driver raises is that database's result
-                    rows = [(target_id, *[None] * 6, f"{type(cause).__name__}: {cause}")]
-                yield from rows
-
-    class Histories(DataSource):
-        @classmethod
-        def name(cls):
-            return format_name
-
-        def schema(self):
-            return schema
-
-        def reader(self, schema):
-            return Reader()
-
-    return Histories
+def _reader(connect: Callable[[Any], Iterable[tuple]]):
+    """What a task does with its group of databases.  Made here so that it
+    travels to the executors by value, whatever is installed there."""
+    def read(group: Iterable[tuple[int, Any]]) -> Iterable[tuple]:
+        for target_id, source in group:
+            try:
+                # a database counts whole or not at all: its rows (at most one a version) are held until read
+                rows = [(target_id, *row, None) for row in connect(source)]
+            except Exception as cause:  # whatever the caller's driver raises is that database's result
+                rows = [(target_id, *[None] * 6, f"{type(cause).__name__}: {cause}")]
+            yield from rows
+    return read
 
 
 def read_histories(spark: SparkSession, sources: list[tuple[int, Any]], connect: Callable[[Any], Iterable[tuple]],
@@ -81,9 +55,10 @@ def read_histories(spark: SparkSession, sources: list[tuple[int, Any]], connect:
         raise ValueError("a partition reads one database at least")
     if not sources:
         return spark.createDataFrame([], IMPORT)
-    made = _source_class(f"evolve_histories_{uuid.uuid4().hex}", list(sources), connect, per_partition)
-    spark.dataSource.register(made)
-    return spark.read.format(made.name()).load()
+    groups = [sources[i:i + per_partition] for i in range(0, len(sources), per_partition)]
+    read = _reader(connect)
+    rows = spark.sparkContext.parallelize(groups, len(groups)).flatMap(read)
+    return spark.createDataFrame(rows, IMPORT)
 
 
 def imported_history(imported: DataFrame) -> DataFrame:

@@ -64,6 +64,29 @@ def test_a_thousand_databases_are_one_scan(spark):
     assert got.count() == 1000 and got.rdd.getNumPartitions() == 20
 
 
+def sources_that_tell(folder, n):
+    """Sources that leave a file wherever they are unpacked; made here so that they travel by value."""
+    def unpacked(i):
+        import uuid
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return Source(i)
+
+    class Source:
+        def __init__(self, i):
+            self.i = i
+
+        def __reduce__(self):
+            return unpacked, (self.i,)
+    return [(i, Source(i)) for i in range(n)]
+
+
+def test_a_task_gets_its_own_databases_only(spark, tmpdir_path):
+    at = AT
+    got = databases.read_histories(spark, sources_that_tell(tmpdir_path, 24), lambda s: [(s.i, "d", "m", True, at, None)], 2)
+    assert sorted((r.target_id, r.version) for r in got.collect()) == [(i, i) for i in range(24)]
+    assert len(os.listdir(tmpdir_path)) <= 2 * 24  # packed and unpacked with its own task
+
+
 def test_no_database(spark):
     got = databases.read_histories(spark, [], reader())
     assert got.collect() == [] and databases.imported_history(got).columns == [f.name for f in schemas.HISTORY.fields]

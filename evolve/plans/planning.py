@@ -9,8 +9,11 @@ touches (at most 65536 / VERSION_BLOCK = 256) and joined to the scripts on
 ordinary hash join whose output is the result plus at most two partial blocks
 per target, instead of a nested loop or a per-project cross product.
 
-Step numbers.  ``row_number`` per target over the plan: a window partition
-holds one target's plan, at most (65536 versions x hooks per version) rows.
+Step numbers.  ``plan_up``: ``row_number`` per target over the plan: a window
+partition holds one target's plan, at most (65536 versions x hooks per version)
+rows.  ``plan_down`` numbers a project's steps once, with such a window per
+project, and a target's steps are a run of them, so its plans (targets x
+scripts) come out of the range join without a shuffle after it.
 """
 
 from __future__ import annotations
@@ -87,9 +90,11 @@ def versions_in_range(ranges: DataFrame, scripts: DataFrame, lo: str, hi: str) -
     # no script lies outside 0..MAX_VERSION, so a range is cut to it first
     first = F.greatest(F.col(lo), F.lit(0))
     last = F.least(F.col(hi), F.lit(schemas.MAX_VERSION))
+    tasks = int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make many rows: not coalesced
     r = (ranges.where(first <= last)
-         .withColumn("_block", F.explode(F.sequence(block(first), block(last)))))
-    s = scripts.withColumn("_block", block(F.col("version")))
+         .withColumn("_block", F.explode(F.sequence(block(first), block(last))))
+         .repartition(tasks, "project", "_block"))
+    s = scripts.withColumn("_block", block(F.col("version"))).repartition(tasks, "project", "_block")
     return (r.join(s, ["project", "_block"])
             .where(F.col("version").between(F.col(lo), F.col(hi)))
             .drop("_block"))
@@ -192,20 +197,42 @@ def plan_down(actions: DataFrame, scripts: DataFrame, hooks: DataFrame, use_repe
     No BEFORE / AFTER hooks run downwards."""
     r = _runs(actions, True).select("target_id", "project",
                                     (F.col("destination") + 1).alias("_lo"),
-                                    F.col("latest_version").alias("_hi"), "destination")
-    s = scripts.where(F.col("direction") == "DOWN").select("project", "version",
-                                                          F.col("file_name").alias("_script"),
-                                                          _path(scripts).alias("_path"))
-    pend = versions_in_range(r, s, "_lo", "_hi")
+                                    F.col("latest_version").alias("_hi"))
     h = select_hooks(hooks, down=True, use_repeatable=use_repeatable).select("project", "hook_order", "file_name")
-    scripts_steps = pend.select("target_id", "version", "_path", F.lit(0).alias("_phase"),
-                                F.lit(0).alias("_order"), F.lit("DOWN").alias("kind"),
-                                F.col("_script").alias("name"))
-    hook_steps = (pend.where(F.col("version") > F.col("destination") + 1).join(h, "project")
-                  .select("target_id", "version", "_path", F.lit(1).alias("_phase"),
-                          F.col("hook_order").alias("_order"), F.lit("REPEATABLE_DOWN").alias("kind"),
-                          F.col("file_name").alias("name")))
-    w = Window.partitionBy("target_id").orderBy(F.col("version").desc(), "_path", "_phase", "_order", "name")
-    return (scripts_steps.unionByName(hook_steps)
-            .select("target_id", F.row_number().over(w).cast("int").alias("step"), "kind",
+    steps = _numbered_downs(scripts, h)
+    r = r.join(_above(steps, r.select("project", F.col("_hi").alias("version"))), ["project", "_hi"])
+    lowest = F.col("version") == F.col("_lo")  # its hooks don't run, so its scripts follow each other
+    number = F.when(lowest, F.col("_before") + F.col("_bare")).otherwise(F.col("_position")) - F.col("_above")
+    return (versions_in_range(r, steps, "_lo", "_hi").where(~lowest | (F.col("_phase") == 0))
+            .select("target_id", number.cast("int").alias("step"), "kind",
                     F.col("version").cast("int").alias("version"), "name"))
+
+
+def _numbered_downs(scripts: DataFrame, hooks: DataFrame) -> DataFrame:
+    """The steps of a down run over a project's whole range, hooks after every
+    script: ``_position`` of each, and of a version's scripts without hooks the
+    steps ``_before`` that version and their place ``_bare`` in it."""
+    s = (scripts.where((F.col("direction") == "DOWN") & F.col("version").between(0, schemas.MAX_VERSION))
+         .select("project", "version", _path(scripts).alias("_path"), F.col("file_name").alias("_script")))
+    rows = (s.select("project", "version", "_path", F.lit(0).alias("_phase"), F.lit(0).alias("_order"),
+                     F.lit("DOWN").alias("kind"), F.col("_script").alias("name"))
+            .unionByName(s.join(hooks, "project")
+                         .select("project", "version", "_path", F.lit(1).alias("_phase"), F.col("hook_order").alias("_order"),
+                                 F.lit("REPEATABLE_DOWN").alias("kind"), F.col("file_name").alias("name"))))
+    order = ["_path", "_phase", "_order", "name"]
+    whole = Window.partitionBy("project").orderBy(F.col("version").desc(), *order)
+    of_version = Window.partitionBy("project", "version")
+    return (rows.withColumn("_position", F.row_number().over(whole))
+            .withColumn("_before", F.min("_position").over(of_version) - 1)
+            .withColumn("_bare", F.row_number().over(of_version.orderBy("_phase", *order))))
+
+
+def _above(steps: DataFrame, tops: DataFrame) -> DataFrame:
+    """How many of a project's steps lie ``_above`` each version ``_hi`` that
+    any of its targets stands at: one row a version, however many targets."""
+    counts = steps.groupBy("project", "version").agg(F.count(F.lit(1)).alias("_n"))
+    marks = (counts.unionByName(tops.distinct().withColumn("_n", F.lit(0).cast("long")))
+             .groupBy("project", "version").agg(F.sum("_n").alias("_n")))
+    higher = Window.partitionBy("project").orderBy(F.col("version").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return marks.select("project", F.col("version").alias("_hi"),
+                        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"))

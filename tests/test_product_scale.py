@@ -5,7 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from evolve.operators import checks
 from evolve.operators import history as hist
+from evolve.plans import planning as pl
 
 NOW = dt.datetime(2024, 3, 1)
 LOG = ("event_id long, target_id long, version int, direction string, description string, md5_checksum string, "
@@ -40,10 +42,11 @@ def rows_and_shuffled(df):
 
 
 def fleet(spark):
-    s = spark.range(1, N + 1).select(F.lit("p").alias("project"), F.lit("UP").alias("direction"),
+    project = F.expr("if(id >= 0, 'p', 'q')").alias("project")  # no constant
+    s = spark.range(1, N + 1).select(project, F.lit("UP").alias("direction"),
                                      F.col("id").cast("int").alias("version"), F.lit("d").alias("description"),
                                      F.md5(F.col("id").cast("string")).alias("md5_checksum"))
-    t = spark.range(TARGETS).select(F.col("id").alias("target_id"), F.lit("p").alias("project"))
+    t = spark.range(TARGETS).select(F.col("id").alias("target_id"), project)
     h = t.select("target_id", F.lit(3).alias("version"), F.lit("d").alias("description"), F.lit("old").alias("md5_checksum"),
                  F.lit(False).alias("success"), F.lit(NOW).cast("timestamp_ntz").alias("executed_at"),
                  F.lit(None).cast("timestamp_ntz").alias("repaired_at"))
@@ -91,3 +94,49 @@ def test_parts_make_the_outer_join(spark, reset):
     changed = F.expr("h.md5_checksum is null or s.s_description <> h.description or s.s_md5 <> h.md5_checksum")
     changed = changed | ~F.col("h.success") if reset else changed
     assert listed(hist.repair_changes(h, s, t, NOW, reset)) == listed(hist._repaired(j.where(changed), NOW, reset))
+
+
+def downs(spark, versions, project="p"):
+    return spark.createDataFrame([(project, "DOWN", v, f"{v}", p) for v, p in versions],
+                                 "project string, direction string, version int, file_name string, path string")
+
+
+def test_plan_down_shuffles_no_product(spark, no_broadcast):
+    s = downs(spark, [(v, f"{v}") for v in range(1, N + 1)])
+    hooks = spark.createDataFrame([("p", "REPEATABLE_DOWN", 1, None, "r")],
+                                  "project string, hook_type string, hook_order int, hook_version int, file_name string")
+    acts = spark.range(TARGETS).select(F.col("id").alias("target_id"), F.lit("p").alias("project"), F.lit(True).alias("down"),
+                                       F.lit(N).alias("latest_version"), F.lit(0).alias("destination"), F.lit("run").alias("action"))
+    rows, shuffled = rows_and_shuffled(pl.plan_down(acts, s, hooks))
+    assert rows == TARGETS * (2 * N - 1) and shuffled < rows / 3
+
+
+def test_plan_down_of_copies(spark):
+    """Copies of a version, repeated paths, null paths and a range's ends, step by step."""
+    versions = [(0, "z"), (1, "a"), (1, "a"), (1, "b"), (2, None), (2, None), (4, "d"), (4, "c"), (300, "x"), (300, "x"), (None, "n"), (70000, "far")]
+    order = [(2, "h2"), (1, "h1"), (1, "h0")]
+    runs = [(i, lo, hi) for i, (lo, hi) in enumerate([(0, 300), (0, 1), (1, 4), (3, 4), (-3, 2), (-1, 299), (2, 3), (299, 80000), (5, 5), (3, 300)])]
+    hooks = spark.createDataFrame([("p", "REPEATABLE_DOWN", o, None, n) for o, n in order],
+                                  "project string, hook_type string, hook_order int, hook_version int, file_name string")
+    acts = spark.createDataFrame([(i, "p", True, hi, lo, "run") for i, lo, hi in runs],
+                                 "target_id long, project string, down boolean, latest_version int, destination int, action string")
+    want = []
+    for i, lo, hi in runs:
+        mine = [(v, p) for v, p in versions if v is not None and lo < v <= min(hi, 65535) and v >= 0]
+        steps = [(-v, p or "", 0, 0, f"{v}") for v, p in mine] + [(-v, p or "", 1, o, n) for v, p in mine if v > lo + 1 for o, n in order]
+        want += [(i, k, "REPEATABLE_DOWN" if x[2] else "DOWN", -x[0], x[4]) for k, x in enumerate(sorted(steps), 1)]
+    got = sorted(map(tuple, pl.plan_down(acts, downs(spark, versions), hooks).collect()))
+    assert got == sorted(want)
+
+
+def test_problems_of_a_project_are_many_tasks(spark, no_broadcast):
+    """One project's problems meet its targets in every task, copies included."""
+    h, s, t = fleet(spark)
+    gappy = s.where("version % 3 = 0").unionByName(s.where("version = 6"))
+    invalid = spark.createDataFrame([("p", "70000")] * 40, "project string, message string")
+    for df, kind, n in ((checks.problems(h, gappy, t, invalid), "local_gap", N // 3 + 1), (checks.problems(h, gappy, t, invalid), "load", 40),
+                        (checks.gate_problems(h.withColumn("success", F.lit(True)), gappy, t), "local_gap", N // 3 + 1),
+                        (checks.gate_problems(h, gappy, t, invalid), "load", 40)):
+        per = df.where(F.col("kind") == kind).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in per) == n * TARGETS
+        assert max(r["count"] for r in per) < n * TARGETS * 2 / 3

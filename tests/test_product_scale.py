@@ -5,8 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+from evolve import queries
+from evolve.functions import classify as cls
 from evolve.operators import checks
 from evolve.operators import history as hist
+from evolve.operators import scripts as scr
 from evolve.plans import planning as pl
 
 NOW = dt.datetime(2024, 3, 1)
@@ -140,3 +144,55 @@ def test_problems_of_a_project_are_many_tasks(spark, no_broadcast):
         per = df.where(F.col("kind") == kind).groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in per) == n * TARGETS
         assert max(r["count"] for r in per) < n * TARGETS * 2 / 3
+
+
+@pytest.mark.parametrize("piece", [512, 4])
+def test_every_target_as_the_plain_join(spark, monkeypatch, piece):
+    """Repeated targets and rows, nulls, projects on one side only, more targets and rows than a piece holds."""
+    monkeypatch.setattr(checks, "PIECE", piece)
+    t = spark.createDataFrame([(i, "p") for i in range(30)] + [(7, "p"), (7, "p"), (None, "p"), (None, "p"), (1, "q"), (2, "none"), (3, None)],
+                              "target_id long, project string")
+    r = spark.createDataFrame([("p", i, f"m{i}") for i in range(40)] + [("p", 70000, "far")] * 9
+                              + [("p", None, None), ("p", None, None), ("q", 1, "x"), ("other", 1, "y"), (None, 1, "z")],
+                              "project string, got int, message string")
+    columns = ["project", "target_id", "got", "message"]
+    got, plain = (sorted(map(tuple, df.select(*columns).collect()), key=repr)
+                  for df in (checks._of_every_target(t, r), t.join(r, "project")))
+    assert got == plain and len(got) > 1000
+    empty = t.where("target_id > 100")
+    assert checks._of_every_target(empty, r).count() == checks._of_every_target(t, r.where("got < 0")).count() == 0
+
+
+def wide(spark):
+    """One project: 2,000 targets with a row each, one local gap, 300 out-of-range files."""
+    project = F.expr("if(id >= 0, 'p', 'q')").alias("project")
+    t = spark.range(2000).select(F.col("id").alias("target_id"), project)
+    h = t.select("target_id", F.lit(1).alias("version"), F.lit("d").alias("description"), F.lit("m").alias("md5_checksum"),
+                 F.lit(True).alias("success"), F.lit(NOW).cast("timestamp_ntz").alias("executed_at"),
+                 F.lit(None).cast("timestamp_ntz").alias("repaired_at"))
+    s = spark.createDataFrame([("p", "UP", 1, "d", "m"), ("p", "UP", 3, "d", "m3")], SCRIPTS)
+    return h, s, t, spark.range(300).select(project, F.concat(F.lit("m"), "id").alias("message"))
+
+
+@pytest.mark.parametrize("name, n", [("problems", 602_000), ("gate_problems", 600_000)])
+def test_problems_shuffle_few_rows(spark, no_broadcast, name, n):
+    """Targets and rows meet as arrays: what is shuffled is small beside both, not targets x pieces."""
+    rows, shuffled = rows_and_shuffled(getattr(checks, name)(*wide(spark)))
+    assert rows == n and shuffled < 60_000
+
+
+def test_load_sends_failed_projects_to_the_files(spark, no_broadcast):
+    """Texts aren't shuffled to find out whose project fails."""
+    files = spark.range(3000).select(
+        F.expr("if(id % 3 = 0, 'bad', 'good')").alias("project"), F.format_string("V%d_x.sql", F.col("id") * 30).alias("file_name"),
+        F.col("id").cast("string").alias("path"), F.lit("select 1").alias("content"))
+    c = cls.classify_files(files.where("id * 30 <= 65535 or id % 3 = 0"))
+    rows, shuffled = rows_and_shuffled(scr.loadable(scr.migrations_of(c), c))
+    assert rows == 2 * 65535 // 90 and shuffled < 100
+
+
+def test_folders_are_derived_once(spark):
+    """The checks of the loaded folders read what was written, not the tables again."""
+    for df in queries._folders(spark, SF_SMALL):
+        assert not [f for f in df.inputFiles() if SF_SMALL in f]
+        assert df.count() > 0

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from evolve import fixtures as fx
 from evolve import queries
 from evolve.functions import classify as cls
 from evolve.operators import checks
@@ -196,3 +197,18 @@ def test_folders_are_derived_once(spark):
     for df in queries._folders(spark, SF_SMALL):
         assert not [f for f in df.inputFiles() if SF_SMALL in f]
         assert df.count() > 0
+
+
+def test_files_of_one_source_are_many_tasks(spark, no_broadcast, tmpdir_path):
+    """Texts of a source that holds every document are ranked in several tasks, as a plain window ranks them."""
+    docs = spark.range(40_000).select((F.col("id") * 3 - 500).alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang"),
+                                      F.lit("src0").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = fx.files(spark, tmpdir_path)
+        per = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per) == 40_000 and max(per) < 30_000
+        assert files.where("(rn - 1) * 3 - 500 != doc_id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
